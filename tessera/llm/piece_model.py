@@ -9,6 +9,8 @@ import numpy as np
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2
 
+from .int_table import IntTable
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 NEVER = np.iinfo(np.int32).max
@@ -50,21 +52,25 @@ class PieceModel:
             for k in range(1, len(p)):
                 if p[:k] in symbol and p[k:] in symbol and (k == 1 or p[:k] in self.number) and (len(p) - k == 1 or p[k:] in self.number):
                     self.pairs[symbol[p[:k]], symbol[p[k:]]] = (ranks[i], i)
-        keys = np.array([a * self.n_symbols + b for a, b in self.pairs], np.int64)
-        order = np.argsort(keys)
-        self.pair_keys = keys[order]
-        values = np.array(list(self.pairs.values()), np.int32)[order]
+        self.pair_table = IntTable()
+        self.pair_table.add(np.array([a * self.n_symbols + b for a, b in self.pairs], np.int64))
+        values = np.array(list(self.pairs.values()), np.int32)
         self.pair_ranks, self.pair_merged = values[:, 0].copy(), values[:, 1].copy()
         self.of_char = np.full(0x110000, -1, np.int32)
         for p, s in symbol.items():
             if len(p) == 1:
                 self.of_char[ord(p)] = s
         self.byte_ids = np.array([self.pieces.index(f"<0x{b:02X}>") for b in range(256)]) if BYTE in kinds else None
-        # no piece goes on over a space after another character, nor over a line end
+        # no piece goes on over a space after another character
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.number):
             raise ValueError(f"{path}: pieces cross words")
-        alone = not any("\n" in p and len(p) > 1 for p in self.number)
-        self.segment = re.compile(rb"\n| *[^ \n]+| +" if alone else rb" *[^ ]+| +")
+        # ASCII marks that follow other characters in no piece begin segments too
+        marks = {chr(c) for c in range(128) if not chr(c).isalnum() and c != 32}
+        follows = {(p[k - 1], p[k]) for p in self.number for k in range(1, len(p))}
+        while wrong := {b for a, b in follows if b in marks and a not in marks and a != SPACE}:
+            marks -= wrong
+        own = "".join(f"\\x{ord(c):02x}" for c in sorted(marks)).encode()
+        self.segment = re.compile(rb" *[%b]*[^ %b]+| *[%b]+| +" % (own, own, own) if marks else rb" *[^ ]+| +")
 
     def segments(self, text: bytes) -> list[bytes]:
         """Parts of the text, with its dummy prefix, over whose borders nothing merges; spaces stand for the space symbol."""
@@ -72,10 +78,8 @@ class PieceModel:
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged symbol of pairs; NEVER where the pair doesn't merge."""
-        keys = left.astype(np.int64) * self.n_symbols + right
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        hit = (self.pair_keys[at] == keys) & (left >= 0) & (right >= 0)
-        return np.where(hit, self.pair_ranks[at], NEVER), self.pair_merged[at]
+        rows = self.pair_table.get(np.where((left >= 0) & (right >= 0), left.astype(np.int64) * self.n_symbols + right, self.n_symbols**2))
+        return np.where(rows >= 0, self.pair_ranks[rows], NEVER), self.pair_merged[rows]
 
 
 @functools.lru_cache(maxsize=4)

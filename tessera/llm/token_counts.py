@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .int_table import IntTable
 from .piece_model import SPACE, Numbering, PieceModel, piece_model
 from .text import as_bytes, slices
 
@@ -43,13 +44,14 @@ class Transducer:
     def __init__(self, model: PieceModel) -> None:
         self.model = model
         self._build_trie()
+        self.stable: set[tuple[int, int]] = set()
+        self.unstable: set[tuple[int, int]] = set()
         self.states: dict[tuple, int] = {}
         self.keys: list[tuple] = []
         self.start = self._state((0, ((NONE, 0),)))
         # by state * width + symbol: next state and change of the count
         self.width = model.n_symbols + 5  # behind the symbols: characters in no piece, of 1 to 4 bytes
-        self.known: dict[int, tuple[int, int]] = {}
-        self.sorted_keys, self.sorted_next, self.sorted_change = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.moves, self.next, self.change = IntTable(), np.empty(0, np.int32), np.empty(0, np.int32)
 
     def _build_trie(self) -> None:
         """Nodes of all prefixes of pieces; of each node its depth and its longest proper suffix that is a node."""
@@ -83,8 +85,21 @@ class Transducer:
         return out
 
     @functools.cache  # noqa: B019  lives as long as the worker
-    def _stable(self, a: int, b: int) -> bool:
+    def _depths(self, node: int) -> list[int]:
+        return [self.depth[n] for n in self._chain(node)]
+
+    @functools.cache  # noqa: B019
+    def _tokens(self, node: int) -> list[tuple[int, int]]:
+        """Symbols that end at a node, and their lengths."""
+        return [(self.token[n], self.depth[n]) for n in self._chain(node) if self.token[n] != NONE]
+
+    def _is_stable(self, a: int, b: int) -> bool:
         """Whether the symbols a, b encode to themselves; a NONE: b alone."""
+        if (a, b) not in self.unstable:
+            (self.stable if self._encodes_to_itself(a, b) else self.unstable).add((a, b))
+        return (a, b) in self.stable
+
+    def _encodes_to_itself(self, a: int, b: int) -> bool:
         text = [self._chars(x) for x in (a, b) if x != NONE]
         row = [c for t in text for c in t]
         pairs = self.model.pairs
@@ -116,44 +131,35 @@ class Transducer:
         if symbol >= self.model.n_symbols:
             return self.start, symbol - self.model.n_symbols if self.model.byte_ids is not None else 1
         node, borders = self.keys[state]
-        before = {self.depth[n]: x for n, x in zip(self._chain(node), borders, strict=True)}
+        before = dict(zip(self._depths(node), borders, strict=True))
         back = node
         while symbol not in self.goto[back]:
             back = self.fail[back]
         node = self.goto[back][symbol]
-        chain = self._chain(node)
-        for n in chain:
-            t = self.token[n]
-            if t != NONE and self._stable(*(before[self.depth[n] - 1][0], t)):
-                last, change = t, before[self.depth[n] - 1][1] + self._cost(t)
+        for t, d in self._tokens(node):
+            border, n = before[d - 1]
+            if (border, t) in self.stable or self._is_stable(border, t):
+                last, change = t, n + self._cost(t)
                 break
-        after = [(last, 0) if not self.depth[n] else (before[self.depth[n] - 1][0], before[self.depth[n] - 1][1] - change) for n in chain]
+        after = [(before[d - 1][0], before[d - 1][1] - change) if d else (last, 0) for d in self._depths(node)]
         return self._state((node, tuple(after))), change
 
     def step(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys = states * self.width + symbols
-        at = np.searchsorted(self.sorted_keys, keys)
-        hit = at < len(self.sorted_keys)
-        hit[hit] = self.sorted_keys[at[hit]] == keys[hit]
-        if not hit.all():
-            for key in np.unique(keys[~hit]).tolist():
-                self.known[key] = self._step(*divmod(key, self.width))
-            every = np.array([(k, *v) for k, v in self.known.items()], np.int64) if len(self.sorted_keys) == 0 else None
-            if every is None:
-                new = np.array([(k, *self.known[k]) for k in np.unique(keys[~hit]).tolist()], np.int64)
-                every = np.concatenate([np.stack([self.sorted_keys, self.sorted_next, self.sorted_change], axis=1), new])
-            every = every[np.argsort(every[:, 0])]
-            self.sorted_keys, self.sorted_next, self.sorted_change = (every[:, i].copy() for i in range(3))
-            at = np.searchsorted(self.sorted_keys, keys)
-        return self.sorted_next[at], self.sorted_change[at]
-
-    def run(self, starts: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """End states and counts of rows of symbols, all rows advancing together."""
-        length = np.array([len(r) for r in rows], np.int64)
+        row = self.moves.get(keys)
+        if (new := row < 0).any():
+            missing = np.unique(keys[new])
+            found = np.array([self._step(*divmod(key, self.width)) for key in missing.tolist()], np.int32)
+            self.moves.add(missing)
+            self.next, self.change = np.concatenate([self.next, found[:, 0]]), np.concatenate([self.change, found[:, 1]])
+            row[new] = self.moves.get(keys[new])
+        return self.next[row], self.change[row]
+
+    def run(self, starts: np.ndarray, flat: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """End states and counts of rows of symbols (flat, one after another), all rows advancing together."""
         order = np.argsort(-length, kind="stable")
-        flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
         begin = (np.cumsum(length) - length)[order]
-        state, count, sizes = starts[order].copy(), np.zeros(len(rows), np.int64), length[order]
+        state, count, sizes = starts[order].copy(), np.zeros(len(length), np.int64), length[order]
         for k in range(int(sizes[0]) if len(sizes) else 0):
             n = int(np.searchsorted(-sizes, -k, side="left"))  # rows longer than k
             state[:n], change = self.step(state[:n], flat[begin[:n] + k])
@@ -162,41 +168,55 @@ class Transducer:
         out_state[order], out_count[order] = state, count
         return out_state, out_count
 
-    def symbols(self, text: str) -> np.ndarray:
-        chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        s = self.model.of_char[chars].astype(np.int64)
-        return np.where(s >= 0, s, self.model.n_symbols + 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF))
+    def _run_rows(self, starts: list[int], rows: list[np.ndarray]) -> tuple[list[int], list[int]]:
+        if not rows:
+            return [], []
+        ends, counts = self.run(np.array(starts, np.int64), np.concatenate(rows), np.array([len(r) for r in rows], np.int64))
+        return ends.tolist(), counts.tolist()
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text, read from the start state."""
-        rows = [self.symbols(t) for t in texts]
-        chunks = [[r[i : i + CHUNK] for i in range(0, len(r), CHUNK)] or [r] for r in rows]
-        total, at = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        state = np.full(len(rows), self.start, np.int64)
+        length = np.array([len(t) for t in texts], np.int64)
+        chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        symbols = self.model.of_char[chars].astype(np.int64)
+        symbols = np.where(symbols >= 0, symbols, self.model.n_symbols + 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF))
+        long = length > CHUNK
+        total = np.empty(len(texts), np.int64)
+        short = np.flatnonzero(~long)
+        if len(short):
+            total[short] = self.run(np.full(len(short), self.start, np.int64), symbols[np.repeat(~long, length)], length[short])[1]
+        if long.any():
+            ends = np.cumsum(length)
+            total[long] = self._compose([symbols[ends[i] - length[i] : ends[i]] for i in np.flatnonzero(long).tolist()])
+        return total
+
+    def _compose(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Counts of long rows by a scan over the maps of their chunks."""
+        chunks = [[r[i : i + CHUNK] for i in range(0, len(r), CHUNK)] for r in rows]
+        names = [[c.tobytes() for c in own] for own in chunks]
+        total, at, state = [0] * len(rows), [0] * len(rows), [self.start] * len(rows)
         maps: dict[tuple[int, bytes], tuple[int, int]] = {}
-        long = [i for i, c in enumerate(chunks) if len(c) > 1]
-        guessed = [(i, k) for i in long for k in range(1, len(chunks[i]))]
-        guess, _ = self.run(np.full(len(guessed), self.start, np.int64), [chunks[i][k - 1][-WARM_UP:] for i, k in guessed])
-        todo = {(int(g), chunks[i][k].tobytes()): chunks[i][k] for (i, k), g in zip(guessed, guess, strict=True)}
-        todo |= {(self.start, c[0].tobytes()): c[0] for c in chunks}
+        later = [(i, k) for i, own in enumerate(chunks) for k in range(1, len(own))]
+        guess, _ = self._run_rows([self.start] * len(later), [chunks[i][k - 1][-WARM_UP:] for i, k in later])
+        todo = {(self.start, names[i][0]): own[0] for i, own in enumerate(chunks)}
+        todo |= {(g, names[i][k]): chunks[i][k] for (i, k), g in zip(later, guess, strict=True)}
         live = range(len(rows))
         while todo:
-            ends, emitted = self.run(np.array([s for s, _ in todo], np.int64), list(todo.values()))
-            maps.update(zip(todo, zip(ends.tolist(), emitted.tolist(), strict=True), strict=True))
+            ends, emitted = self._run_rows([s for s, _ in todo], list(todo.values()))
+            maps.update(zip(todo, zip(ends, emitted, strict=True), strict=True))
             todo, still = {}, []
             for i in live:
                 while at[i] < len(chunks[i]):
-                    chunk = chunks[i][at[i]]
-                    key = (int(state[i]), chunk.tobytes())
+                    key = (state[i], names[i][at[i]])
                     if key not in maps:
-                        todo[key] = chunk
+                        todo[key] = chunks[i][at[i]]
                         still.append(i)
                         break
                     state[i], n = maps[key]
                     total[i] += n
                     at[i] += 1
             live = still
-        return total
+        return np.array(total, np.int64)
 
 
 @functools.lru_cache(maxsize=2)
