@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 U = np.uint64
@@ -22,7 +23,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
         if not batch.num_rows:
             continue
         texts = batch.column(batch.schema.get_field_index(column))
-        sizes = np.nan_to_num(np.asarray(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.float64))
+        sizes = np.nan_to_num(np.asarray(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.float64))
         part = ((np.cumsum(sizes) - sizes) // most).astype(np.int64)
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
