@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linear import fit_logistic, minimise
-from .text import U, WordHashes, as_bytes, mix, slices, window_hashes, word_hashes
+from .text import U, WordHashes, as_bytes, keep_rows, mix, slices, window_hashes, word_hashes
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
@@ -232,24 +232,47 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
     return fit_field(x, (good | (x @ w + b > 0)).astype(np.int64), chain)
 
 
+@dataclass
+class Verdicts:
+    lines: Lines
+    base_failed: np.ndarray
+    share: np.ndarray  # words in content lines
+    kept: np.ndarray
+
+
+def judge(texts: list[bytes], field: Field, known: WordHashes) -> Verdicts:
+    x = analyse(texts, known)
+    share = np.bincount(x.text, x.words * viterbi(field, x.features, x.text), len(texts))
+    failed = (x.n_words < MIN_WORDS) | (100 * x.n_repeat_words > MAX_REPEAT_PERCENT * x.n_words)
+    return Verdicts(x, failed, share, ~failed & (2 * share >= x.n_words))
+
+
 def score_documents(docs: DataFrame, field: Field) -> DataFrame:
     """docs (doc_id, text) -> doc_id, the counts, base_failed, content_share (of words; null without words), kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in slices(batches, "text"):
-            x = analyse(as_bytes(batch.column(1)), known)
-            content = viterbi(field, x.features, x.text)
-            share = np.bincount(x.text, x.words * content, batch.num_rows)
-            failed = (x.n_words < MIN_WORDS) | (100 * x.n_repeat_words > MAX_REPEAT_PERCENT * x.n_words)
+            v = judge(as_bytes(batch.column(1)), field, known)
+            x = v.lines
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(v, pa.int64()) for v in (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words)), pa.array(failed), pa.array(share / np.maximum(x.n_words, 1), mask=x.n_words == 0), pa.array(~failed & (2 * share >= x.n_words))],
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words)), pa.array(v.base_failed), pa.array(v.share / np.maximum(x.n_words, 1), mask=x.n_words == 0), pa.array(v.kept)],
                 ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept"],
             )
 
     return docs.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean")
 
 
+def keep_documents(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
+    """The kept rows of docs, with all columns."""
+
+    def start():
+        known = WordHashes()
+        return lambda texts: judge(texts, field, known).kept
+
+    return keep_rows(docs, text_col, start)
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fit the field to the labels and score every document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

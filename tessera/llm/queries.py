@@ -8,12 +8,20 @@ from pyspark.sql import functions as F
 
 from tessera.sources import table
 
-from . import chat, ngram_join, packing, sentencepiece_codec, token_counts
+from . import chat, embedding_dedup, ngram_join, packing, quality, sentencepiece_codec, token_counts, toxicity
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"), words=3, threshold=90)
 
@@ -39,8 +47,16 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTES, capacity=1024, end_id=2)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECES).withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_sentencepiece, op5_chat_format, op6_best_fit_packing, op10_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_embedding_dedup, op3_ngram_jaccard_join, op4_sentencepiece, op5_chat_format, op6_best_fit_packing, op7_warc_derivatives, op8_license_scan, op9_quality_rules, op10_token_counts)
+}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
 
 U = np.uint64
 
@@ -89,3 +90,14 @@ def window_hashes(flat: np.ndarray, counts: np.ndarray, width: int, short: bool)
 
 def list_array(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat, type=kind))
+
+
+def keep_rows(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[list[bytes]], np.ndarray]]) -> DataFrame:
+    """The rows, with all their columns, whose text is judged True; judge() is called once in each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = judge()
+        for batch in slices(batches, text_col):
+            yield batch.filter(pa.array(keep(as_bytes(batch.column(batch.schema.get_field_index(text_col)))), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .linear import fit_logistic, sigmoid
 from .storage import materialise
-from .text import as_bytes, slices
+from .text import as_bytes, keep_rows, slices
 
 HASH_BITS = 22
 SIZES = (3, 4, 5, 6)
@@ -135,19 +135,33 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(model.features, w * model.weights, b + odds(share) - odds(min(max(y.mean(), 1e-6), 1 - 1e-6)))
 
 
+def probabilities(texts: list[bytes], model: Model, table: np.ndarray) -> np.ndarray:
+    rows, cols = _present(texts, table)
+    return sigmoid(np.bincount(rows, model.weights[cols], len(texts)) + model.intercept)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs (doc_id, text) -> doc_id, score, predicted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
         for batch in slices(batches, "text"):
-            rows, cols = _present(as_bytes(batch.column(1)), table)
-            p = sigmoid(np.bincount(rows, model.weights[cols], batch.num_rows) + model.intercept)
+            p = probabilities(as_bytes(batch.column(1)), model, table)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def keep_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs that aren't predicted toxic, with all columns."""
+
+    def start():
+        table = model.table()
+        return lambda texts: probabilities(texts, model, table) < THRESHOLD
+
+    return keep_rows(docs, text_col, start)
+
+
 def held_out(doc_id: Column) -> Column:
     """Documents whose labels are never learnt from."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
