@@ -240,3 +240,10 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, threshold: int = 80, id_
 
     found = connected_components(from_pairs.unionAll(from_blocks))
     return members.join(found, members["rep"] == found["id"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+
+
+def keep_representatives(docs: DataFrame, words: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, that are the least id of their component; of rows that repeat an id, one. Rows with a null id stay."""
+    joined = ngram_jaccard_join(docs, words, threshold, id_col, text_col)
+    kept = joined.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))

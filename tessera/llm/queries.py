@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources import table
 
-from . import chat, embedding_dedup, ngram_join, packing, quality, sentencepiece_codec, token_counts, toxicity
+from . import chat, embedding_dedup, licenses, ngram_join, packing, quality, sentencepiece_codec, token_counts, toxicity, warc
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -47,6 +47,26 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTES, capacity=1024, end_id=2)
 
 
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two derivatives of a response record made of each page. The records themselves are named by digests here."""
+    out = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    return out.select("page_id", "kind", "record_id", "refers_to", "target_uri", "date", "source_payload_digest", "block_digest", "content_type", F.octet_length("content").cast("long").alias("content_bytes"), F.sha2("content", 256).alias("content_sha256"), F.sha2("warc", 256).alias("record_sha256"), "error")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files. The table has no paths, so each gets one from its source and id: three levels of directories,
+    each with the first of its documents, by a round id, as its LICENSE file."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    at = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    path = (
+        F.when(F.col("doc_id") % 1000 == 0, F.concat_ws("/", "source", F.lit("LICENSE")))
+        .when(F.col("doc_id") % 100 == 0, F.concat_ws("/", "source", at(1000), F.lit("LICENSE")))
+        .when(F.col("doc_id") % 10 == 0, F.concat_ws("/", "source", at(1000), at(100), F.lit("LICENSE.txt")))
+        .otherwise(F.concat_ws("/", "source", at(1000), at(100), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+    )
+    return licenses.license_scan(docs.withColumn("path", path)).withColumnRenamed("file_id", "doc_id")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
