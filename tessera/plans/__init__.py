@@ -1 +1 @@
-
+"""Named queries and the SQL they are checked against."""
