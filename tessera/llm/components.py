@@ -27,10 +27,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     A hub's edges are never gathered: each round takes a minimum per node and
     joins it back. Each round is a written table. Self links and nulls are dropped.
     """
-    e = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    e = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links", small=True)
     state = None
     while True:
-        e = materialise(_small_star(_large_star(e)), "stars")
+        e = materialise(_small_star(_large_star(e)), "stars", small=True)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component"))

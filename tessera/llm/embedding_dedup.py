@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import lattice
 from .components import connected_components
-from .storage import materialise
+from .storage import keep
 from .text import U, mix
 
 TABLES, PROBES, WIDTH = 12, 16, 0.7
@@ -165,15 +165,15 @@ def _blocks(df: DataFrame, size: str, by: str) -> DataFrame:
 def embedding_dedup(embeddings: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """embeddings -> vec_id, n_links, component_id, kept; see the module's text."""
     source = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    vectors = materialise(source.mapInArrow(_unit, "vec_id long, print binary, unit binary"), "vectors")
+    vectors = keep(source.mapInArrow(_unit, "vec_id long, print binary, unit binary"))
     valid = vectors.where("print is not null and vec_id is not null")
     classes = valid.groupBy("print").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"))
     reps = valid.join(classes.withColumnRenamed("print", "p"), (F.col("print") == F.col("p")) & (F.col("vec_id") == F.col("rep"))).select("rep", "copies", "unit").dropDuplicates(["rep", "unit"])
-    reps = materialise(reps, "reps")
+    reps = keep(reps)
 
-    rows = materialise(reps.select("rep", "unit").mapInArrow(_cells, "cell long, rep long, base boolean, bits long"), "cells")
+    rows = keep(reps.select("rep", "unit").mapInArrow(_cells, "cell long, rep long, base boolean, bits long"))
     sizes = rows.groupBy("cell").agg(F.count_if("base").alias("held"), F.count("*").alias("size")).where("held > 0 and size > 1")
-    live = materialise(rows.join(sizes, "cell"), "live")
+    live = keep(rows.join(sizes, "cell"))
     few = live.where(F.col("held") * F.col("size") <= CROWDED)
     a = few.where("base").select(F.col("cell").alias("c"), F.col("rep").alias("a"), F.col("bits").alias("x"))
     b = few.select("cell", F.col("rep").alias("b"), F.col("bits").alias("y"), "base")
@@ -185,10 +185,10 @@ def embedding_dedup(embeddings: DataFrame, threshold: float = 0.95, id_col: str
     many = _blocks(live.where(F.col("held") * F.col("size") > CROWDED).select("cell", "rep", "base", "size"), "size", "rep").join(reps.select("rep", "unit"), "rep")
     from_cells = many.groupBy("cell", "bi", "bj").applyInPandas(_cell_links(threshold), "u long, v long")
 
-    found = materialise(connected_components(from_pairs.unionAll(from_cells)), "found")
+    found = connected_components(from_pairs.unionAll(from_cells))
     in_component = found.unionAll(found.select("component", "component").distinct()).toDF("rep", "component")
     sized = in_component.join(in_component.groupBy("component").agg(F.count("*").alias("size")), "component").join(reps, "rep")
-    blocks = _blocks(materialise(sized, "members"), "size", "rep")
+    blocks = _blocks(keep(sized), "size", "rep")
     tasks = max(1, found.count() // 2048)
     # whole small components share tasks; a chunk pair of a larger one is a task
     blocks = blocks.withColumn("task", F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.col("component")))

@@ -3,24 +3,28 @@
 A document's set holds the hashes (64 bits) of its distinct word shingles. Two
 sets link when 100 * intersection >= threshold * union. A token is a shingle.
 
-1. Frequencies: every text adds its shingles to a count sketch of fixed size;
-   cells well above the mean mark *frequent* tokens. The marks depend on the
-   token alone, so a wrong mark costs time, never a link.
-2. Prefixes: the total order is rare tokens by hash, then frequent ones by
-   hash. A set of n tokens lacks at most t = n - ceil(threshold * n / 100)
-   tokens of any partner, so t + 1 leading rare tokens, indexed one by one,
-   meet every partner. Where rare tokens run out, frequent ones follow; they
+1. Frequencies: every text adds its words and its shingles to two count sketches
+   of fixed size. Cells of shingles well above the mean mark *frequent* tokens;
+   others are ranked by the frequency that their words alone let expect. Marks
+   and ranks depend on the token alone, so a wrong one costs time, never a link.
+2. Prefixes: the total order is rare tokens by rank and hash, then frequent
+   ones. A set of n tokens lacks at most t = n - ceil(threshold * n / 100)
+   tokens of any partner, so of t + SHARED leading rare tokens, indexed one by
+   one, a partner has SHARED (fewer where the smaller set is smaller). Where rare tokens run out, frequent ones follow; they
    are dealt into classes by hash and a class gives the 2-combinations of its
    tokens. The prefix is extended until rare + sum(max(0, class size - 1)) >=
-   t + 1: t absences then leave a shared rare token or two shared tokens of one
-   class. Classes are counted per size band (powers of two); a set near the
+   t + SHARED: t absences then leave SHARED shared signatures, as m tokens of a
+   class have at least m - 1 combinations. Classes are counted per size band (powers of two); a set near the
    upper end of a band takes part in the next band too, so that partners always
-   share a band. Bands under 8 tokens index frequent tokens singly.
-3. Candidates: signatures held by a few sets give pairs; those held by many
+   share a band. The lowest bands index frequent tokens singly.
+3. Candidates: signatures held by a few sets give pairs, of which those with
+   SHARED signatures in common are verified; signatures held by many
    are cut into chunks, and pairs of chunks are compared by bit sets inside a
    task, each pair of sets at the least crowded signature it shares, and give
    only the links of a spanning forest. No partner is capped.
-4. Verification is exact on the whole sets, then connected components.
+4. Verification is exact on the whole sets, then connected components. Each set
+   is compared with its likeliest partner first; pairs that are in one component
+   by those links already need no comparison.
 
 Sets that are equal are joined once, as a class. Results per input row:
 doc_id, n_shingles, component_id (the least doc_id reachable by links, itself
@@ -33,6 +37,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -42,33 +47,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import materialise
-from .text import U, WordHashes, as_bytes, list_array, mix, slices, window_hashes, word_hashes
+from .id_filter import passing
+from .storage import keep
+from .text import U, WordHashes, as_bytes, list_array, mix, slices, window_hashes, window_sums, word_hashes
 
 SKETCH_BITS = 20
 CHUNK_BITS = 16
+#: A token is 64 bits: a frequent mark, RANK_BITS of rank, then a hash.
+RANK_BITS = 7
+#: A shingle is frequent if its cell holds this many more than the noise of cells explains.
+MARGIN = 32
+#: Bands of sizes that index frequent tokens singly: sets under 2**SINGLE_BANDS tokens.
+SINGLE_BANDS = 5
+#: Signatures that linked sets have in common at least.
+SHARED = 12
 #: Signatures of more sets than this are compared in chunks.
-CROWDED = 64
+CROWDED = 256
 #: Sets and tokens that one chunk aims at.
 CHUNK_SETS, CHUNK_TOKENS = 1024, 1 << 20
 
 
-def shingle_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Shingle hashes of slices of batches, with repeats: batch, flat hashes, count per text."""
-    known = WordHashes()
+@dataclass(frozen=True)
+class Frequencies:
+    """marks: bit set of the cells of frequent shingles; logs: 8 * log2(count + 1) of the cells of words; total: words in all."""
+
+    marks: bytes
+    logs: bytes
+    total: int
+
+
+def _cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> U(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def shingle_sets(batches: Iterator[pa.RecordBatch], words: int, known: Frequencies | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """For slices of batches: the batch, hashes of all words, hashes of all shingles (with repeats), shingles per text. With known frequencies, tokens in place of shingle hashes."""
+    table = WordHashes()
+    if known:
+        marks, logs = np.unpackbits(np.frombuffer(known.marks, np.uint8)), np.frombuffer(known.logs, np.uint8)
     for batch in slices(batches, "text"):
-        flat, counts = word_hashes([t.lower() for t in as_bytes(batch.column(batch.schema.get_field_index("text")))], known)
-        yield batch, *window_hashes(flat, counts, words, short=True)
+        flat, counts = word_hashes([t.lower() for t in as_bytes(batch.column(batch.schema.get_field_index("text")))], table)
+        hashes, n = window_hashes(flat, counts, words, short=True)
+        if known:
+            # log2 of the count expected of independent words, from 2**-48 to 2**36
+            expected = window_sums(logs[_cell(flat)].astype(np.int32), counts, words) / 8 - (words - 1) * np.log2(known.total + 1)
+            rank = np.clip((expected + 48) * 1.5, 0, (1 << RANK_BITS) - 1).astype(U)
+            hashes = marks[_cell(hashes)].astype(U) << U(63) | rank << U(63 - RANK_BITS) | hashes >> U(1 + RANK_BITS)
+        yield batch, flat, hashes, n
 
 
-def _sketch(docs: DataFrame, words: int) -> np.ndarray:
-    """Counts of all shingles in 2**SKETCH_BITS cells. Partial sketches are added up in a tree of groups of 256."""
-    n_chunks, per = 1 << (SKETCH_BITS - CHUNK_BITS), 1 << CHUNK_BITS
+def _sketch(docs: DataFrame, words: int) -> Frequencies:
+    """Counts of all words and shingles, each in 2**SKETCH_BITS cells. Partial sketches are added up in a tree of groups of 256."""
+    n_chunks, per = 2 << (SKETCH_BITS - CHUNK_BITS), 1 << CHUNK_BITS
 
     def count(batches):
-        total = np.zeros(n_chunks * per, np.int64)
-        for _, hashes, _ in shingle_sets(batches, words):
-            total += np.bincount((hashes >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+        total = np.zeros((2, 1 << SKETCH_BITS), np.int64)
+        for _, flat, hashes, _ in shingle_sets(batches, words):
+            for row, h in zip(total, (flat, hashes), strict=True):
+                row += np.bincount(_cell(h), minlength=len(row))
         parts = total.reshape(n_chunks, per)
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(n_chunks), pa.int32()), "counts": pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())})
 
@@ -83,15 +119,17 @@ def _sketch(docs: DataFrame, words: int) -> np.ndarray:
         part = part.groupBy("chunk", "salt").applyInPandas(add, "chunk int, salt int, counts binary")
         left //= 256
     out = np.zeros((n_chunks, per), np.int64)
-    for row in part.select("chunk", "counts").collect():  # at most as large as the sketch
+    for row in part.select("chunk", "counts").collect():  # at most as large as the sketches
         out[row.chunk] += np.frombuffer(zlib.decompress(row["counts"]), np.int64)
-    return out.ravel()
+    of_words, of_shingles = out.reshape(2, -1)
+    return Frequencies(np.packbits(of_shingles > (mean := of_shingles.mean()) + 4 * np.sqrt(mean) + MARGIN).tobytes(), np.minimum(8 * np.log2(of_words + 1), 255).astype(np.uint8).tobytes(), int(of_words.sum()))
 
 
 def prefix_signatures(tokens: np.ndarray, frequent: np.ndarray, threshold: int) -> np.ndarray:
     """Signatures of one set. tokens: sorted and distinct; frequent: mark of each."""
     n = len(tokens)
-    need = n + (-threshold * n // 100) + 1
+    overlap = -(-threshold * n // 100)
+    need = n - overlap + min(SHARED, overlap)
     rare = tokens[~frequent]
     if len(rare) >= need:
         return rare[:need]
@@ -100,10 +138,10 @@ def prefix_signatures(tokens: np.ndarray, frequent: np.ndarray, threshold: int)
     for b in (band, band + 1):
         if b > band and 100 * n < threshold << b:
             break
-        if b < 3:
+        if b < SINGLE_BANDS:
             found.append(mix(common[: need - len(rare)] + U(1)))
             continue
-        classes = max(1, (1 << b) * (100 - threshold) // 100)
+        classes = max(1, min((1 << b) * (100 - threshold) // 100, (1 << b) * threshold**2 // 10_000 - (1 << b) * (100 - threshold) // 100 - SHARED - 1))
         of = (mix(common + U(2)) % U(classes)).astype(np.int64)
         order = np.argsort(of, kind="stable")
         first = np.zeros(len(of), bool)
@@ -121,16 +159,17 @@ def prefix_signatures(tokens: np.ndarray, frequent: np.ndarray, threshold: int)
     return np.unique(np.concatenate(found))
 
 
-def _signed(docs: DataFrame, words: int, threshold: int, marks: bytes) -> DataFrame:
+def _signed(docs: DataFrame, words: int, threshold: int, known: Frequencies) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # of the sketches' fixed size
+
     def sign(batches):
-        bits = np.unpackbits(np.frombuffer(marks, np.uint8)).astype(bool)
-        for batch, hashes, n in shingle_sets(batches, words):
+        for batch, _, tokens, n in shingle_sets(batches, words, shared.value):
             ends, sizes, prints, sigs = np.cumsum(n), [], [], []
             for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True):
-                own = np.unique(hashes[a:b])
+                own = np.unique(tokens[a:b])
                 sizes.append(len(own))
                 prints.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
-                sigs.append(prefix_signatures(own, bits[(own >> U(64 - SKETCH_BITS)).astype(np.int64)], threshold) if len(own) else own)
+                sigs.append(prefix_signatures(own, own >> U(63) > 0, threshold) if len(own) else own)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), list_array(np.concatenate(sigs).view(np.int64), np.array([len(x) for x in sigs]), pa.int64())], ["doc_id", "n_shingles", "print", "sigs"])
 
     return docs.mapInArrow(sign, "doc_id long, n_shingles long, print binary, sigs array<long>")
@@ -138,7 +177,7 @@ def _signed(docs: DataFrame, words: int, threshold: int, marks: bytes) -> DataFr
 
 def _arrays(docs: DataFrame, words: int) -> DataFrame:
     def arrays(batches):
-        for batch, hashes, n in shingle_sets(batches, words):
+        for batch, _, hashes, n in shingle_sets(batches, words):
             ends = np.cumsum(n)
             own = [np.unique(hashes[a:b]) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), list_array(np.concatenate(own).view(np.int64), np.array([len(x) for x in own]), pa.int64())], ["rep", "tokens"])
@@ -204,10 +243,10 @@ def _block_links(threshold: int):
 
 def ngram_jaccard_join(docs: DataFrame, words: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> doc_id, n_shingles, component_id, one row per row of docs; see the module's text."""
+    if not 70 <= threshold <= 100:
+        raise ValueError("the threshold must be 70 to 100")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counts = _sketch(docs, words)
-    marks = np.packbits(counts > 2 * counts.mean() + CROWDED).tobytes()
-    signed = materialise(_signed(docs, words, threshold, marks), "signed")
+    signed = keep(_signed(docs, words, threshold, _sketch(docs, words)))
 
     classes = signed.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("rep"))
     members = signed.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
@@ -215,20 +254,25 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, threshold: int = 80, id_
         signed.where("n_shingles > 0 and doc_id is not null").join(classes.withColumnRenamed("print", "p"), (F.col("print") == F.col("p")) & (F.col("doc_id") == F.col("rep")))
         .select("rep", F.col("n_shingles").alias("n"), F.explode("sigs").alias("sig"))
     )
-    sizes = held.groupBy("sig").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).where("sets > 1")
-    live = materialise(held.join(sizes, "sig"), "live")
-
-    texts = docs.withColumnRenamed("doc_id", "rep").join(live.select("rep").distinct(), "rep")
-    arrays = materialise(_arrays(texts, words), "arrays")
+    sizes = held.groupBy("sig").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).where("sets > 1")  # all of held's columns, so that both uses share one exchange
+    live = keep(held.join(sizes, "sig"))
 
     few = live.where(F.col("sets") <= CROWDED).select("sig", "rep", "n")
     a, b = few.select("sig", F.col("rep").alias("u"), F.col("n").alias("nu")), few.select("sig", F.col("rep").alias("v"), F.col("n").alias("nv"))
-    pairs = a.join(b, (a["sig"] == b["sig"]) & (F.col("u") < F.col("v")) & (100 * F.least("nu", "nv") >= threshold * F.greatest("nu", "nv"))).select("u", "v").distinct()
+    met = a.join(b, (a["sig"] == b["sig"]) & (F.col("u") < F.col("v")) & (100 * F.least("nu", "nv") >= threshold * F.greatest("nu", "nv")))
+    shared = F.least(F.lit(SHARED), F.ceil(F.min(F.least("nu", "nv")) * threshold / 100))
+    pairs = keep(met.groupBy("u", "v").agg(F.count("*").alias("shared"), shared.alias("least")).where("shared >= least").select("u", "v", "shared"))
+    many = live.where(F.col("sets") > CROWDED)
+
+    chosen = pairs.select(F.explode(F.array("u", "v")).alias("rep")).unionAll(many.select("rep")).distinct()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    arrays = keep(_arrays(passing(docs.withColumnRenamed("doc_id", "rep"), "rep", chosen).join(chosen, "rep"), words).repartition(parts, "rep"))  # dealt once for all joins on rep
     left, right = arrays.select(F.col("rep").alias("u"), F.col("tokens").alias("tu")), arrays.select(F.col("rep").alias("v"), F.col("tokens").alias("tv"))
     both = F.size(F.array_intersect("tu", "tv"))
-    from_pairs = pairs.join(left, "u").join(right, "v").where(100 * both >= threshold * (F.size("tu") + F.size("tv") - both)).select("u", "v")
 
-    many = live.where(F.col("sets") > CROWDED)
+    def verified(some: DataFrame) -> DataFrame:
+        return some.join(left, "u").join(right, "v").where(100 * both >= threshold * (F.size("tu") + F.size("tv") - both)).select("u", "v")
+
     many = many.withColumn("chunks", F.ceil(F.greatest(F.col("sets") / CHUNK_SETS, F.col("tokens") / CHUNK_TOKENS)).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
     lists = many.groupBy("rep").agg(F.collect_list("sig").alias("crowded"))  # at most a prefix long
     blocks = (
@@ -238,7 +282,12 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, threshold: int = 80, id_
     )
     from_blocks = blocks.groupBy("sig", "bi", "bj").applyInPandas(_block_links(threshold), "u long, v long")
 
-    found = connected_components(from_pairs.unionAll(from_blocks))
+    # first the likeliest partner of each set; then only pairs that aren't in one component by that
+    first = pairs.groupBy("v").agg(F.max_by("u", "shared").alias("u")).select("u", "v")
+    found = connected_components(verified(first).unionAll(from_blocks))
+    of_u, of_v = found.toDF("u", "cu"), found.toDF("v", "cv")
+    rest = pairs.select("u", "v").join(of_u, "u", "left").join(of_v, "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+    found = connected_components(found.toDF("u", "v").unionAll(verified(rest)))
     return members.join(found, members["rep"] == found["id"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
 

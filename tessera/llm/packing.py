@@ -30,7 +30,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import keep
 from .text import as_bytes, slices
 
 #: How the vocabulary file spells bytes: printable ones as themselves, the others, in order, from U+0100 on (fixed values).
@@ -151,5 +151,5 @@ def pack(pieces: DataFrame, keys: list[str], capacity: int = 1024, salts: int |
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> doc_id, piece, start, length, ids_crc32, sequence_id, offset; the ids themselves are dropped before anything is shuffled."""
     pieces = tokenize_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col)
-    pieces = materialise(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
+    pieces = keep(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
     return pack(pieces, ["doc_id", "piece", "ids_crc32"], capacity)

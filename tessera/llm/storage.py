@@ -1,4 +1,10 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables.
+
+`keep` holds a table that several steps read, on executors' disks as Spark's own
+cache: a lost executor's part is computed again from its inputs, and
+`spark.catalog.clearCache()` frees it. `materialise` writes a table to the folder
+that all executors share and so cuts lineage, for loops and between stages.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +13,7 @@ import contextlib
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
@@ -35,9 +42,19 @@ def _remove(spark: SparkSession, root: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once and read it back: later uses neither recompute it nor depend on executors that ran it."""
+def keep(df: DataFrame) -> DataFrame:
+    """Compute `df` once, on disk, for several later uses."""
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()
+    return df
+
+
+def materialise(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """Write `df` once and read it back: later uses neither recompute it nor depend on executors that ran it.
+
+    small: rows of few bytes, written as one file for each core at most.
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(spark.sparkContext.defaultParallelism) if small else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -88,6 +88,15 @@ def window_hashes(flat: np.ndarray, counts: np.ndarray, width: int, short: bool)
     return hashes, n
 
 
+def window_sums(values: np.ndarray, counts: np.ndarray, width: int) -> np.ndarray:
+    """Sums of `values` of words over the windows of window_hashes(..., short=True)."""
+    total = np.append(0, np.cumsum(values))
+    ends = np.cumsum(counts)
+    n = np.where(counts > 0, np.maximum(counts - width + 1, 1), 0)
+    first = np.repeat(ends - counts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return total[np.minimum(first + width, np.repeat(ends, n))] - total[first]
+
+
 def list_array(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat, type=kind))
 

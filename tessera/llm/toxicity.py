@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linear import fit_logistic, sigmoid
-from .storage import materialise
+from .storage import keep
 from .text import as_bytes, keep_rows, slices
 
 HASH_BITS = 22
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     half = FIT_DOCS // 2
     chosen = [labels.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half) for k in (0, 1)]
     chosen = chosen[0].unionAll(chosen[1]).withColumnRenamed("doc_id", "_id")  # at most FIT_DOCS rows: small enough to broadcast
-    sample = materialise(docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic"), "toxicity-sample")
+    sample = keep(docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic"))
     best = _select(sample)
     model = Model(best["h"].to_numpy(np.int64), best["ratio"].to_numpy(), 0.0)
 
