@@ -278,7 +278,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, threshold: int = 80, id_
     blocks = (
         many.select("sig", "rep", "n", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
         .select("sig", "rep", "n", "chunk", F.least("chunk", "other").alias("bi"), F.greatest("chunk", "other").alias("bj"))
-        .join(lists, "rep").join(arrays, "rep")
+        .join(arrays.join(lists, "rep"), "rep")
     )
     from_blocks = blocks.groupBy("sig", "bi", "bj").applyInPandas(_block_links(threshold), "u long, v long")
 
