@@ -152,4 +152,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, e
     """docs -> doc_id, piece, start, length, ids_crc32, sequence_id, offset; the ids themselves are dropped before anything is shuffled."""
     pieces = tokenize_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col)
     pieces = keep(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
-    return pack(pieces, ["doc_id", "piece", "ids_crc32"], capacity)
+    packed = pack(pieces, ["doc_id", "piece", "ids_crc32"], capacity)
+    return packed.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)  # small rows: no need of a file for each shuffle partition
