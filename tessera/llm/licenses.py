@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import keep
 from .text import as_bytes, slices
 
 THRESHOLD = 0.75
@@ -179,4 +180,4 @@ def inherit(scanned: DataFrame) -> DataFrame:
 
 def license_scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
     files = files.select(F.col(id_col).cast("long").alias("file_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
-    return inherit(scan_files(files, templates, threshold))
+    return inherit(keep(scan_files(files, templates, threshold)))  # read three times
