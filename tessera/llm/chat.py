@@ -6,9 +6,10 @@ array aggregation: adjacent turns of one role form a message. A message is
     <|im_start|>ROLE\\nTEXT<|im_sep|>TEXT...<|im_end|>\\n
 
 with one TEXT for each turn. Inside texts and roles the escape sign U+241B
-becomes U+241B 0, and every control string (those of this template, line ends in
-roles, and those of other common templates) is broken up by U+241B 1 behind its
-first character, so no control string is left and the text can be told exactly.
+becomes U+241B 0, every control string (those of this template and of other
+common ones) is broken up by U+241B 1 behind its first character, and line ends
+in roles become U+241B 2, so no control string is left and the text can be told
+exactly.
 
 Turns are ordered by turn (nulls first), then role and text, so repeated turns
 have a defined place. A null text or role counts as empty; rows with a null
@@ -75,7 +76,7 @@ def format_chats(turns: DataFrame, template: Template = Template(), id_col: str
 
     chats = chats.select("conv_id", F.aggregate("rows", none, merge).alias("messages"))
     # each message as a head, and its texts, each with the mark behind it
-    head = lambda m: F.concat(F.lit(t.start), _escape(m["role"], [*own, t.role_end]), F.lit(t.role_end))
+    head = lambda m: F.concat(F.lit(t.start), F.replace(_escape(m["role"], own), F.lit(t.role_end), F.lit(ESC + "2")), F.lit(t.role_end))
     trained = lambda m: m["role"].isin(*t.trained)
     parts = F.flatten(F.transform("messages", lambda m: F.concat(
         F.array(F.struct(head(m).alias("part"), F.lit(False).alias("loss"))),
@@ -104,7 +105,7 @@ def read_chats(formatted: DataFrame, template: Template = Template()) -> DataFra
         body = F.substring(m, F.lit(len(t.start) + 1), F.char_length(m))
         role = F.split_part(body, F.lit(t.role_end), F.lit(1))
         texts = F.split(F.substring(body, F.char_length(role) + len(t.role_end) + 1, F.char_length(body)), _between(t.sep), -1)
-        return F.transform(texts, lambda x: F.struct(_unescape(role).alias("role"), _unescape(x).alias("text")))
+        return F.transform(texts, lambda x: F.struct(_unescape(F.replace(role, F.lit(ESC + "2"), F.lit(t.role_end))).alias("role"), _unescape(x).alias("text")))
 
     return formatted.withColumns({
         "turns": F.flatten(F.transform(messages, turns)),

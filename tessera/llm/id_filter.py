@@ -33,22 +33,40 @@ def id_filter(ids: DataFrame, column: str) -> DataFrame:
 
 
 def place(c: Column) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(1 << BITS)).cast("int")
+    """Of a long: its bits folded by exclusive or, which numpy can repeat."""
+    folded = c.cast("long")
+    for shift in (46, 23):
+        folded = folded.bitwiseXOR(F.shiftrightunsigned(folded, shift))
+    return folded.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
 
 
-def passing(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """rows that may have an id of `ids`; keeps work from rows that can't before they are shuffled."""
+def places(x: np.ndarray) -> np.ndarray:
+    folded = x.astype(np.int64).view(np.uint64)
+    for shift in (46, 23):
+        folded = folded ^ (folded >> np.uint64(shift))
+    return (folded & np.uint64((1 << BITS) - 1)).astype(np.int64)
+
+
+def bit_set(ids: DataFrame, column: str) -> bytes:
+    """The whole set, of fixed size, on the driver."""
     bits = np.zeros((1 << (BITS - CHUNK_BITS), 1 << (CHUNK_BITS - 3)), np.uint8)
-    for row in id_filter(ids, "rep").select("chunk", "bits").collect():  # of the set's fixed size
+    for row in id_filter(ids, column).select("chunk", "bits").collect():
         bits[row.chunk] |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
-    shared = rows.sparkSession.sparkContext.broadcast(bits.tobytes())
+    return bits.tobytes()
+
+
+def holds(bits: bytes, places: np.ndarray) -> np.ndarray:
+    return (np.frombuffer(bits, np.uint8)[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 > 0
+
+
+def passing(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """rows that may have an id of `ids` (in its column rep); keeps work from rows that can't before they are shuffled."""
+    shared = rows.sparkSession.sparkContext.broadcast(bit_set(ids, "rep"))
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            at = batch.column(len(names)).to_numpy()
-            hit = (held[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names).filter(pa.array(hit.astype(bool)))
+            hit = holds(shared.value, batch.column(len(names)).to_numpy())
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names).filter(pa.array(hit))
 
-    return rows.withColumn("_place", place(F.col(column))).mapInArrow(run, rows.schema)
+    return rows.where(F.col(column).isNotNull()).withColumn("_place", place(F.col(column))).mapInArrow(run, rows.schema)

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .id_filter import passing
+from .id_filter import bit_set, holds, passing, places
 from .storage import keep
 from .text import U, WordHashes, as_bytes, list_array, mix, slices, window_hashes, window_sums, word_hashes
 
@@ -175,6 +175,21 @@ def _signed(docs: DataFrame, words: int, threshold: int, known: Frequencies) ->
     return docs.mapInArrow(sign, "doc_id long, n_shingles long, print binary, sigs array<long>")
 
 
+def _likely(reps: DataFrame, bits: bytes) -> DataFrame:
+    """reps (rep, n, sigs) with the signatures that may be in the set."""
+    shared = reps.sparkSession.sparkContext.broadcast(bits)  # of the set's fixed size
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            flat, lengths = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            hit = holds(shared.value, places(flat))
+            n = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[hit], minlength=len(lengths))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_array(flat[hit], n, pa.int64())], ["rep", "n", "sigs"])
+
+    return reps.mapInArrow(run, "rep long, n long, sigs array<long>")
+
+
 def _arrays(docs: DataFrame, words: int) -> DataFrame:
     def arrays(batches):
         for batch, _, hashes, n in shingle_sets(batches, words):
@@ -250,11 +265,10 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, threshold: int = 80, id_
 
     classes = signed.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("rep"))
     members = signed.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
-    held = (
-        signed.where("n_shingles > 0 and doc_id is not null").join(classes.withColumnRenamed("print", "p"), (F.col("print") == F.col("p")) & (F.col("doc_id") == F.col("rep")))
-        .select("rep", F.col("n_shingles").alias("n"), F.explode("sigs").alias("sig"))
-    )
-    sizes = held.groupBy("sig").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).where("sets > 1")  # all of held's columns, so that both uses share one exchange
+    reps = signed.where("n_shingles > 0 and doc_id is not null").join(classes.withColumnRenamed("print", "p"), (F.col("print") == F.col("p")) & (F.col("doc_id") == F.col("rep")))
+    reps = keep(reps.select("rep", F.col("n_shingles").alias("n"), "sigs"))
+    sizes = keep(reps.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("sets")).where("sets > 1"))
+    held = _likely(reps, bit_set(sizes, "sig")).select("rep", "n", F.explode("sigs").alias("sig"))
     live = keep(held.join(sizes, "sig"))
 
     few = live.where(F.col("sets") <= CROWDED).select("sig", "rep", "n")
@@ -263,6 +277,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, threshold: int = 80, id_
     shared = F.least(F.lit(SHARED), F.ceil(F.min(F.least("nu", "nv")) * threshold / 100))
     pairs = keep(met.groupBy("u", "v").agg(F.count("*").alias("shared"), shared.alias("least")).where("shared >= least").select("u", "v", "shared"))
     many = live.where(F.col("sets") > CROWDED)
+    many = many.join(many.groupBy("sig").agg(F.sum("n").alias("tokens")), "sig")
 
     chosen = pairs.select(F.explode(F.array("u", "v")).alias("rep")).unionAll(many.select("rep")).distinct()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
