@@ -22,9 +22,7 @@ sets link when 100 * intersection >= threshold * union. A token is a shingle.
    are cut into chunks, and pairs of chunks are compared by bit sets inside a
    task, each pair of sets at the least crowded signature it shares, and give
    only the links of a spanning forest. No partner is capped.
-4. Verification is exact on the whole sets, then connected components. Each set
-   is compared with its likeliest partner first; pairs that are in one component
-   by those links already need no comparison.
+4. Verification is exact on the whole sets, then connected components.
 
 Sets that are equal are joined once, as a class. Results per input row:
 doc_id, n_shingles, component_id (the least doc_id reachable by links, itself
@@ -275,7 +273,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, threshold: int = 80, id_
     a, b = few.select("sig", F.col("rep").alias("u"), F.col("n").alias("nu")), few.select("sig", F.col("rep").alias("v"), F.col("n").alias("nv"))
     met = a.join(b, (a["sig"] == b["sig"]) & (F.col("u") < F.col("v")) & (100 * F.least("nu", "nv") >= threshold * F.greatest("nu", "nv")))
     shared = F.least(F.lit(SHARED), F.ceil(F.min(F.least("nu", "nv")) * threshold / 100))
-    pairs = keep(met.groupBy("u", "v").agg(F.count("*").alias("shared"), shared.alias("least")).where("shared >= least").select("u", "v", "shared"))
+    pairs = keep(met.groupBy("u", "v").agg(F.count("*").alias("shared"), shared.alias("least")).where("shared >= least").select("u", "v"))
     many = live.where(F.col("sets") > CROWDED)
     many = many.join(many.groupBy("sig").agg(F.sum("n").alias("tokens")), "sig")
 
@@ -285,8 +283,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, threshold: int = 80, id_
     left, right = arrays.select(F.col("rep").alias("u"), F.col("tokens").alias("tu")), arrays.select(F.col("rep").alias("v"), F.col("tokens").alias("tv"))
     both = F.size(F.array_intersect("tu", "tv"))
 
-    def verified(some: DataFrame) -> DataFrame:
-        return some.join(left, "u").join(right, "v").where(100 * both >= threshold * (F.size("tu") + F.size("tv") - both)).select("u", "v")
+    from_pairs = pairs.join(left, "u").join(right, "v").where(100 * both >= threshold * (F.size("tu") + F.size("tv") - both)).select("u", "v")
 
     many = many.withColumn("chunks", F.ceil(F.greatest(F.col("sets") / CHUNK_SETS, F.col("tokens") / CHUNK_TOKENS)).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
     lists = many.groupBy("rep").agg(F.collect_list("sig").alias("crowded"))  # at most a prefix long
@@ -297,12 +294,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, threshold: int = 80, id_
     )
     from_blocks = blocks.groupBy("sig", "bi", "bj").applyInPandas(_block_links(threshold), "u long, v long")
 
-    # first the likeliest partner of each set; then only pairs that aren't in one component by that
-    first = pairs.groupBy("v").agg(F.max_by("u", "shared").alias("u")).select("u", "v")
-    found = connected_components(verified(first).unionAll(from_blocks))
-    of_u, of_v = found.toDF("u", "cu"), found.toDF("v", "cv")
-    rest = pairs.select("u", "v").join(of_u, "u", "left").join(of_v, "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
-    found = connected_components(found.toDF("u", "v").unionAll(verified(rest)))
+    found = connected_components(from_pairs.unionAll(from_blocks))
     return members.join(found, members["rep"] == found["id"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
 

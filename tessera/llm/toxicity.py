@@ -130,6 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     data = sample.mapInArrow(run, "doc_id long, toxic int, features binary").toPandas().sort_values(["doc_id", "features"])
     parts = [np.frombuffer(x, "<u2").astype(np.int64) for x in data["features"]]
     rows, cols, y = np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate(parts), data["toxic"].to_numpy(float)
+    del data, parts
+    pa.default_memory_pool().release_unused()
     w, b = fit_logistic(rows, cols, model.weights[cols], y, len(model.weights), PENALTY)
     odds = lambda p: np.log(p / (1 - p))
     return Model(model.features, w * model.weights, b + odds(share) - odds(min(max(y.mean(), 1e-6), 1 - 1e-6)))
