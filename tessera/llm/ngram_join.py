@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .id_filter import bit_set, holds, passing, places
-from .storage import keep
+from .storage import keep, release_memory
 from .text import U, WordHashes, as_bytes, list_array, mix, slices, window_hashes, window_sums, word_hashes
 
 SKETCH_BITS = 20
@@ -260,6 +260,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, threshold: int = 80, id_
         raise ValueError("the threshold must be 70 to 100")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = keep(_signed(docs, words, threshold, _sketch(docs, words)))
+    release_memory()
 
     classes = signed.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("rep"))
     members = signed.select("doc_id", "n_shingles", "print").join(classes, "print", "left")

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linear import fit_logistic, minimise
+from .storage import release_memory
 from .text import U, WordHashes, as_bytes, keep_rows, mix, slices, window_hashes, word_hashes
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -229,7 +230,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
     weight = 1 / np.bincount(chain)[chain]
     at = np.arange(len(x))
     w, b = fit_logistic(np.repeat(at, x.shape[1]), np.tile(np.arange(x.shape[1]), len(x)), x.ravel(), good.astype(float), x.shape[1], 1.0, weight)
-    return fit_field(x, (good | (x @ w + b > 0)).astype(np.int64), chain)
+    field = fit_field(x, (good | (x @ w + b > 0)).astype(np.int64), chain)
+    del rows, parts, x
+    release_memory()
+    return field
 
 
 @dataclass

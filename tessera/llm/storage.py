@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +39,14 @@ def shared_root(spark: SparkSession) -> str:
     return _ROOTS[app]
 
 
+def release_memory() -> None:
+    """Give what large arrays held back to the system, after work on the driver."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _remove(spark: SparkSession, root: str) -> None:
     with contextlib.suppress(Exception):  # the JVM may be gone already
         path = spark._jvm.org.apache.hadoop.fs.Path(root)

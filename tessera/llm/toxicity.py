@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linear import fit_logistic, sigmoid
-from .storage import keep
+from .storage import keep, release_memory
 from .text import as_bytes, keep_rows, slices
 
 HASH_BITS = 22
@@ -131,8 +131,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     parts = [np.frombuffer(x, "<u2").astype(np.int64) for x in data["features"]]
     rows, cols, y = np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate(parts), data["toxic"].to_numpy(float)
     del data, parts
-    pa.default_memory_pool().release_unused()
     w, b = fit_logistic(rows, cols, model.weights[cols], y, len(model.weights), PENALTY)
+    del rows, cols
+    release_memory()
     odds = lambda p: np.log(p / (1 - p))
     return Model(model.features, w * model.weights, b + odds(share) - odds(min(max(y.mean(), 1e-6), 1 - 1e-6)))
 
