@@ -44,15 +44,37 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, width: int, l2: float, weight: np.ndarray | None = None, steps: int = 100) -> tuple[np.ndarray, float]:
-    """Weights and intercept of examples given as (row, column, value); the intercept isn't penalised."""
+def fit_logistic(forward: Callable[[np.ndarray], np.ndarray], backward: Callable[[np.ndarray], np.ndarray], y: np.ndarray, width: int, l2: float, weight: np.ndarray | None = None, steps: int = 100) -> tuple[np.ndarray, float]:
+    """Weights and intercept. forward(w): the examples times w; backward(e): e times the examples. The intercept isn't penalised."""
     weight = np.ones(len(y)) if weight is None else weight
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(rows, values * x[cols], len(y)) + x[-1]
+        z = forward(x[:-1]) + x[-1]
         err = weight * (sigmoid(z) - y)
         value = (weight * (np.logaddexp(0, z) - y * z)).sum() + l2 / 2 * (x[:-1] @ x[:-1])
-        return value, np.append(np.bincount(cols, values * err[rows], width) + l2 * x[:-1], err.sum())
+        return value, np.append(backward(err) + l2 * x[:-1], err.sum())
 
     x = minimise(loss, np.zeros(width + 1), steps)
     return x[:-1], float(x[-1])
+
+
+class SparseRows:
+    """Rows that each hold some columns once, all of a column's entries having the same value. Two bytes an entry; products are taken by blocks of rows."""
+
+    def __init__(self, cols: np.ndarray, lengths: np.ndarray, values: np.ndarray, rows_a_block: int = 256):
+        self.values, self.blocks = values, []
+        ends = np.cumsum(lengths)
+        for a in range(0, len(lengths), rows_a_block):
+            own = lengths[a : a + rows_a_block]
+            self.blocks.append((own, cols[ends[a] - own[0] : ends[a + len(own) - 1]]))
+
+    def forward(self, w: np.ndarray) -> np.ndarray:
+        scaled = self.values * w
+        return np.concatenate([np.bincount(np.repeat(np.arange(len(n)), n), scaled[cols], len(n)) for n, cols in self.blocks])
+
+    def backward(self, err: np.ndarray) -> np.ndarray:
+        out, at = np.zeros(len(self.values)), 0
+        for n, cols in self.blocks:
+            out += np.bincount(cols, np.repeat(err[at : at + len(n)], n), len(out))
+            at += len(n)
+        return out * self.values

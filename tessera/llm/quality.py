@@ -228,10 +228,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
     x, chain = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     good = (rows["quality"].to_numpy() > 0)[chain]
     weight = 1 / np.bincount(chain)[chain]
-    at = np.arange(len(x))
-    w, b = fit_logistic(np.repeat(at, x.shape[1]), np.tile(np.arange(x.shape[1]), len(x)), x.ravel(), good.astype(float), x.shape[1], 1.0, weight)
+    w, b = fit_logistic(lambda w: x @ w, lambda e: e @ x, good.astype(float), x.shape[1], 1.0, weight)
     field = fit_field(x, (good | (x @ w + b > 0)).astype(np.int64), chain)
-    del rows, parts, x
+    del rows, parts
     release_memory()
     return field
 

@@ -12,7 +12,8 @@ the share of toxic labels among all labels.
 The training sample is bounded: FIT_DOCS / 2 labelled documents of either kind
 at most, by hash of their id. It is written once; the model has KEPT_FEATURES
 weights, so what goes to the driver and to executors is bounded too. With labels
-of one kind or none, every score is the share of toxic labels (0 without labels).
+of one kind or none, or of no document here, every score is the share of toxic
+labels (0 without labels).
 
 Null texts count as empty; an empty text scores as a text without any kept
 n-gram. Repeated rows are each scored. Of several labels of a document the
@@ -30,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .linear import fit_logistic, sigmoid
+from .linear import SparseRows, fit_logistic, sigmoid
 from .storage import keep, release_memory
 from .text import as_bytes, keep_rows, slices
 
 HASH_BITS = 22
 SIZES = (3, 4, 5, 6)
 FIT_DOCS, KEPT_FEATURES, LEAST_DOCS = 6000, 1 << 15, 3
+#: Steps of the histogram of evidence: this many for a factor of 2; LOWEST is that of no evidence.
+STEPS, LOWEST = 64, -(1 << 20)
 SMOOTHING, PENALTY = 0.5, 4.0
 THRESHOLD = 0.3
 
@@ -71,6 +74,11 @@ class Model:
         return out
 
 
+def constant(share: float) -> Model:
+    """Scores every text with the share."""
+    return Model(np.empty(0, np.int64), np.empty(0), float(np.log((share + 1e-12) / (1 - share + 1e-12))))
+
+
 def _present(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of the kept features that texts hold, each once."""
     found = [np.empty(0, np.int64)]
@@ -102,8 +110,19 @@ def _select(sample: DataFrame) -> pd.DataFrame:
     a = SMOOTHING
     ratio = F.log((F.col("toxic") + a) / (F.col("nt") + 2 * a)) - F.log((F.col("clean") + a) / (F.col("nc") + 2 * a))
     gap = F.abs(F.col("toxic") / F.col("nt") - F.col("clean") / F.col("nc"))
-    kept = counted.where(F.col("clean") + F.col("toxic") >= LEAST_DOCS).crossJoin(F.broadcast(totals)).withColumn("ratio", ratio)  # totals is one row
-    return kept.orderBy((F.abs("ratio") * gap).desc(), "h").limit(KEPT_FEATURES).select("h", "ratio").toPandas()
+    kept = counted.where(F.col("clean") + F.col("toxic") >= LEAST_DOCS).crossJoin(F.broadcast(totals)).select("h", ratio.alias("ratio"), (F.abs(ratio) * gap).alias("evidence"))  # totals is one row
+    kept = keep(kept.withColumn("step", F.when(F.col("evidence") > 0, F.floor(F.log2("evidence") * STEPS)).otherwise(LOWEST).cast("int")))
+    # a histogram of the evidence tells the step in which the last one is; so the driver gets what stays, not the best of every partition
+    left, last = KEPT_FEATURES, LOWEST - 1
+    for r in sorted(kept.groupBy("step").count().collect(), reverse=True):  # at most 64 * STEPS rows or so: evidence is 2**-50 to 2**4, or 0
+        if r["count"] > left:
+            last = r["step"]
+            break
+        left -= r["count"]
+    best = kept.where(F.col("step") > last).select("h", "ratio", "evidence").unionAll(kept.where(F.col("step") == last).select("h", "ratio", "evidence").orderBy(F.col("evidence").desc(), "h").limit(left))
+    best = best.toPandas().sort_values(["evidence", "h"], ascending=[False, True])
+    kept.unpersist()
+    return best
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -112,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     n = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     share = n.get(1, 0) / max(1, sum(n.values()))
     if not (n.get(0) and n.get(1)):
-        return Model(np.empty(0, np.int64), np.empty(0), float(np.log((share + 1e-12) / (1 - share + 1e-12))))
+        return constant(share)
     half = FIT_DOCS // 2
     chosen = [labels.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half) for k in (0, 1)]
     chosen = chosen[0].unionAll(chosen[1]).withColumnRenamed("doc_id", "_id")  # at most FIT_DOCS rows: small enough to broadcast
@@ -128,11 +147,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.astype("<u2").tobytes() for x in np.split(cols, cuts)], pa.binary())], ["doc_id", "toxic", "features"])
 
     data = sample.mapInArrow(run, "doc_id long, toxic int, features binary").toPandas().sort_values(["doc_id", "features"])
-    parts = [np.frombuffer(x, "<u2").astype(np.int64) for x in data["features"]]
-    rows, cols, y = np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate(parts), data["toxic"].to_numpy(float)
-    del data, parts
-    w, b = fit_logistic(rows, cols, model.weights[cols], y, len(model.weights), PENALTY)
-    del rows, cols
+    if data.empty:
+        return constant(share)
+    lengths, y = data["features"].str.len().to_numpy(np.int64) // 2, data["toxic"].to_numpy(float)
+    rows = SparseRows(np.frombuffer(b"".join(data["features"]), "<u2"), lengths, model.weights)
+    del data
+    w, b = fit_logistic(rows.forward, rows.backward, y, len(model.weights), PENALTY)
+    del rows
     release_memory()
     odds = lambda p: np.log(p / (1 - p))
     return Model(model.features, w * model.weights, b + odds(share) - odds(min(max(y.mean(), 1e-6), 1 - 1e-6)))

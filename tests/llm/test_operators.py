@@ -174,6 +174,25 @@ def test_toxicity_finds_held_out_words(spark):
     out = [x for x in toxicity.toxicity(docs, labels).collect() if x.held_out and x.doc_id < 300]
     assert np.mean([x.predicted == int(x.doc_id % 3 == 0) for x in out]) > 0.98
     assert {x.predicted for x in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0}
+    elsewhere = labels.withColumn("doc_id", F.col("doc_id") + 10_000)
+    assert {round(x.score, 1) for x in toxicity.toxicity(docs, elsewhere).collect()} == {0.3}
+
+
+def test_toxicity_keeps_the_features_of_most_evidence(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "KEPT_FEATURES", 100)
+    r = random.Random(6)
+    rows = [("mean" if i % 4 == 0 else "kind") + " " + "".join(r.choice("abcdef ") for _ in range(60)) for i in range(200)]
+    sample = spark.createDataFrame([(i, t, int(i % 4 == 0)) for i, t in enumerate(rows)], "doc_id long, text string, toxic int")
+    counts = collections.defaultdict(lambda: [0, 0])
+    for i, t in enumerate(rows):
+        for h in {int(x) for own, _ in toxicity.ngrams([t.encode()]) for x in own}:
+            counts[h][i % 4 == 0] += 1
+    evidence = {}
+    for h, (clean, toxic) in counts.items():
+        if clean + toxic >= toxicity.LEAST_DOCS:
+            evidence[h] = abs(np.log((toxic + 0.5) / 51) - np.log((clean + 0.5) / 151)) * abs(toxic / 50 - clean / 150)
+    want = sorted(evidence, key=lambda h: (-round(evidence[h], 9), h))[:100]
+    assert set(toxicity._select(sample)["h"]) == set(want)
 
 
 def test_warc_derivatives_are_linked(spark):
