@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .id_filter import bit_set, holds, passing, places
-from .storage import keep, release_memory
+from .storage import keep, materialise, release, release_memory
 from .text import U, WordHashes, as_bytes, list_array, mix, slices, window_hashes, window_sums, word_hashes
 
 SKETCH_BITS = 20
@@ -254,16 +254,16 @@ def _block_links(threshold: int):
     return links
 
 
-def ngram_jaccard_join(docs: DataFrame, words: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs -> doc_id, n_shingles, component_id, one row per row of docs; see the module's text."""
-    if not 70 <= threshold <= 100:
-        raise ValueError("the threshold must be 70 to 100")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _candidates(docs: DataFrame, words: int, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs (doc_id, text) -> members (doc_id, n_shingles, rep), pairs (u, v) of classes to verify, many (sig, rep, n, sets, tokens): the holders of crowded signatures.
+
+    All three are written, so that signatures and their shuffles can go before token arrays are made.
+    """
     signed = keep(_signed(docs, words, threshold, _sketch(docs, words)))
     release_memory()
-
     classes = signed.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("rep"))
-    members = signed.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
+    members = signed.select("doc_id", "n_shingles", "print").join(classes, "print", "left").select("doc_id", "n_shingles", "rep")
+    members = materialise(members, "members", small=True)
     reps = signed.where("n_shingles > 0 and doc_id is not null").join(classes.withColumnRenamed("print", "p"), (F.col("print") == F.col("p")) & (F.col("doc_id") == F.col("rep")))
     reps = keep(reps.select("rep", F.col("n_shingles").alias("n"), "sigs"))
     sizes = keep(reps.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("sets")).where("sets > 1"))
@@ -274,9 +274,21 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, threshold: int = 80, id_
     a, b = few.select("sig", F.col("rep").alias("u"), F.col("n").alias("nu")), few.select("sig", F.col("rep").alias("v"), F.col("n").alias("nv"))
     met = a.join(b, (a["sig"] == b["sig"]) & (F.col("u") < F.col("v")) & (100 * F.least("nu", "nv") >= threshold * F.greatest("nu", "nv")))
     shared = F.least(F.lit(SHARED), F.ceil(F.min(F.least("nu", "nv")) * threshold / 100))
-    pairs = keep(met.groupBy("u", "v").agg(F.count("*").alias("shared"), shared.alias("least")).where("shared >= least").select("u", "v"))
+    pairs = materialise(met.groupBy("u", "v").agg(F.count("*").alias("shared"), shared.alias("least")).where("shared >= least").select("u", "v"), "pairs", small=True)
     many = live.where(F.col("sets") > CROWDED)
-    many = many.join(many.groupBy("sig").agg(F.sum("n").alias("tokens")), "sig")
+    many = materialise(many.join(many.groupBy("sig").agg(F.sum("n").alias("tokens")), "sig"), "crowded", small=True)
+    for t in (live, sizes, reps, signed):
+        t.unpersist()
+    return members, pairs, many
+
+
+def ngram_jaccard_join(docs: DataFrame, words: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs -> doc_id, n_shingles, component_id, one row per row of docs; see the module's text."""
+    if not 70 <= threshold <= 100:
+        raise ValueError("the threshold must be 70 to 100")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    members, pairs, many = _candidates(docs, words, threshold)
+    release(docs.sparkSession)
 
     chosen = pairs.select(F.explode(F.array("u", "v")).alias("rep")).unionAll(many.select("rep")).distinct()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -296,6 +308,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, threshold: int = 80, id_
     from_blocks = blocks.groupBy("sig", "bi", "bj").applyInPandas(_block_links(threshold), "u long, v long")
 
     found = connected_components(from_pairs.unionAll(from_blocks))
+    release(docs.sparkSession, arrays)
     return members.join(found, members["rep"] == found["id"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
 

@@ -47,6 +47,19 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Free kept tables that nothing reads any more, and the shuffles that made them.
+
+    Spark deletes a shuffle's files once the driver's JVM has collected what
+    refers to it, which by itself can take as long as the job. Tables made from
+    these ones must have been written, else they would be computed again.
+    """
+    for t in tables:
+        t.unpersist()
+    release_memory()
+    spark._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, root: str) -> None:
     with contextlib.suppress(Exception):  # the JVM may be gone already
         path = spark._jvm.org.apache.hadoop.fs.Path(root)
