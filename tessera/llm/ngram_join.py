@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .id_filter import bit_set, holds, passing, places
 from .storage import keep, materialise, release, release_memory
-from .text import U, WordHashes, as_bytes, list_array, mix, slices, window_hashes, window_sums, word_hashes
+from .text import SMALL, U, WordHashes, as_bytes, list_array, mix, slices, window_hashes, window_sums, word_hashes
 
 SKETCH_BITS = 20
 CHUNK_BITS = 16
@@ -83,7 +83,7 @@ def shingle_sets(batches: Iterator[pa.RecordBatch], words: int, known: Frequenci
     table = WordHashes()
     if known:
         marks, logs = np.unpackbits(np.frombuffer(known.marks, np.uint8)), np.frombuffer(known.logs, np.uint8)
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SMALL):
         flat, counts = word_hashes([t.lower() for t in as_bytes(batch.column(batch.schema.get_field_index("text")))], table)
         hashes, n = window_hashes(flat, counts, words, short=True)
         if known:

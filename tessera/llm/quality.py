@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .linear import fit_logistic, minimise
 from .storage import release_memory
-from .text import U, WordHashes, as_bytes, keep_rows, mix, slices, window_hashes, word_hashes
+from .text import SMALL, U, WordHashes, as_bytes, keep_rows, mix, slices, window_hashes, word_hashes
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
@@ -215,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SMALL):
             x = analyse(as_bytes(batch.column(1)), known)
             per = np.bincount(x.text, minlength=batch.num_rows)
             ends = np.cumsum(per)
@@ -255,7 +255,7 @@ def score_documents(docs: DataFrame, field: Field) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SMALL):
             v = judge(as_bytes(batch.column(1)), field, known)
             x = v.lines
             yield pa.RecordBatch.from_arrays(

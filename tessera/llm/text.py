@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 
 U = np.uint64
+#: Bytes of text at once where many arrays of eight bytes a character are alive.
+SMALL = 1 << 20
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
@@ -106,7 +108,7 @@ def keep_rows(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = judge()
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, SMALL):
             yield batch.filter(pa.array(keep(as_bytes(batch.column(batch.schema.get_field_index(text_col)))), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

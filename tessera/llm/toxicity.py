@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .linear import SparseRows, fit_logistic, sigmoid
 from .storage import keep, release_memory
-from .text import as_bytes, keep_rows, slices
+from .text import SMALL, as_bytes, keep_rows, slices
 
 HASH_BITS = 22
 SIZES = (3, 4, 5, 6)
@@ -95,12 +95,12 @@ def _select(sample: DataFrame) -> pd.DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, 1 << HASH_BITS), np.int32)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SMALL):
             toxic = np.array(batch.column(2).to_pylist(), np.int64)
             found = np.unique(np.concatenate([np.empty(0, np.int64), *(of.astype(np.int64) << HASH_BITS | h for h, of in ngrams(as_bytes(batch.column(1))))]))
             row, h = found >> HASH_BITS, found & ((1 << HASH_BITS) - 1)
             for kind in (0, 1):
-                counts[kind] += np.bincount(h[toxic[row] == kind], minlength=counts.shape[1]).astype(np.int32)
+                np.add.at(counts[kind], h[toxic[row] == kind], 1)
         held = np.flatnonzero(counts.any(axis=0))
         for part in np.array_split(held, max(1, len(held) // 50_000)):
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(counts[0][part], pa.int64()), pa.array(counts[1][part], pa.int64())], ["h", "clean", "toxic"])
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SMALL):
             rows, cols = _present(as_bytes(batch.column(1)), table)
             cuts = np.searchsorted(rows, np.arange(1, batch.num_rows))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.astype("<u2").tobytes() for x in np.split(cols, cuts)], pa.binary())], ["doc_id", "toxic", "features"])
@@ -169,7 +169,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SMALL):
             p = probabilities(as_bytes(batch.column(1)), model, table)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
