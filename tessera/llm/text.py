@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 
+from .storage import release_memory
+
 U = np.uint64
 #: Bytes of text at once where many arrays of eight bytes a character are alive.
 SMALL = 1 << 20
@@ -21,7 +23,10 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about `most` bytes of text, or one longer text: memory doesn't follow the batch size."""
+    """Cut batches so that each holds about `most` bytes of text, or one longer text: memory doesn't follow the batch size.
+
+    What a batch took is given back to the system after it, as Python workers live on and stand idle.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -31,6 +36,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             yield batch.slice(a, b - a)
+        del batch, texts
+        release_memory()
 
 
 class WordHashes(dict):

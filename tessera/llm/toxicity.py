@@ -90,17 +90,21 @@ def _present(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndar
     return both >> 20, both & ((1 << 20) - 1)
 
 
+def _add_counts(counts: np.ndarray, texts: list[bytes], toxic: np.ndarray) -> None:
+    """To the document counts of each n-gram, [clean or toxic][hash]."""
+    found = np.unique(np.concatenate([np.empty(0, np.int64), *(of.astype(np.int64) << HASH_BITS | h for h, of in ngrams(texts))]))
+    kind = toxic[found >> HASH_BITS]
+    for k in (0, 1):
+        np.add.at(counts[k], found[kind == k] & ((1 << HASH_BITS) - 1), 1)
+
+
 def _select(sample: DataFrame) -> pd.DataFrame:
     """Hash, clean and toxic document counts of the n-grams of most evidence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, 1 << HASH_BITS), np.int32)
-        for batch in slices(batches, "text", SMALL):
-            toxic = np.array(batch.column(2).to_pylist(), np.int64)
-            found = np.unique(np.concatenate([np.empty(0, np.int64), *(of.astype(np.int64) << HASH_BITS | h for h, of in ngrams(as_bytes(batch.column(1))))]))
-            row, h = found >> HASH_BITS, found & ((1 << HASH_BITS) - 1)
-            for kind in (0, 1):
-                np.add.at(counts[kind], h[toxic[row] == kind], 1)
+        for batch in slices(batches, "text", SMALL // len(SIZES)):
+            _add_counts(counts, as_bytes(batch.column(1)), np.array(batch.column(2).to_pylist(), np.int64))
         held = np.flatnonzero(counts.any(axis=0))
         for part in np.array_split(held, max(1, len(held) // 50_000)):
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(counts[0][part], pa.int64()), pa.array(counts[1][part], pa.int64())], ["h", "clean", "toxic"])
