@@ -1,9 +1,11 @@
 """License scans: TF-IDF cosine to templates, then inheritance from directories.
 
 Texts and templates become sparse TF-IDF vectors over words. The document
-frequencies are those of all files; words of templates alone need a count, as
-other words only add to a passage's length and weigh like unseen ones. In every
-file, each window of lines that begins at a line with an anchor word is compared
+frequencies are those of all files, of every word: they are counted in Spark and
+stay there. The driver fetches those of template words, then those of the other
+words of open passages, where they can change the outcome: passages that reach
+the threshold if these words weigh the least that a word can, and that no other
+passage of the file beats whatever they weigh. In every file, each window of lines that begins at a line with an anchor word is compared
 with every template, up to the length of the longest one; licence files (LICENSE,
 COPYING and the like by name) are also compared whole. A template's anchors are
 its heaviest words, taken until the rest alone couldn't reach the threshold, so
@@ -36,6 +38,8 @@ from .storage import keep
 from .text import as_bytes, slices
 
 THRESHOLD = 0.75
+#: Words whose counts a task gathers before it passes them on.
+COUNTED = 200_000
 LICENCE_FILE = r"(?i)^(licen[cs]es?|copying|copyright|notice|unlicense)([._-].*)?$"
 WORD = re.compile(rb"[a-z0-9]+(?:[.+-][a-z0-9]+)*|[^\x00-\x7f]+")
 
@@ -79,8 +83,9 @@ class Matcher:
         rows = [(name, Counter(words(t.encode()))) for name in sorted(templates) for t in templates[name]]
         self.names = [name for name, _ in rows]
         self.threshold = threshold
-        self.unseen = math.log((files + 1) / 1) + 1
-        self.idf = {w: math.log((files + 1) / (frequency.get(w, 0) + 1)) + 1 for _, row in rows for w in row}
+        #: Greatest idf of a word that occurs in a file; the least is 1.
+        self.most = math.log((files + 1) / 2) + 1
+        self.idf = {w: math.log((files + 1) / (frequency.get(w, 0) + 1)) + 1 for w in {*frequency, *(w for _, row in rows for w in row)}}
         self.postings: dict[bytes, list[tuple[int, float]]] = {}
         anchors: set[bytes] = set()
         for k, (_, row) in enumerate(rows):
@@ -95,57 +100,97 @@ class Matcher:
         self.longest = max(sum(row.values()) for _, row in rows)
         self.anchor = re.compile(rb"(?<![a-z0-9])(?:" + b"|".join(re.escape(w) for w in sorted(anchors, key=len, reverse=True)) + rb")(?![a-z0-9])")
 
-    def best(self, passage: Counter) -> tuple[float, int]:
-        """Greatest cosine and its template."""
-        dots, norm = np.zeros(len(self.names)), 0.0
+    def best(self, passage: Counter) -> tuple[float, float, int]:
+        """Least and greatest cosine that the words without a frequency allow, and the template."""
+        dots, norm, rest = np.zeros(len(self.names)), 0.0, 0
         for w, n in passage.items():
-            x = n * self.idf.get(w, self.unseen)
+            if w not in self.idf:
+                rest += n * n
+                continue
+            x = n * self.idf[w]
             norm += x * x
             for k, y in self.postings.get(w, ()):
                 dots[k] += x * y
         k = int(np.argmax(np.round(dots, 12)))
-        return (float(dots[k] / math.sqrt(norm)), k) if norm else (0.0, k)
+        dot = float(dots[k])
+        return (dot / math.sqrt(norm + rest * self.most**2), dot / math.sqrt(norm + rest), k) if dot else (0.0, 0.0, k)
 
-    def scan(self, text: bytes, whole: bool) -> tuple[str, float, int] | None:
-        """License, cosine, and number of the line where it begins (0 for a whole file)."""
+    def passages(self, text: bytes, whole: bool) -> Iterator[tuple[float, float, str, int, Counter]]:
+        """Least and greatest cosine, license, line and words of each passage that may reach the threshold."""
         low = text.lower()
         hits = [m.start() for m in self.anchor.finditer(low)]
         if not hits:
-            return None
+            return
         lines = low.split(b"\n")
         ends = np.cumsum([len(x) + 1 for x in lines])
-        tried: list[tuple[float, str, int]] = []
         for line in np.unique(np.searchsorted(ends, hits, side="right")).tolist():
             passage: Counter = Counter()
             for now in range(line, len(lines)):
                 passage.update(words(lines[now]))
-                score, k = self.best(passage)
-                tried.append((-score, self.names[k], line))
+                least, most, k = self.best(passage)
+                if most >= self.threshold:
+                    yield least, most, self.names[k], line, passage
                 if passage.total() > 2 * self.longest:  # longer passages only dilute
                     break
         if whole:
-            score, k = self.best(Counter(words(low)))
-            tried.append((-score, self.names[k], 0))
-        score, name, line = min(tried)
+            passage = Counter(words(low))
+            least, most, k = self.best(passage)
+            if most >= self.threshold:
+                yield least, most, self.names[k], 0, passage
+
+    def open_words(self, text: bytes, whole: bool) -> set[bytes]:
+        """The words whose frequencies scan() needs and doesn't have."""
+        found = [(least, most, {w for w in passage if w not in self.idf}) for least, most, _, _, passage in self.passages(text, whole)]
+        bar = max((least for least, _, _ in found), default=0.0) - 1e-9
+        return {w for _, most, open_ in found if most >= bar for w in open_}
+
+    def scan(self, text: bytes, whole: bool) -> tuple[str, float, int] | None:
+        """License, cosine, and number of the line where it begins (0 for a whole file)."""
+        score, name, line = min(((-least, name, line) for least, _, name, line, _ in self.passages(text, whole)), default=(0.0, "", 0))
         return (name, -score, line) if -score >= self.threshold else None
 
 
-def scan_files(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """files (file_id, path, text) -> file_id, path, is_licence_file, own_license, score, line."""
-    vocabulary = sorted({w for row in templates.values() for t in row for w in words(t.encode())})
+def document_frequencies(files: DataFrame) -> DataFrame:
+    """files (text) -> word, n: the number of files that have the word; the empty word stands for all files."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(vocabulary), np.int64), 0
+        total: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+            total.clear()
+            return batch
+
         for batch in slices(batches, "text"):
             for text in as_bytes(batch.column(0)):
-                held = set(words(text))
-                total += np.fromiter((w in held for w in vocabulary), np.int64, len(vocabulary))
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(vocabulary)), pa.int32()), pa.array([n, *total.tolist()], pa.int64())], ["word", "n"])
+                total.update({b"", *words(text)})
+            if len(total) > COUNTED:
+                yield out()
+        yield out()
+
+    return files.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-    counted = files.select("text").mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # a row for each template word
-    n = {r["word"]: r["n"] for r in counted}
-    matcher = Matcher(templates, {w: n.get(k, 0) for k, w in enumerate(vocabulary)}, n.get(-1, 0), threshold)
+
+def scan_files(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """files (file_id, path, text) -> file_id, path, is_licence_file, own_license, score, line."""
+    spark = files.sparkSession
+    name = F.coalesce(F.rlike(F.substring_index("path", "/", -1), F.lit(LICENCE_FILE)), F.lit(False))
+    rows = files.select("file_id", "path", name.alias("is_licence_file"), "text")
+    counted = keep(document_frequencies(files))  # read twice
+    vocabulary = sorted({b"", *(w for row in templates.values() for t in row for w in words(t.encode()))})
+    known = {bytes(r["word"]): r["n"] for r in counted.join(F.broadcast(spark.createDataFrame([(w,) for w in vocabulary], "word binary")), "word").collect()}
+    n_files = known.pop(b"", 0)
+    first = Matcher(templates, known, n_files, threshold)
+
+    def open_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found = {w for t, whole in zip(as_bytes(batch.column(1)), batch.column(0).to_pylist(), strict=True) for w in first.open_words(t, whole)}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], ["word"])
+
+    needed = rows.select("is_licence_file", "text").mapInArrow(open_words, "word binary").distinct()
+    known |= {bytes(r["word"]): r["n"] for r in needed.join(counted, "word").collect()}
+    counted.unpersist()
+    matcher = Matcher(templates, known, n_files, threshold)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -153,8 +198,6 @@ def scan_files(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLAT
             own = [pa.array([f and f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *own], ["file_id", "path", "is_licence_file", "own_license", "score", "line"])
 
-    name = F.coalesce(F.rlike(F.substring_index("path", "/", -1), F.lit(LICENCE_FILE)), F.lit(False))
-    rows = files.select("file_id", "path", name.alias("is_licence_file"), "text")
     return rows.mapInArrow(scan, "file_id long, path string, is_licence_file boolean, own_license string, score double, line int")
 
 

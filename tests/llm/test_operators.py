@@ -219,6 +219,17 @@ def test_licenses_are_inherited_from_the_nearest_directory(spark):
     assert out[2].inherited_from == "a/LICENSE.txt" and out[4].inherited_from is None
 
 
+def test_license_words_weigh_by_their_frequency_in_all_files(spark):
+    files = [(0, "a", "Licensed was under the Apache from License, Version 2.0")] + [(i, "b", f"it was from {i}") for i in range(1, 400)]
+    files += [(400, "c", "Licensed under the Apache License, Version 2.0 zebra quagga")]
+    out = {r.file_id: r for r in licenses.scan_files(spark.createDataFrame(files, "file_id long, path string, text string")).collect()}
+    df = collections.Counter(w for _, _, t in files for w in set(licenses.words(t.encode())))
+    idf = {w: np.log((len(files) + 1) / (n + 1)) + 1 for w, n in df.items()}
+    template = {w: idf[w] ** 2 for w in licenses.words(b"Licensed under the Apache License, Version 2.0.")}
+    cosine = (sum(template.values()) / (sum(template.values()) + idf[b"was"] ** 2 + idf[b"from"] ** 2)) ** 0.5
+    assert out[0].own_license == "Apache-2.0" and abs(out[0].score - cosine) < 1e-9
+
+
 def test_empty_tables(spark):
     docs = frame(spark, []).limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
