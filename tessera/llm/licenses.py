@@ -5,11 +5,14 @@ frequencies are those of all files, of every word: they are counted in Spark and
 stay there. The driver fetches those of template words, then those of the other
 words of open passages, where they can change the outcome: passages that reach
 the threshold if these words weigh the least that a word can, and that no other
-passage of the file beats whatever they weigh. In every file, each window of lines that begins at a line with an anchor word is compared
-with every template, up to the length of the longest one; licence files (LICENSE,
-COPYING and the like by name) are also compared whole. A template's anchors are
-its heaviest words, taken until the rest alone couldn't reach the threshold, so
-a passage without an anchor can't match and is passed by without loss.
+passage of the file beats whatever they weigh. In every file,
+windows of as many words as a template has slide over all words, so a statement
+is found inside longer lines; windows of lines that begin at a line with an anchor
+word are compared too, up to 128 words more than twice the template; licence files
+(LICENSE, COPYING and the like by name) are also compared whole. A template's
+anchors are its heaviest words, taken until the rest alone couldn't reach the
+threshold. A template is passed by, without loss, where the words that the file
+has of it couldn't reach the threshold.
 
 A file's own license is that of the greatest cosine (ties: first in order of
 license id). The license of a directory is the best among its licence files
@@ -85,69 +88,143 @@ class Matcher:
         self.threshold = threshold
         #: Greatest idf of a word that occurs in a file; the least is 1.
         self.most = math.log((files + 1) / 2) + 1
-        self.idf = {w: math.log((files + 1) / (frequency.get(w, 0) + 1)) + 1 for w in {*frequency, *(w for _, row in rows for w in row)}}
-        self.postings: dict[bytes, list[tuple[int, float]]] = {}
-        anchors: set[bytes] = set()
+        self.vocabulary = frozenset(w for _, row in rows for w in row)
+        known = [*sorted(self.vocabulary), *sorted(frequency.keys() - self.vocabulary)]
+        self.index = {w: i for i, w in enumerate(known)}
+        self.idf = np.array([math.log((files + 1) / (frequency.get(w, 0) + 1)) + 1 for w in known])
+        self.lengths = [sum(row.values()) for _, row in rows]
+        self.weights = np.zeros((len(rows), len(self.vocabulary)))
+        self.anchors = np.zeros(self.weights.shape, bool)
         for k, (_, row) in enumerate(rows):
-            weight = {w: n * self.idf[w] for w, n in row.items()}
+            weight = {w: n * self.idf[self.index[w]] for w, n in row.items()}
             norm = math.sqrt(sum(x * x for x in weight.values()))
             left = 1.0
             for w, x in sorted(weight.items(), key=lambda wx: (-wx[1], wx[0])):
-                self.postings.setdefault(w, []).append((k, x / norm))
+                self.weights[k, self.index[w]] = x / norm
                 if left >= threshold**2 - 1e-9:
-                    anchors.add(w)
+                    self.anchors[k, self.index[w]] = True
                     left -= (x / norm) ** 2
-        self.longest = max(sum(row.values()) for _, row in rows)
-        self.anchor = re.compile(rb"(?<![a-z0-9])(?:" + b"|".join(re.escape(w) for w in sorted(anchors, key=len, reverse=True)) + rb")(?![a-z0-9])")
-
-    def best(self, passage: Counter) -> tuple[float, float, int]:
-        """Least and greatest cosine that the words without a frequency allow, and the template."""
-        dots, norm, rest = np.zeros(len(self.names)), 0.0, 0
-        for w, n in passage.items():
-            if w not in self.idf:
-                rest += n * n
-                continue
-            x = n * self.idf[w]
-            norm += x * x
-            for k, y in self.postings.get(w, ()):
-                dots[k] += x * y
-        k = int(np.argmax(np.round(dots, 12)))
-        dot = float(dots[k])
-        return (dot / math.sqrt(norm + rest * self.most**2), dot / math.sqrt(norm + rest), k) if dot else (0.0, 0.0, k)
-
-    def passages(self, text: bytes, whole: bool) -> Iterator[tuple[float, float, str, int, Counter]]:
-        """Least and greatest cosine, license, line and words of each passage that may reach the threshold."""
+
+    def windows(self, text: bytes, whole: bool) -> "Windows | None":
+        """The windows that may hold the best match; None if there is none."""
         low = text.lower()
-        hits = [m.start() for m in self.anchor.finditer(low)]
-        if not hits:
-            return
-        lines = low.split(b"\n")
-        ends = np.cumsum([len(x) + 1 for x in lines])
-        for line in np.unique(np.searchsorted(ends, hits, side="right")).tolist():
-            passage: Counter = Counter()
-            for now in range(line, len(lines)):
-                passage.update(words(lines[now]))
-                least, most, k = self.best(passage)
-                if most >= self.threshold:
-                    yield least, most, self.names[k], line, passage
-                if passage.total() > 2 * self.longest:  # longer passages only dilute
-                    break
+        held = [self.index[w] for w in self.vocabulary.intersection(words(low))]
+        near = np.flatnonzero((self.weights[:, held] ** 2).sum(1) >= self.threshold**2 - 1e-9) if held else []
+        if not len(near):
+            return None
+        found = Windows(self, low)
+        for k in near:
+            found.slide(k)
+        found.grow_lines(near)
         if whole:
-            passage = Counter(words(low))
-            least, most, k = self.best(passage)
-            if most >= self.threshold:
-                yield least, most, self.names[k], 0, passage
+            for k in near:
+                found.add(k, np.zeros(1, np.int64), np.array([found.n]), *found.norms(0, np.array([found.n])))
+        return found.pruned()
 
     def open_words(self, text: bytes, whole: bool) -> set[bytes]:
         """The words whose frequencies scan() needs and doesn't have."""
-        found = [(least, most, {w for w in passage if w not in self.idf}) for least, most, _, _, passage in self.passages(text, whole)]
-        bar = max((least for least, _, _ in found), default=0.0) - 1e-9
-        return {w for _, most, open_ in found if most >= bar for w in open_}
+        found = self.windows(text, whole)
+        return found.open_words() if found else set()
 
     def scan(self, text: bytes, whole: bool) -> tuple[str, float, int] | None:
         """License, cosine, and number of the line where it begins (0 for a whole file)."""
-        score, name, line = min(((-least, name, line) for least, _, name, line, _ in self.passages(text, whole)), default=(0.0, "", 0))
-        return (name, -score, line) if -score >= self.threshold else None
+        found = self.windows(text, whole)
+        return found.best() if found else None
+
+
+class Windows:
+    """Windows of a text's words, with bounds on their cosines to templates.
+
+    The square of a window's norm is the sum, over its places, of the word's squared
+    idf times 2 c - 1, if it is the word's c-th place in the window. Words without a
+    frequency weigh between 1 and Matcher.most.
+    """
+
+    def __init__(self, matcher: Matcher, low: bytes) -> None:
+        self.m = matcher
+        lines = [words(x) for x in low.split(b"\n")]
+        self.words = [w for row in lines for w in row]
+        self.n = n = len(self.words)
+        self.ends = np.cumsum([len(row) for row in lines])
+        local = dict(matcher.index)
+        self.ids = ids = np.fromiter((local.setdefault(w, len(local)) for w in self.words), np.int64, n)
+        self.known = ids < len(matcher.idf)
+        self.idf = np.where(self.known, matcher.idf[np.minimum(ids, len(matcher.idf) - 1)], 0)
+        self.in_template = ids < len(matcher.vocabulary)
+        order = np.argsort(ids, kind="stable")
+        self.keys = ids[order] * (n + 1) + order
+        self.place = np.empty(n, np.int64)
+        self.place[order] = np.arange(n)
+        self.dots: dict[int, np.ndarray] = {}
+        self.found: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, k: int, starts: np.ndarray, ends: np.ndarray, norm: np.ndarray, rest: np.ndarray) -> None:
+        """Windows of template k, if they may reach the threshold."""
+        if k not in self.dots:
+            part = np.zeros(self.n)
+            part[self.in_template] = self.m.weights[k, self.ids[self.in_template]] * self.idf[self.in_template]
+            self.dots[k] = np.append(0, np.cumsum(part))
+        dot = self.dots[k][ends] - self.dots[k][starts]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            most = np.nan_to_num(dot / np.sqrt(norm + rest))
+            least = np.nan_to_num(dot / np.sqrt(norm + rest * self.m.most**2))
+        ok = most >= self.m.threshold - 1e-9
+        self.found.append((least[ok], most[ok], np.full(ok.sum(), k), starts[ok], ends[ok]))
+
+    def norms(self, start: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared norms of the windows from start to each end, of words with a frequency; and sums of the squared counts of the others."""
+        span = slice(start, int(ends[-1]))
+        _, first, which = np.unique(self.ids[span], return_index=True, return_inverse=True)
+        odd = 2 * (self.place[span] - self.place[span][first][which]) + 1
+        at = ends - start
+        return np.append(0, np.cumsum(self.idf[span] ** 2 * odd))[at], np.append(0, np.cumsum(np.where(self.known[span], 0, odd)))[at]
+
+    def slide(self, k: int) -> None:
+        """All windows of template k's length; a shorter text is one window."""
+        n, width = self.n, min(self.m.lengths[k], self.n)
+        starts = np.arange(n - width + 1)
+        out, new = starts[:-1], starts[:-1] + width
+        left = 2 * (np.searchsorted(self.keys, self.ids[out] * (n + 1) + new) - self.place[out]) - 1
+        come = 2 * (self.place[new] - np.searchsorted(self.keys, self.ids[new] * (n + 1) + out + 1)) + 1
+        norm, rest = self.norms(0, np.array([width]))
+        norm = norm + np.append(0, np.cumsum(self.idf[new] ** 2 * come - self.idf[out] ** 2 * left))
+        rest = rest + np.append(0, np.cumsum(np.where(self.known[new], 0, come) - np.where(self.known[out], 0, left)))
+        self.add(k, starts, starts + width, norm, rest)
+
+    def grow_lines(self, near: np.ndarray) -> None:
+        """Windows of lines from each line that has an anchor."""
+        line = np.searchsorted(self.ends, np.arange(self.n), side="right")
+        hit = np.zeros((len(near), len(self.ends)), bool)
+        for j, k in enumerate(near):
+            held = np.flatnonzero(self.in_template)
+            hit[j, line[held[self.m.anchors[k, self.ids[held]]]]] = True
+        for a in np.flatnonzero(hit.any(0)):
+            ks = near[hit[:, a]]
+            start = int(self.ends[a - 1]) if a else 0
+            reach = start + 2 * max(self.m.lengths[k] for k in ks) + 128
+            ends = np.unique(self.ends[a : int(np.searchsorted(self.ends, reach, side="right")) + 1])
+            norm, rest = self.norms(start, ends)
+            for k in ks:
+                self.add(k, np.full(len(ends), start), ends, norm, rest)
+
+    def pruned(self) -> "Windows | None":
+        """Leaves out windows that another one beats whatever the other words weigh."""
+        self.least, most, self.k, self.start, self.end = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        ok = most >= self.least.max(initial=0.0) - 1e-9
+        self.least, self.k, self.start, self.end = self.least[ok], self.k[ok], self.start[ok], self.end[ok]
+        return self if ok.any() else None
+
+    def open_words(self) -> set[bytes]:
+        cover = np.zeros(self.n + 1, np.int64)
+        np.add.at(cover, self.start, 1)
+        np.add.at(cover, self.end, -1)
+        return {self.words[i] for i in np.flatnonzero((np.cumsum(cover)[:-1] > 0) & ~self.known)}
+
+    def best(self) -> tuple[str, float, int] | None:
+        line = np.searchsorted(self.ends, self.start, side="right")
+        _, name, at, i = min(zip((-np.round(self.least, 9)).tolist(), (self.m.names[k] for k in self.k), line.tolist(), range(len(line)), strict=True))
+        score = min(float(self.least[i]), 1.0)
+        return (name, score, at) if score >= self.m.threshold - 1e-12 else None
 
 
 def document_frequencies(files: DataFrame) -> DataFrame:

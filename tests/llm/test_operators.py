@@ -230,6 +230,40 @@ def test_license_words_weigh_by_their_frequency_in_all_files(spark):
     assert out[0].own_license == "Apache-2.0" and abs(out[0].score - cosine) < 1e-9
 
 
+def test_license_statements_inside_longer_lines():
+    matcher = licenses.Matcher(licenses.TEMPLATES, {}, 1000, licenses.THRESHOLD)
+    cases = {
+        "Copyright 2021 Jane Doe. Released under the MIT License.": ("MIT", 0),
+        "Copyright (c) Acme. Licensed under the Apache License, Version 2.0.": ("Apache-2.0", 0),
+        "x\nAll of the text in this page is released under the MIT License.": ("MIT", 1),
+        "var a=1;" * 500 + "/* Released under the ISC License. */" + "b=2;" * 500: ("ISC", 0),
+    }
+    for text, (name, line) in cases.items():
+        assert matcher.scan(text.encode(), False) == (name, pytest.approx(1.0), line)
+    assert matcher.scan(b"he ran under the old bridge and released a bird", False) is None
+
+
+def test_license_windows_equal_plain_counts():
+    r = random.Random(3)
+    some = sorted({w for t in licenses.TEMPLATES["MIT"] + licenses.TEMPLATES["ISC"] for w in licenses.words(t.encode())})
+    frequency = {w: r.randint(1, 900) for w in [*some, b"aa", b"bb"]}
+    matcher = licenses.Matcher({k: licenses.TEMPLATES[k] for k in ("MIT", "ISC")}, frequency, 1000, 0.3)
+    for _ in range(30):
+        text = b"".join(r.choice([*some, b"aa", b"bb", b"cc"]) + r.choice([b" ", b" ", b"\n"]) for _ in range(r.randint(1, 150)))
+        found = licenses.Windows(matcher, text)
+        for k in range(len(matcher.names)):
+            found.slide(k)
+        found.grow_lines(np.arange(len(matcher.names)))
+        assert found.n == len(licenses.words(text))
+        for batch in found.found:
+            for least, most, k, start, end in zip(*batch, strict=True):
+                held = collections.Counter(found.words[start:end])
+                for bound, other in ((least, matcher.most), (most, 1.0)):
+                    weight = {w: n * (matcher.idf[matcher.index[w]] if w in matcher.index else other) for w, n in held.items()}
+                    dot = sum(x * matcher.weights[k, matcher.index[w]] for w, x in weight.items() if w in matcher.vocabulary)
+                    assert bound == pytest.approx(dot / sum(x * x for x in weight.values()) ** 0.5)
+
+
 def test_empty_tables(spark):
     docs = frame(spark, []).limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
