@@ -14,6 +14,9 @@ anchors are its heaviest words, taken until the rest alone couldn't reach the
 threshold. A template is passed by, without loss, where the words that the file
 has of it couldn't reach the threshold.
 
+Templates are statements, titles, notices and full texts. SPDX tags are read as
+such and count as cosine 1; each listed id of an expression is a candidate.
+
 A file's own license is that of the greatest cosine (ties: first in order of
 license id). The license of a directory is the best among its licence files
 (ties: first path). A file without a license of its own takes that of its nearest
@@ -31,6 +34,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -46,26 +50,33 @@ COUNTED = 200_000
 LICENCE_FILE = r"(?i)^(licen[cs]es?|copying|copyright|notice|unlicense)([._-].*)?$"
 WORD = re.compile(rb"[a-z0-9]+(?:[.+-][a-z0-9]+)*|[^\x00-\x7f]+")
 
-#: Statements and headers by SPDX id (fixed values).
-TEMPLATES: dict[str, tuple[str, ...]] = {
-    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.", "Licensed under the GNU Affero General Public License v3.0"),
+#: Tags with an expression of SPDX ids.
+TAG = re.compile(rb"spdx-license-identifier:[ \t]*((?:\([ \t]*)*[a-z0-9.+-]+(?:[ \t]*\))*(?:[ \t]+(?:and|or|with)[ \t]+(?:\([ \t]*)*[a-z0-9.+-]+(?:[ \t]*\))*)*)")
+
+#: Statements, titles and notices by SPDX id (fixed values).
+STATEMENTS: dict[str, tuple[str, ...]] = {
+    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.", "Licensed under the GNU Affero General Public License v3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
     ),
-    "BSD-2-Clause": ("Released under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"),
-    "BSD-3-Clause": ("Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    "BSD-2-Clause": ("Released under the BSD 2-Clause License.",),
+    "BSD-3-Clause": ("Released under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Creative Commons Attribution 4.0 International Public License"),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
     "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.", "This work is released under CC0 1.0 Universal Public Domain Dedication."),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0"),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
     "ISC": ("Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0"),
+    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     "MIT": (
         "Released under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
@@ -75,6 +86,14 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 
 
+def texts() -> dict[str, str]:
+    """Full license texts by SPDX id."""
+    return {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in (resources.files(__package__) / "license_texts").iterdir() if f.name.endswith(".txt")}
+
+
+TEMPLATES: dict[str, tuple[str, ...]] = {name: (*some, *([full[name]] if name in full else [])) for full in [texts()] for name, some in STATEMENTS.items()}
+
+
 def words(text: bytes) -> list[bytes]:
     return WORD.findall(text.lower())
 
@@ -129,7 +148,16 @@ class Matcher:
     def scan(self, text: bytes, whole: bool) -> tuple[str, float, int] | None:
         """License, cosine, and number of the line where it begins (0 for a whole file)."""
         found = self.windows(text, whole)
-        return found.best() if found else None
+        some = [*self.tags(text), *filter(None, [found and found.best()])]
+        return min(some, key=lambda x: (-round(x[1], 9), x[0], x[2]), default=None)
+
+    def tags(self, text: bytes) -> list[tuple[str, float, int]]:
+        """The licenses that SPDX tags name, each with cosine 1."""
+        low = text.lower()
+        if b"spdx-license-identifier" not in low:
+            return []
+        ids = {name.lower().encode(): name for name in self.names}
+        return [(ids[x], 1.0, low.count(b"\n", 0, m.start())) for m in TAG.finditer(low) for x in (re.sub(rb"-only$|-or-later$|\+$", b"", y) for y in re.findall(rb"[a-z0-9.+-]+", m[1])) if x in ids]
 
 
 class Windows:
@@ -155,6 +183,7 @@ class Windows:
         self.keys = ids[order] * (n + 1) + order
         self.place = np.empty(n, np.int64)
         self.place[order] = np.arange(n)
+        self.first = np.empty(len(local), np.int64)
         self.dots: dict[int, np.ndarray] = {}
         self.found: list[tuple[np.ndarray, ...]] = []
 
@@ -174,8 +203,9 @@ class Windows:
     def norms(self, start: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Squared norms of the windows from start to each end, of words with a frequency; and sums of the squared counts of the others."""
         span = slice(start, int(ends[-1]))
-        _, first, which = np.unique(self.ids[span], return_index=True, return_inverse=True)
-        odd = 2 * (self.place[span] - self.place[span][first][which]) + 1
+        ids = self.ids[span]
+        self.first[ids[::-1]] = self.place[span][::-1]  # the first place of a word is written last
+        odd = 2 * (self.place[span] - self.first[ids]) + 1
         at = ends - start
         return np.append(0, np.cumsum(self.idf[span] ** 2 * odd))[at], np.append(0, np.cumsum(np.where(self.known[span], 0, odd)))[at]
 

@@ -264,6 +264,31 @@ def test_license_windows_equal_plain_counts():
                     assert bound == pytest.approx(dot / sum(x * x for x in weight.values()) ** 0.5)
 
 
+def test_license_texts_notices_and_tags():
+    matcher = licenses.Matcher(licenses.TEMPLATES, {}, 1000, licenses.THRESHOLD)
+    full = licenses.texts()
+    assert set(full) == set(licenses.TEMPLATES) - {"AGPL-3.0", "CC-BY-4.0", "CC-BY-NC-4.0"}
+    for name, text in full.items():
+        again = "Copyright (c) 2020 Jane Doe\n" + "".join(f" * {x}\n" for x in re.findall(r"(?:\S+\s+){1,9}|\S+", " ".join(text.split())))
+        for t in (text, again, " ".join(text.split())):
+            assert matcher.scan(t.encode(), False)[0] == name
+    notice = "This program is free software{} you can redistribute it and/or modify\n# it under the terms of the GNU {} as published by\n# the Free Software Foundation{} either version {} of the License, or\n# (at your option) any later version."
+    kinds = {"GPL-2.0": (";", "General Public License", ";", 2), "GPL-3.0": (":", "General Public License", ",", 3), "LGPL-3.0": (":", "Lesser General Public License", ",", 3), "AGPL-3.0": (":", "Affero General Public License", ",", 3)}
+    for name, parts in kinds.items():
+        assert matcher.scan(notice.format(*parts).encode(), False)[0] == name
+    for name in licenses.TEMPLATES:
+        assert matcher.scan(f"x\n// SPDX-License-Identifier: {name}\n".encode(), False) == (name, 1.0, 1)
+    tags = {"GPL-2.0-only": "GPL-2.0", "LGPL-3.0-or-later": "LGPL-3.0", "GPL-3.0+": "GPL-3.0", "(MIT OR Zlib)": "MIT", "GPL-2.0 WITH Classpath-exception-2.0": "GPL-2.0"}
+    for tag, name in tags.items():
+        assert matcher.scan(f"/* SPDX-License-Identifier: {tag} */".encode(), False)[0] == name
+    assert matcher.scan(b"the SPDX-License-Identifier: Zlib", False) is None
+    bsd = full["BSD-3-Clause"].replace("the copyright holder nor the names of its", "the University nor the names of its").replace("COPYRIGHT HOLDERS", "REGENTS")
+    assert matcher.scan(bsd.encode(), True)[0] == "BSD-3-Clause"
+    share = full["CC-BY-SA-4.0"]
+    for name, kind in (("CC-BY-4.0", "Attribution"), ("CC-BY-NC-4.0", "Attribution-NonCommercial")):
+        assert matcher.scan(share.replace("Attribution-ShareAlike", kind).encode(), True)[0] == name
+
+
 def test_empty_tables(spark):
     docs = frame(spark, []).limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
