@@ -69,6 +69,8 @@ class PieceModel:
         follows = {(p[k - 1], p[k]) for p in self.number for k in range(1, len(p))}
         while wrong := {b for a, b in follows if b in marks and a not in marks and a != SPACE}:
             marks -= wrong
+        self.is_mark = np.zeros(0x110000, bool)
+        self.is_mark[[ord(c) for c in marks]] = True
         own = "".join(f"\\x{ord(c):02x}" for c in sorted(marks)).encode()
         self.segment = re.compile(rb" *[%b]*[^ %b]+| *[%b]+| +" % (own, own, own) if marks else rb" *[^ ]+| +")
 
@@ -76,6 +78,13 @@ class PieceModel:
         """Parts of the text, with its dummy prefix, over whose borders nothing merges; spaces stand for the space symbol."""
         return self.segment.findall(b" " + text.replace(SPACE.encode(), b" ")) if text else []
 
+    def resets(self, chars: np.ndarray) -> np.ndarray:
+        """Whether a segment begins at each code point of a text whose spaces are written as the space symbol; the first has no neighbour and counts as none."""
+        space, mark = chars == ord(SPACE), self.is_mark[chars]
+        out = np.zeros(len(chars), bool)
+        out[1:] = space[1:] & ~space[:-1] | mark[1:] & ~space[:-1] & ~mark[:-1]
+        return out
+
     def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged symbol of pairs; NEVER where the pair doesn't merge."""
         rows = self.pair_table.get(np.where((left >= 0) & (right >= 0), left.astype(np.int64) * self.n_symbols + right, self.n_symbols**2))
