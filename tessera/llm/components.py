@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import drop, materialise
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, least node of its component) of the graph with edges a, b over nodes 0 to n - 1."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        if (label[a] == low).all() and (label[b] == low).all():
+            break
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+    on = np.flatnonzero(label != np.arange(n))
+    return on, label[on]
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -25,12 +40,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) -> (id, component): the least id of each node's component, for nodes with an edge other than the least ones.
 
     A hub's edges are never gathered: each round takes a minimum per node and
-    joins it back. Each round is a written table. Self links and nulls are dropped.
+    joins it back. Each round is a written table, deleted when the next one is
+    there. Self links and nulls are dropped.
     """
-    e = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links", small=True)
+    e = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = None
     while True:
-        e = materialise(_small_star(_large_star(e)), "stars", small=True)
+        before, e = e, materialise(_small_star(_large_star(e)), "stars")
+        drop(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lattice
-from .components import connected_components
+from .components import connected_components, forest
 from .storage import keep
 from .text import U, mix
 
@@ -87,20 +87,6 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[some], n)), pa.array(base.ravel()), pa.array(np.repeat(bits, n))], ["cell", "rep", "base", "bits"])
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, least node of its component) of the graph with edges a, b over nodes 0 to n - 1."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        if (label[a] == low).all() and (label[b] == low).all():
-            break
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-    on = np.flatnonzero(label != np.arange(n))
-    return on, label[on]
-
-
 def _cell_links(threshold: float):
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
         apart = pdf["bi"].iloc[0] != pdf["bj"].iloc[0]
@@ -117,7 +103,7 @@ def _cell_links(threshold: float):
         # rows of one vector are one node
         _, node = np.unique(ids, return_inverse=True)
         first = np.unique(ids)
-        u, v = _forest(node[np.concatenate(a)], node[np.concatenate(b)], len(first))
+        u, v = forest(node[np.concatenate(a)], node[np.concatenate(b)], len(first))
         return pd.DataFrame({"u": first[u], "v": first[v]})
 
     return links

@@ -14,7 +14,7 @@ BITS, CHUNK_BITS = 23, 18
 
 
 def id_filter(ids: DataFrame, column: str) -> DataFrame:
-    """One row for each chunk of the set: chunk, bits (as binary of bytes 0 or 1 packed). At most 2**BITS bits whatever the input; when they fill up, more rows pass, never fewer."""
+    """One row for each chunk of the set: chunk, bits (as binary of bytes 0 or 1 packed). At most 2**BITS bits whatever the input; when they fill up, more rows pass, never fewer. Tasks' sets are united by 256, then those by 256 again, so 16 million tasks leave 256 rows of a chunk."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(1 << BITS, bool)
@@ -29,7 +29,9 @@ def id_filter(ids: DataFrame, column: str) -> DataFrame:
         return pdf.iloc[:1].assign(salt=pdf["salt"].iloc[0] // 256, bits=[zlib.compress(total.tobytes(), 1)]).astype({"salt": "int32"})
 
     parts = ids.select(place(F.col(column))).mapInArrow(collect, "chunk int, bits binary").select("chunk", (F.spark_partition_id() / 256).cast("int").alias("salt"), "bits")
-    return parts.groupBy("chunk", "salt").applyInPandas(unite, "chunk int, salt int, bits binary")
+    for _ in range(2):
+        parts = parts.groupBy("chunk", "salt").applyInPandas(unite, "chunk int, salt int, bits binary")
+    return parts
 
 
 def place(c: Column) -> Column:

@@ -18,17 +18,28 @@ sets link when 100 * intersection >= threshold * union. A token is a shingle.
    upper end of a band takes part in the next band too, so that partners always
    share a band. The lowest bands index frequent tokens singly.
 3. Candidates: signatures held by a few sets give pairs, of which those with
-   SHARED signatures in common are verified; signatures held by many
-   are cut into chunks, and pairs of chunks are compared by bit sets inside a
-   task, each pair of sets at the least crowded signature it shares, and give
-   only the links of a spanning forest. No partner is capped.
+   SHARED signatures in common are verified. Each set with a *crowded* signature,
+   one held by many, is paired with that signature's LEADERS, the first of its
+   holders in as many orders by hash; the same sets lead most signatures of a
+   group of near copies, so a group gives about LEADERS pairs for each set.
 4. Verification is exact on the whole sets, then connected components.
+5. What is left: only links between components matter now. A crowded signature
+   whose holders are all in one component is done. Of the others, holders outside
+   the largest component (the *minor* ones) are compared to all holders, in chunks,
+   inside tasks, each pair at the least such signature it shares; this gives links
+   of spanning forests. Work grows with the minor holders times all holders, so
+   with the square only of sets that share a crowded signature without being
+   linked. No partner is capped and no pair of these is written out.
 
 Sets that are equal are joined once, as a class. Results per input row:
 doc_id, n_shingles, component_id (the least doc_id reachable by links, itself
 included). Null and wordless texts have no shingles and link with nothing. Rows
 with a null id link with nothing and have a null component. Rows that repeat an
 id are one node. Other columns, of any name, are ignored.
+
+The two sketches and the bit sets have a fixed size, whatever the input: with
+terabytes, cells of rare tokens all hold much the same noise, and only tokens
+well above it are told apart, which are the ones that make crowded signatures.
 """
 
 from __future__ import annotations
@@ -44,7 +55,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, forest
 from .id_filter import bit_set, holds, passing, places
 from .storage import keep, materialise, release, release_memory
 from .text import SMALL, U, WordHashes, as_bytes, list_array, mix, slices, window_hashes, window_sums, word_hashes
@@ -59,10 +70,14 @@ MARGIN = 32
 SINGLE_BANDS = 5
 #: Signatures that linked sets have in common at least.
 SHARED = 12
-#: Signatures of more sets than this are compared in chunks.
-CROWDED = 256
+#: Signatures of more sets than this are crowded.
+CROWDED = 64
+#: Sets of each crowded signature that all its holders are paired with.
+LEADERS = 4
 #: Sets and tokens that one chunk aims at.
-CHUNK_SETS, CHUNK_TOKENS = 1024, 1 << 20
+CHUNK_SETS, CHUNK_TOKENS = 512, 1 << 19
+#: Bytes of bit rows in a block; beyond, overlaps are counted token by token.
+BIT_ROWS = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -198,73 +213,82 @@ def _arrays(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("rep", "text").mapInArrow(arrays, "rep long, tokens array<long>")
 
 
-def _index(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Rows and columns of the tokens that `least` lists hold or more; the number of columns."""
-    flat = np.concatenate(lists)
-    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    _, col, count = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = count >= least
-    number = np.cumsum(keep) - 1
-    use = keep[col]
-    return rows[use], number[col[use]], int(keep.sum())
+class Overlaps:
+    """Numbers of elements that rows of one list of arrays have in common with rows of another."""
+
+    def __init__(self, left: list[np.ndarray], right: list[np.ndarray]) -> None:
+        flat = [np.concatenate([np.empty(0, np.int64), *x]) for x in (left, right)]
+        common = np.intersect1d(*flat)
+        self.rows, self.cols, self.starts = [], [], []
+        for lists, own in ((left, flat[0]), (right, flat[1])):
+            at = np.minimum(np.searchsorted(common, own), max(len(common) - 1, 0))
+            hit = common[at] == own if len(common) else np.zeros(len(own), bool)
+            row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])[hit]
+            self.rows.append(row)
+            self.cols.append(at[hit])
+            self.starts.append(np.searchsorted(row, np.arange(len(lists) + 1)))
+        self.width = len(common)
+        words = self.width // 64 + 1
+        self.bits = None
+        if (len(left) + len(right)) * words * 8 <= BIT_ROWS:
+            self.bits = [np.zeros((len(x), words), U) for x in (left, right)]
+            for to, row, col in zip(self.bits, self.rows, self.cols, strict=True):
+                np.bitwise_or.at(to, (row, col // 64), U(1) << (col % 64).astype(U))
+        self.mark = np.zeros(self.width, bool)
+
+    def __call__(self, i: int, some: np.ndarray) -> np.ndarray:
+        """Of row i of the left with the given rows of the right."""
+        if self.bits:
+            return np.bitwise_count(self.bits[1][some] & self.bits[0][i]).sum(axis=1, dtype=np.int64)
+        own = self.cols[0][self.starts[0][i] : self.starts[0][i + 1]]
+        self.mark[own] = True
+        total = np.append(0, np.cumsum(self.mark[self.cols[1]]))
+        self.mark[own] = False
+        return total[self.starts[1][some + 1]] - total[self.starts[1][some]]
 
 
 def _block_links(threshold: int):
+    """A task's links between the minor sets of one chunk and all sets of another, of the holders of one signature."""
+
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"u": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64")})
-        sig, apart = pdf["sig"].iloc[0], pdf["bi"].iloc[0] != pdf["bj"].iloc[0]
-        pdf = pdf.sort_values("rep")
-        ids, sizes, side = pdf["rep"].to_numpy(), pdf["n"].to_numpy(), (pdf["chunk"] == pdf["bj"]).to_numpy()
-        m = len(ids)
-        # pairs that share a crowded signature of lower number are compared there
-        rows, cols, width = _index([x[x < sig] for x in pdf["crowded"]], 2)
-        held = np.zeros((m, width), np.float32)
-        held[rows, cols] = 1
-        rows, cols, width = _index(list(pdf["tokens"]), 2)
-        packed = np.zeros((m, width // 64 + 1), U)
-        np.bitwise_or.at(packed, (rows, cols // 64), U(1) << (cols % 64).astype(U))
-        near = np.zeros((m, m), bool)
-        some = max(1, (1 << 22) // packed.shape[1] // 8)
-        for i in range(m):
-            j = np.flatnonzero((100 * np.minimum(sizes[i], sizes[i + 1 :]) >= threshold * np.maximum(sizes[i], sizes[i + 1 :])) & (ids[i + 1 :] != ids[i])) + i + 1
-            if apart:
-                j = j[side[j] != side[i]]
-            if held.shape[1] and len(j):
-                j = j[held[j] @ held[i] == 0]
-            for k in range(0, len(j), some):
-                part = j[k : k + some]
-                both = np.bitwise_count(packed[part] & packed[i]).sum(axis=1, dtype=np.int64)
-                near[i, part] = 100 * both >= threshold * (sizes[i] + sizes[part] - both)
-        near |= near.T
-        u, v, left = [], [], near.any(axis=1)
-        while left.any():
-            start = int(np.argmax(left))
-            reached = np.zeros(m, bool)
-            reached[start] = True
-            front = reached
-            while front.any():
-                front = near[front].any(axis=0) & ~reached
-                reached |= front
-            found = ids[reached]
-            u += found[1:].tolist()
-            v += [found[0]] * (len(found) - 1)
-            left &= ~reached
-        return pd.DataFrame({"u": u, "v": v}, dtype="int64") if u else none
+        sig = pdf["sig"].iloc[0]
+        x, y = (pdf[pdf["minor_side"] == side].sort_values("rep") for side in (True, False))
+        a, b = x["rep"].to_numpy(), y["rep"].to_numpy()
+        na, nb = x["n"].to_numpy(), y["n"].to_numpy()
+        ca, cb, other_minor = x["comp"].to_numpy(), y["comp"].to_numpy(), y["minor"].to_numpy()
+        # pairs that share such a signature of lower number are compared there
+        lower = Overlaps(*([v[v < sig] for v in side["crowded"]] for side in (x, y)))
+        shared = Overlaps(list(x["tokens"]), list(y["tokens"]))
+        u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i in range(len(x)):
+            j = np.flatnonzero((ca[i] != cb) & ~(other_minor & (b < a[i])) & (100 * np.minimum(na[i], nb) >= threshold * np.maximum(na[i], nb)))
+            if lower.width and len(j):
+                j = j[lower(i, j) == 0]
+            if len(j):
+                both = shared(i, j)
+                j = j[100 * both >= threshold * (na[i] + nb[j] - both)]
+                u.append(np.full(len(j), a[i]))
+                v.append(b[j])
+        u, v = np.concatenate(u), np.concatenate(v)
+        ids, node = np.unique(np.concatenate([u, v]), return_inverse=True)
+        on, least = forest(node[: len(u)], node[len(u) :], len(ids))
+        return pd.DataFrame({"u": ids[on], "v": ids[least]}, dtype="int64")
 
     return links
 
 
 def _candidates(docs: DataFrame, words: int, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs (doc_id, text) -> members (doc_id, n_shingles, rep), pairs (u, v) of classes to verify, many (sig, rep, n, sets, tokens): the holders of crowded signatures.
+    """docs (doc_id, text) -> members (doc_id, n_shingles, rep), pairs (u, v) of classes to verify, many (sig, rep, n): the holders of crowded signatures.
 
     All three are written, so that signatures and their shuffles can go before token arrays are made.
     """
     signed = keep(_signed(docs, words, threshold, _sketch(docs, words)))
     release_memory()
-    classes = signed.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("rep"))
-    members = signed.select("doc_id", "n_shingles", "print").join(classes, "print", "left").select("doc_id", "n_shingles", "rep")
-    members = materialise(members, "members", small=True)
-    reps = signed.where("n_shingles > 0 and doc_id is not null").join(classes.withColumnRenamed("print", "p"), (F.col("print") == F.col("p")) & (F.col("doc_id") == F.col("rep")))
+    with_set, without = signed.where("print is not null"), signed.where("print is null")  # these would all meet at one key of the join
+    classes = with_set.groupBy("print").agg(F.min("doc_id").alias("rep"))
+    members = with_set.select("doc_id", "n_shingles", "print").join(classes, "print").select("doc_id", "n_shingles", "rep")
+    members = materialise(members.unionAll(without.select("doc_id", "n_shingles", F.lit(None).cast("long"))), "members", small=True)
+    reps = with_set.where("doc_id is not null").join(classes.withColumnRenamed("print", "p"), (F.col("print") == F.col("p")) & (F.col("doc_id") == F.col("rep")))
     reps = keep(reps.select("rep", F.col("n_shingles").alias("n"), "sigs"))
     sizes = keep(reps.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("sets")).where("sets > 1"))
     held = _likely(reps, bit_set(sizes, "sig")).select("rep", "n", F.explode("sigs").alias("sig"))
@@ -274,14 +298,39 @@ def _candidates(docs: DataFrame, words: int, threshold: int) -> tuple[DataFrame,
     a, b = few.select("sig", F.col("rep").alias("u"), F.col("n").alias("nu")), few.select("sig", F.col("rep").alias("v"), F.col("n").alias("nv"))
     met = a.join(b, (a["sig"] == b["sig"]) & (F.col("u") < F.col("v")) & (100 * F.least("nu", "nv") >= threshold * F.greatest("nu", "nv")))
     shared = F.least(F.lit(SHARED), F.ceil(F.min(F.least("nu", "nv")) * threshold / 100))
-    pairs = materialise(met.groupBy("u", "v").agg(F.count("*").alias("shared"), shared.alias("least")).where("shared >= least").select("u", "v"), "pairs", small=True)
-    many = live.where(F.col("sets") > CROWDED)
-    many = materialise(many.join(many.groupBy("sig").agg(F.sum("n").alias("tokens")), "sig"), "crowded", small=True)
+    near = met.groupBy("u", "v").agg(F.count("*").alias("shared"), shared.alias("least")).where("shared >= least").select("u", "v")
+
+    many = materialise(live.where(F.col("sets") > CROWDED).select("sig", "rep", "n"), "crowded", small=True)
+    firsts = many.groupBy("sig").agg(*(F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep", "n")).alias(f"l{k}") for k in range(LEADERS)))
+    firsts = firsts.select("sig", F.explode(F.array(*(f"l{k}" for k in range(LEADERS)))).alias("to"))
+    stars = many.join(firsts, "sig").where((F.col("rep") != F.col("to.rep")) & (100 * F.least("n", "to.n") >= threshold * F.greatest("n", "to.n")))
+    pairs = materialise(near.unionAll(stars.select(F.least("rep", "to.rep"), F.greatest("rep", "to.rep"))).distinct(), "pairs")
     for t in (live, sizes, reps, signed):
         t.unpersist()
     return members, pairs, many
 
 
+def _unlinked(many: DataFrame, found: DataFrame) -> DataFrame:
+    """Holders (sig, rep, n, comp, minor, minor_chunks, all_chunks, crowded) of the crowded signatures that more than one component holds. crowded: such signatures of rep."""
+    held = many.join(found, F.col("rep") == F.col("id"), "left").select("sig", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    by_comp = held.groupBy("sig", "comp").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
+    by_sig = by_comp.groupBy("sig").agg(F.max(F.struct("sets", "tokens", "comp")).alias("major"), F.sum("sets").alias("sets"), F.sum("tokens").alias("tokens"), F.count("*").alias("comps")).where("comps > 1")
+    chunks = lambda sets, tokens: F.ceil(F.greatest(sets / CHUNK_SETS, tokens / CHUNK_TOKENS)).cast("int")
+    by_sig = by_sig.select("sig", F.col("major.comp").alias("major"), chunks(F.col("sets") - F.col("major.sets"), F.col("tokens") - F.col("major.tokens")).alias("minor_chunks"), chunks(F.col("sets"), F.col("tokens")).alias("all_chunks"))
+    rest = materialise(held.join(by_sig, "sig").withColumn("minor", F.col("comp") != F.col("major")).drop("major"), "unlinked")
+    return rest.join(rest.groupBy("rep").agg(F.collect_list("sig").alias("crowded")), "rep")  # at most a prefix long
+
+
+def _links_left(rest: DataFrame, arrays: DataFrame, threshold: int) -> DataFrame:
+    """Links (u, v) between components, among the holders of the same crowded signature."""
+    chunk = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["sig", "rep", "n", "comp", "minor", "crowded"]
+    minor = rest.where("minor").select(*cols, F.lit(True).alias("minor_side"), chunk("minor_chunks").alias("i"), every("all_chunks").alias("j"))
+    whole = rest.select(*cols, F.lit(False).alias("minor_side"), chunk("all_chunks").alias("j"), every("minor_chunks").alias("i"))
+    return minor.unionByName(whole).join(arrays, "rep").groupBy("sig", "i", "j").applyInPandas(_block_links(threshold), "u long, v long")
+
+
 def ngram_jaccard_join(docs: DataFrame, words: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> doc_id, n_shingles, component_id, one row per row of docs; see the module's text."""
     if not 70 <= threshold <= 100:
@@ -295,25 +344,38 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, threshold: int = 80, id_
     arrays = keep(_arrays(passing(docs.withColumnRenamed("doc_id", "rep"), "rep", chosen).join(chosen, "rep"), words).repartition(parts, "rep"))  # dealt once for all joins on rep
     left, right = arrays.select(F.col("rep").alias("u"), F.col("tokens").alias("tu")), arrays.select(F.col("rep").alias("v"), F.col("tokens").alias("tv"))
     both = F.size(F.array_intersect("tu", "tv"))
-
-    from_pairs = pairs.join(left, "u").join(right, "v").where(100 * both >= threshold * (F.size("tu") + F.size("tv") - both)).select("u", "v")
-
-    many = many.withColumn("chunks", F.ceil(F.greatest(F.col("sets") / CHUNK_SETS, F.col("tokens") / CHUNK_TOKENS)).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
-    lists = many.groupBy("rep").agg(F.collect_list("sig").alias("crowded"))  # at most a prefix long
-    blocks = (
-        many.select("sig", "rep", "n", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-        .select("sig", "rep", "n", "chunk", F.least("chunk", "other").alias("bi"), F.greatest("chunk", "other").alias("bj"))
-        .join(arrays.join(lists, "rep"), "rep")
-    )
-    from_blocks = blocks.groupBy("sig", "bi", "bj").applyInPandas(_block_links(threshold), "u long, v long")
-
-    found = connected_components(from_pairs.unionAll(from_blocks))
+    verified = pairs.join(left, "u").join(right, "v").where(100 * both >= threshold * (F.size("tu") + F.size("tv") - both)).select("u", "v")
+    found = connected_components(verified)
+
+    rest = _unlinked(many, found)
+    if not rest.isEmpty():
+        more = materialise(_links_left(rest, arrays, threshold), "more")
+        if not more.isEmpty():
+            found = connected_components(found.toDF("u", "v").unionAll(more))
     release(docs.sparkSession, arrays)
-    return members.join(found, members["rep"] == found["id"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")
+    linked = members.where("rep is not null").join(found, F.col("rep") == F.col("id"), "left").select("doc_id", "n_shingles", component)
+    return linked.unionAll(members.where("rep is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def keep_representatives(docs: DataFrame, words: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, that are the least id of their component; of rows that repeat an id, one. Rows with a null id stay."""
-    joined = ngram_jaccard_join(docs, words, threshold, id_col, text_col)
-    kept = joined.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of docs, with all columns, one for each component of their texts: the one of the least id (ids before null, ties by a hash of id and text).
+
+    Rows are told apart by id and text, so rows that repeat an id with unlike texts
+    all stay, and rows with a null id are compared like others. Of rows equal in id
+    and text, the least by all columns stays. Wordless texts link with nothing.
+    """
+    key, n = "_key", "_n"
+    while key in docs.columns or n in docs.columns:
+        key, n = key + "_", n + "_"
+    own = F.xxhash64(F.lit(0), F.col(id_col), F.lit(1), F.col(text_col))  # a null leaves the hash as it is; the numbers tell where it is
+    rows = docs.select(own.alias("doc_id"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    joined = ngram_jaccard_join(rows, words, threshold)
+    ids = rows.groupBy("doc_id").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc_id", "n")).alias("first")
+    kept = joined.select("doc_id", "component_id").distinct().join(ids, "doc_id").groupBy("component_id").agg(first).select(F.col("first.doc_id").alias(key), F.col("first.n").alias(n))
+    kept = materialise(kept, "kept", small=True)
+    keyed = docs.withColumn(key, own)
+    single = keyed.join(kept.where(F.col(n) == 1), key, "left_semi").drop(key)
+    repeated = keyed.join(kept.where(F.col(n) > 1), key, "left_semi").groupBy(key).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row"))
+    return single.unionByName(repeated.select("row.*"))

@@ -14,24 +14,30 @@ import ctypes
 import gc
 import tempfile
 import uuid
+import weakref
 
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
+#: Where written tables are, by the id of the table read back.
+_PATHS: dict[int, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
     """A folder of this application under `spark.checkpoint.dir`; removed when the driver ends.
 
-    Where the cluster names no folder (local tests), a temporary one is used and
-    set on the session's context.
+    Where no folder is named, a local master (tests) gets a temporary one, set on
+    the session's context; on a cluster that is an error, as executors wouldn't
+    share it.
     """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="tessera-")
             spark.sparkContext.setCheckpointDir(base)
         _ROOTS[app] = f"{base.rstrip('/')}/tessera-{app}"
@@ -76,9 +82,18 @@ def keep(df: DataFrame) -> DataFrame:
 def materialise(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write `df` once and read it back: later uses neither recompute it nor depend on executors that ran it.
 
-    small: rows of few bytes, written as one file for each core at most.
+    small: rows of few bytes, dealt out anew in partitions of Spark's advisory size, so that they don't make a file for each task.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(spark.sparkContext.defaultParallelism) if small else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.hint("rebalance") if small else df).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    weakref.finalize(out, _PATHS.pop, id(out), None)
+    return out
+
+
+def drop(table: DataFrame) -> None:
+    """Delete a table that materialise() wrote, once nothing reads it any more."""
+    if path := _PATHS.get(id(table)):
+        _remove(table.sparkSession, path)
