@@ -1,27 +1,30 @@
 """Embedding near-duplicates by lattice hashing.
 
-Each of TABLES tables projects unit vectors to 8 Gaussian coordinates, scaled
-by WIDTH, and decodes them to E8 lattice points. A vector is held in its own
-cell and probes the PROBES neighbouring cells nearest to it; two vectors meet
-where one's cell is held or probed by the other. At cosine 0.95, the hardest
-case, simulation gives a meeting in a table with probability 0.45, so 12 tables
-miss less than one such pair in a thousand. Pairs that meet are compared first
-by 64 sign bits (at 0.95 they differ in 6.5 bits on average; pairs that differ in
-more than 26 go, odds of a loss under 1e-9), then by cosine in double precision.
-
-Equal vectors are one class. Cells with few members give pairs; crowded cells
-are cut into chunks, whose pairs are compared by matrix products inside a task
-and give only the links of a spanning forest. Links make components, and the
-links of each vector are counted inside its component, again chunk by chunk, so
-that each pair is compared once and no list of pairs is ever made. No cell and
-no vector has a cap.
+Each table projects unit vectors to 16 Gaussian coordinates, scaled by a width,
+and decodes them to two E8 lattice points, which name a cell. A vector is held in
+its own cell and probes PROBES cells next to it in one of the two points, those
+nearest to it, and some next to it in both; two vectors meet where one's cell is
+held or probed by the other. Narrow cells hold fewer unlike vectors and need more
+tables: PLANS has the tables with which simulation misses fewer than one in a
+thousand pairs at cosine 0.95, the hardest case, and the plan that compares least
+is taken for the number of vectors. So recall is the same at every size and
+unlike vectors don't fill cells as their number grows.
+
+Equal vectors are one class. Cells with few members give pairs. The members of
+crowded cells are paired with LEADERS of the cell; once the links found so far
+have made components, only cells with several components are left, whose members
+outside the largest one are compared to all, chunk by chunk, by matrix products
+inside a task. The links of each vector are counted inside its component, again
+chunk by chunk, so that each pair is compared once and no list of pairs is ever
+made. No cell and no vector has a cap. All links are decided by the same sum of
+products in double precision.
 
 Results per row: vec_id, n_links (other vectors linked directly), component_id
 (least vec_id reachable), kept (vec_id = component_id). Vectors that are null,
 empty, zero, or hold null or non-finite components link with nothing, as do rows
 with a null id (null component, not kept). Vectors of different length aren't
-linked. Rows that repeat an id are one node with the greatest of its link
-counts. Other columns are not read, whatever their names.
+linked. Rows that repeat an id are one node; the links of its vectors are added
+up. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,14 +39,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lattice
-from .components import connected_components, forest
-from .storage import keep
+from .components import connected_components, dealt, forest, leaders, unlinked
+from .storage import keep, materialise
 from .text import U, mix
 
-TABLES, PROBES, WIDTH = 12, 16, 0.7
-SIGN_BITS, MOST_BITS = 64, 26
-#: Cells with more pairs than this are compared in chunks, chunks of so many vectors.
-CROWDED, CHUNK = 1024, 1024
+PROBES = 16
+CELLS = 1 + PROBES + len(lattice.TOGETHER)
+#: Width of cells, tables, and the odds (as a power of 1/2) that unlike vectors are held in one cell.
+PLANS = ((1.6, 7, 20.3), (1.4, 10, 21.6), (1.2, 16, 24.1), (1.0, 35, 29.6), (0.9, 53, 31.2))
+#: Pairs that few members give at most; cells with more are crowded. Leaders of a crowded cell. Vectors of a chunk.
+CROWDED, LEADERS, CHUNK = 1024, 4, 512
+
+
+def plan(n: int) -> tuple[float, int]:
+    """Width and tables for n vectors: the least of what is dealt out and what meets by chance."""
+    width, tables, _ = min(PLANS, key=lambda p: p[1] * CELLS * (n + n**2 * 2.0 ** -p[2]))
+    return width, tables
 
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,50 +72,54 @@ def _matrix(units: pd.Series | list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(units), "<f8").reshape(len(units), -1)
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    factors = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(8)], dtype=U)
-    for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
-            ids, units = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            sizes = np.array([len(u) // 8 for u in units])
-            for d in np.unique(sizes).tolist():
-                if d not in made:
-                    r = np.random.default_rng(d)
-                    made[d] = r.normal(size=(TABLES, d, 8)) / WIDTH, r.normal(size=(d, SIGN_BITS))
-                some = np.flatnonzero(sizes == d)
-                x = _matrix([units[i] for i in some])
-                bits = np.packbits(x @ made[d][1] > 0, axis=1).view(np.int64).ravel()
-                for t in range(TABLES):
-                    y = x @ made[d][0][t]
-                    own = lattice.decode(y)
-                    cells = np.concatenate([own[:, None, :], lattice.probes(y, own, PROBES)], axis=1)
-                    keys = mix((np.rint(2 * cells).astype(np.int64).view(U) * factors).sum(axis=2, dtype=U) + U(t * 0x10001 + d * 0x1000003)).view(np.int64)
-                    n = keys.shape[1]
-                    base = np.zeros(keys.shape, bool)
-                    base[:, 0] = True
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[some], n)), pa.array(base.ravel()), pa.array(np.repeat(bits, n))], ["cell", "rep", "base", "bits"])
+def _cells(width: float, tables: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        factors = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(16)], dtype=U)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                ids, units = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+                sizes = np.array([len(u) // 8 for u in units])
+                for d in np.unique(sizes).tolist():
+                    if d not in made:
+                        made[d] = np.random.default_rng(d).normal(size=(tables, d, 16)) / width
+                    some = np.flatnonzero(sizes == d)
+                    x = _matrix([units[i] for i in some])
+                    for t in range(tables):
+                        found = lattice.cells(x @ made[d][t], PROBES)
+                        keys = mix((np.rint(2 * found).astype(np.int64).view(U) * factors).sum(axis=2, dtype=U) + U(t * 0x10001 + d * 0x1000003)).view(np.int64)
+                        base = np.zeros(keys.shape, bool)
+                        base[:, 0] = True
+                        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[some], CELLS)), pa.array(base.ravel())], ["key", "rep", "base"])
+
+    return run
+
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of unit vectors, row by row."""
+    return np.einsum("ij,ij->i", x, y)
+
+
+def are_near(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether each row of x is linked to each of y: as cosines() says, which decides what a matrix product leaves open."""
+    c = x @ y.T
+    near = c >= threshold
+    i, j = np.nonzero(np.abs(c - threshold) < 1e-9)
+    near[i, j] = cosines(x[i], y[j]) >= threshold
+    return near
 
 
 def _cell_links(threshold: float):
+    """Links between the minor members of one chunk and all members of another of a cell."""
+
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        apart = pdf["bi"].iloc[0] != pdf["bj"].iloc[0]
-        pdf = pdf.sort_values("rep")
-        ids, base, chunk, x = pdf["rep"].to_numpy(), pdf["base"].to_numpy(), pdf["chunk"].to_numpy(), _matrix(pdf["unit"].tolist())
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        own = np.flatnonzero(base)
-        for k in range(0, len(own), 256):
-            i, j = np.nonzero(x[own[k : k + 256]] @ x.T >= threshold)
-            i = own[k : k + 256][i]
-            use = (ids[i] != ids[j]) & ((chunk[i] != chunk[j]) if apart else True)
-            a.append(i[use])
-            b.append(j[use])
-        # rows of one vector are one node
-        _, node = np.unique(ids, return_inverse=True)
-        first = np.unique(ids)
-        u, v = forest(node[np.concatenate(a)], node[np.concatenate(b)], len(first))
-        return pd.DataFrame({"u": first[u], "v": first[v]})
+        side = pdf["minor_side"].to_numpy()
+        ids, comp, x = pdf["rep"].to_numpy(), pdf["comp"].to_numpy(), _matrix(pdf["unit"].tolist())
+        i, j = np.nonzero(are_near(x[side], x[~side], threshold) & (comp[side, None] != comp[~side]))
+        names, node = np.unique(np.concatenate([ids[side][i], ids[~side][j]]), return_inverse=True)
+        u, v = forest(node[: len(i)], node[len(i) :], len(names))
+        return pd.DataFrame({"u": names[u], "v": names[v]}, dtype="int64")
 
     return links
 
@@ -115,9 +130,12 @@ def _verify(threshold: float):
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
                 a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                same = np.flatnonzero([len(p) == len(q) for p, q in zip(a, b, strict=True)])
-                near = np.array([np.frombuffer(a[i], "<f8") @ np.frombuffer(b[i], "<f8") >= threshold for i in same], bool)
-                yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(same[near], pa.int64())) for k in (0, 1)], ["u", "v"])
+                size = np.array([len(p) if len(p) == len(q) else 0 for p, q in zip(a, b, strict=True)])
+                near = np.zeros(len(size), bool)
+                for d in np.unique(size[size > 0]).tolist():
+                    some = np.flatnonzero(size == d)
+                    near[some] = cosines(_matrix([a[i] for i in some]), _matrix([b[i] for i in some])) >= threshold
+                yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], ["u", "v"])
 
     return run
 
@@ -128,15 +146,12 @@ def _count_links(threshold: float):
         for _, g in pdf.groupby(["component", "bi", "bj"]):
             apart = g["bi"].iloc[0] != g["bj"].iloc[0]
             x, copies, chunk = _matrix(g["unit"].tolist()), g["copies"].to_numpy(), g["chunk"].to_numpy()
-            n = np.zeros(len(g), np.int64)
-            for k in range(0, len(g), 512):
-                near = x[k : k + 512] @ x.T >= threshold
-                if apart:
-                    near &= chunk[k : k + 512, None] != chunk
-                else:
-                    near[np.arange(len(near)), np.arange(k, k + len(near))] = False
-                n[k : k + 512] = near @ copies
-            out.append(pd.DataFrame({"id": g["rep"].to_numpy(), "links": n}))
+            near = are_near(x, x, threshold)
+            if apart:
+                near &= chunk[:, None] != chunk
+            else:
+                np.fill_diagonal(near, False)
+            out.append(pd.DataFrame({"id": g["rep"].to_numpy(), "links": near @ copies}))
         return pd.concat(out)
 
     return count
@@ -149,38 +164,46 @@ def _blocks(df: DataFrame, size: str, by: str) -> DataFrame:
 
 
 def embedding_dedup(embeddings: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """embeddings -> vec_id, n_links, component_id, kept; see the module's text."""
+    """embeddings -> vec_id, n_links, component_id, kept; see the module's text. PLANS hold for thresholds of 0.95 or more; below, recall falls."""
     source = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     vectors = keep(source.mapInArrow(_unit, "vec_id long, print binary, unit binary"))
-    valid = vectors.where("print is not null and vec_id is not null")
+    valid, others = vectors.where("print is not null and vec_id is not null"), vectors.where("print is null or vec_id is null")
     classes = valid.groupBy("print").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"))
-    reps = valid.join(classes.withColumnRenamed("print", "p"), (F.col("print") == F.col("p")) & (F.col("vec_id") == F.col("rep"))).select("rep", "copies", "unit").dropDuplicates(["rep", "unit"])
-    reps = keep(reps)
+    members = materialise(valid.join(classes, "print").select("vec_id", "rep", "copies").unionAll(others.select("vec_id", F.lit(None).cast("long"), F.lit(None).cast("long"))), "members", small=True)
+    firsts = valid.join(classes.withColumnRenamed("print", "p"), (F.col("print") == F.col("p")) & (F.col("vec_id") == F.col("rep"))).select("rep", "copies", "unit")
+    reps = keep(firsts.dropDuplicates(["rep", "unit"]))
 
-    rows = keep(reps.select("rep", "unit").mapInArrow(_cells, "cell long, rep long, base boolean, bits long"))
-    sizes = rows.groupBy("cell").agg(F.count_if("base").alias("held"), F.count("*").alias("size")).where("held > 0 and size > 1")
-    live = keep(rows.join(sizes, "cell"))
+    rows = keep(reps.select("rep", "unit").mapInArrow(_cells(*plan(reps.count())), "key long, rep long, base boolean"))
+    sizes = rows.groupBy("key").agg(F.count_if("base").alias("held"), F.count("*").alias("size")).where("held > 0 and size > 1")
+    live = keep(rows.join(sizes, "key"))
     few = live.where(F.col("held") * F.col("size") <= CROWDED)
-    a = few.where("base").select(F.col("cell").alias("c"), F.col("rep").alias("a"), F.col("bits").alias("x"))
-    b = few.select("cell", F.col("rep").alias("b"), F.col("bits").alias("y"), "base")
-    met = a.join(b, (F.col("c") == F.col("cell")) & F.when(F.col("base"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= MOST_BITS))
-    pairs = met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    a = few.where("base").select(F.col("key").alias("k"), F.col("rep").alias("a"))
+    met = a.join(few.select("key", F.col("rep").alias("b"), "base"), (F.col("k") == F.col("key")) & F.when(F.col("base"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")))
+    many = live.where(F.col("held") * F.col("size") > CROWDED).select("key", "rep", F.lit(1).alias("n")).distinct()
+    many = materialise(many, "crowded", small=True)
+    stars = many.join(leaders(many, LEADERS), "key").where(F.col("rep") != F.col("to.rep"))
+    pairs = materialise(met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).unionAll(stars.select(F.least("rep", "to.rep"), F.greatest("rep", "to.rep"))).distinct(), "pairs")
+    for t in (live, rows, vectors):
+        t.unpersist()
     left, right = reps.select(F.col("rep").alias("u"), F.col("unit").alias("x")), reps.select(F.col("rep").alias("v"), F.col("unit").alias("y"))
-    from_pairs = pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(_verify(threshold), "u long, v long")
-
-    many = _blocks(live.where(F.col("held") * F.col("size") > CROWDED).select("cell", "rep", "base", "size"), "size", "rep").join(reps.select("rep", "unit"), "rep")
-    from_cells = many.groupBy("cell", "bi", "bj").applyInPandas(_cell_links(threshold), "u long, v long")
+    found = connected_components(pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(_verify(threshold), "u long, v long"))
+    rest = unlinked(many, found, CHUNK, CHUNK)
+    if not rest.isEmpty():
+        more = materialise(dealt(rest).join(reps.select("rep", "unit"), "rep").groupBy("key", "i", "j").applyInPandas(_cell_links(threshold), "u long, v long"), "more")
+        if not more.isEmpty():
+            found = connected_components(found.toDF("u", "v").unionAll(more))
 
-    found = connected_components(from_pairs.unionAll(from_cells))
     in_component = found.unionAll(found.select("component", "component").distinct()).toDF("rep", "component")
     sized = in_component.join(in_component.groupBy("component").agg(F.count("*").alias("size")), "component").join(reps, "rep")
-    blocks = _blocks(keep(sized), "size", "rep")
+    blocks = _blocks(sized, "size", "rep")
     tasks = max(1, found.count() // 2048)
     # whole small components share tasks; a chunk pair of a larger one is a task
     blocks = blocks.withColumn("task", F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.col("component")))
     counted = blocks.groupBy("task", F.col("chunks") == 1, "bi", "bj").applyInPandas(_count_links(threshold), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    counted = materialise(counted, "counted")
+    reps.unpersist()
 
-    members = vectors.join(classes, "print", "left").select("vec_id", "rep", "copies")
-    out = members.join(found.withColumnRenamed("id", "f"), F.col("rep") == F.col("f"), "left").join(counted, F.col("rep") == F.col("id"), "left")
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "rep", "vec_id"))
-    return out.select("vec_id", (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    linked = members.where("rep is not null").join(found.withColumnRenamed("id", "f"), F.col("rep") == F.col("f"), "left").join(counted, F.col("rep") == F.col("id"), "left")
+    component = F.coalesce("component", "rep")
+    linked = linked.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return linked.unionAll(members.where("rep is null").select("vec_id", F.lit(0).cast("long"), "vec_id", F.col("vec_id").isNotNull()))

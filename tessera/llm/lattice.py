@@ -40,8 +40,24 @@ def roots() -> np.ndarray:
 ROOTS = roots()
 
 
-def probes(x: np.ndarray, points: np.ndarray, n: int) -> np.ndarray:
-    """The n cells around each point's own one that are nearest to x: shape (rows, n, 8)."""
-    near = (x - points) @ ROOTS.T
-    best = np.argpartition(-near, n - 1, axis=1)[:, :n]
-    return points[:, None, :] + ROOTS[best]
+#: Neighbours of either block that are tried together: the i-th nearest of one with the j-th nearest of the other.
+TOGETHER = tuple((i, j) for i in range(4) for j in range(4) if (i + 1) * (j + 1) <= 4)
+
+
+def cells(x: np.ndarray, n: int) -> np.ndarray:
+    """Rows of 16 coordinates, two blocks of 8 -> shape (rows, 1 + n + len(TOGETHER), 16): the own cell of each row, the n next to it in one
+    block that are nearest, and some next to it in both."""
+    blocks = [x[:, :8], x[:, 8:]]
+    own = [decode(b) for b in blocks]
+    near = [(b - p) @ ROOTS.T for b, p in zip(blocks, own, strict=True)]
+    both = np.concatenate(near, axis=1)
+    best = np.argpartition(-both, n - 1, axis=1)[:, :n]
+    out = np.repeat(np.concatenate(own, axis=1)[:, None, :], 1 + n + len(TOGETHER), axis=1)
+    for k in (0, 1):
+        i, j = np.nonzero(best // len(ROOTS) == k)
+        out[i, 1 + j, 8 * k : 8 * k + 8] += ROOTS[best[i, j] % len(ROOTS)]
+        first = np.argpartition(-near[k], 4, axis=1)[:, :4]
+        first = np.take_along_axis(first, np.argsort(-np.take_along_axis(near[k], first, axis=1), axis=1), axis=1)
+        for place, pair in enumerate(TOGETHER):
+            out[:, 1 + n + place, 8 * k : 8 * k + 8] += ROOTS[first[:, pair[k]]]
+    return out

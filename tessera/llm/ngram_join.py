@@ -55,7 +55,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components, forest
+from .components import connected_components, dealt, forest, leaders, unlinked
 from .id_filter import bit_set, holds, passing, places
 from .storage import keep, materialise, release, release_memory
 from .text import SMALL, U, WordHashes, as_bytes, list_array, mix, slices, window_hashes, window_sums, word_hashes
@@ -251,13 +251,13 @@ def _block_links(threshold: int):
     """A task's links between the minor sets of one chunk and all sets of another, of the holders of one signature."""
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = pdf["sig"].iloc[0]
+        key = pdf["key"].iloc[0]
         x, y = (pdf[pdf["minor_side"] == side].sort_values("rep") for side in (True, False))
         a, b = x["rep"].to_numpy(), y["rep"].to_numpy()
         na, nb = x["n"].to_numpy(), y["n"].to_numpy()
         ca, cb, other_minor = x["comp"].to_numpy(), y["comp"].to_numpy(), y["minor"].to_numpy()
         # pairs that share such a signature of lower number are compared there
-        lower = Overlaps(*([v[v < sig] for v in side["crowded"]] for side in (x, y)))
+        lower = Overlaps(*([v[v < key] for v in side["crowded"]] for side in (x, y)))
         shared = Overlaps(list(x["tokens"]), list(y["tokens"]))
         u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for i in range(len(x)):
@@ -278,7 +278,7 @@ def _block_links(threshold: int):
 
 
 def _candidates(docs: DataFrame, words: int, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs (doc_id, text) -> members (doc_id, n_shingles, rep), pairs (u, v) of classes to verify, many (sig, rep, n): the holders of crowded signatures.
+    """docs (doc_id, text) -> members (doc_id, n_shingles, rep), pairs (u, v) of classes to verify, many (key, rep, n): the holders of crowded signatures.
 
     All three are written, so that signatures and their shuffles can go before token arrays are made.
     """
@@ -300,37 +300,14 @@ def _candidates(docs: DataFrame, words: int, threshold: int) -> tuple[DataFrame,
     shared = F.least(F.lit(SHARED), F.ceil(F.min(F.least("nu", "nv")) * threshold / 100))
     near = met.groupBy("u", "v").agg(F.count("*").alias("shared"), shared.alias("least")).where("shared >= least").select("u", "v")
 
-    many = materialise(live.where(F.col("sets") > CROWDED).select("sig", "rep", "n"), "crowded", small=True)
-    firsts = many.groupBy("sig").agg(*(F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep", "n")).alias(f"l{k}") for k in range(LEADERS)))
-    firsts = firsts.select("sig", F.explode(F.array(*(f"l{k}" for k in range(LEADERS)))).alias("to"))
-    stars = many.join(firsts, "sig").where((F.col("rep") != F.col("to.rep")) & (100 * F.least("n", "to.n") >= threshold * F.greatest("n", "to.n")))
+    many = materialise(live.where(F.col("sets") > CROWDED).select(F.col("sig").alias("key"), "rep", "n"), "crowded", small=True)
+    stars = many.join(leaders(many, LEADERS), "key").where((F.col("rep") != F.col("to.rep")) & (100 * F.least("n", "to.n") >= threshold * F.greatest("n", "to.n")))
     pairs = materialise(near.unionAll(stars.select(F.least("rep", "to.rep"), F.greatest("rep", "to.rep"))).distinct(), "pairs")
     for t in (live, sizes, reps, signed):
         t.unpersist()
     return members, pairs, many
 
 
-def _unlinked(many: DataFrame, found: DataFrame) -> DataFrame:
-    """Holders (sig, rep, n, comp, minor, minor_chunks, all_chunks, crowded) of the crowded signatures that more than one component holds. crowded: such signatures of rep."""
-    held = many.join(found, F.col("rep") == F.col("id"), "left").select("sig", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    by_comp = held.groupBy("sig", "comp").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
-    by_sig = by_comp.groupBy("sig").agg(F.max(F.struct("sets", "tokens", "comp")).alias("major"), F.sum("sets").alias("sets"), F.sum("tokens").alias("tokens"), F.count("*").alias("comps")).where("comps > 1")
-    chunks = lambda sets, tokens: F.ceil(F.greatest(sets / CHUNK_SETS, tokens / CHUNK_TOKENS)).cast("int")
-    by_sig = by_sig.select("sig", F.col("major.comp").alias("major"), chunks(F.col("sets") - F.col("major.sets"), F.col("tokens") - F.col("major.tokens")).alias("minor_chunks"), chunks(F.col("sets"), F.col("tokens")).alias("all_chunks"))
-    rest = materialise(held.join(by_sig, "sig").withColumn("minor", F.col("comp") != F.col("major")).drop("major"), "unlinked")
-    return rest.join(rest.groupBy("rep").agg(F.collect_list("sig").alias("crowded")), "rep")  # at most a prefix long
-
-
-def _links_left(rest: DataFrame, arrays: DataFrame, threshold: int) -> DataFrame:
-    """Links (u, v) between components, among the holders of the same crowded signature."""
-    chunk = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["sig", "rep", "n", "comp", "minor", "crowded"]
-    minor = rest.where("minor").select(*cols, F.lit(True).alias("minor_side"), chunk("minor_chunks").alias("i"), every("all_chunks").alias("j"))
-    whole = rest.select(*cols, F.lit(False).alias("minor_side"), chunk("all_chunks").alias("j"), every("minor_chunks").alias("i"))
-    return minor.unionByName(whole).join(arrays, "rep").groupBy("sig", "i", "j").applyInPandas(_block_links(threshold), "u long, v long")
-
-
 def ngram_jaccard_join(docs: DataFrame, words: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> doc_id, n_shingles, component_id, one row per row of docs; see the module's text."""
     if not 70 <= threshold <= 100:
@@ -347,9 +324,10 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, threshold: int = 80, id_
     verified = pairs.join(left, "u").join(right, "v").where(100 * both >= threshold * (F.size("tu") + F.size("tv") - both)).select("u", "v")
     found = connected_components(verified)
 
-    rest = _unlinked(many, found)
+    rest = unlinked(many, found, CHUNK_SETS, CHUNK_TOKENS)
     if not rest.isEmpty():
-        more = materialise(_links_left(rest, arrays, threshold), "more")
+        rest = rest.join(rest.groupBy("rep").agg(F.collect_list("key").alias("crowded")), "rep")  # at most a prefix long
+        more = materialise(dealt(rest).join(arrays, "rep").groupBy("key", "i", "j").applyInPandas(_block_links(threshold), "u long, v long"), "more")
         if not more.isEmpty():
             found = connected_components(found.toDF("u", "v").unionAll(more))
     release(docs.sparkSession, arrays)
