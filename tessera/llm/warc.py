@@ -11,25 +11,37 @@ so a retried task writes the same records.
 
 Records other than responses are passed by; a response without a header end is
 taken as a bare payload; null and unreadable records give a row with nulls and
-`error`. A null or empty body gives empty text. HTML is read as text: comments,
-scripts, styles and tags go, block tags end lines, entities are resolved. Bodies
-of any length are read whole. Repeated rows give repeated records. Other columns
-are not read, whatever their names.
+`error`. Repeated header fields are all kept, in order, as [name, value] pairs.
+Digests are over the payload as it lies. For the text, transfer and content
+encodings (chunked; gzip, deflate, zstd) are undone first. A payload that isn't
+text by its Content-Type, or can't be decoded, still gives its metadata record,
+which says so, and in place of the conversion record a row with `error`. A null or empty body
+gives empty text. HTML is read as text: comments, scripts, styles and tags go,
+block tags end lines, entities are resolved; other text stays, but for line ends.
+Bodies of any length are read whole. Repeated rows give repeated records. Other
+columns are not read, whatever their names.
+
+Files are read as streams, record by record, so their length doesn't matter, and
+written as text files of records by Spark's own writer, whose commit survives
+lost executors.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
+import io
 import json
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
+import pyarrow.fs
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,34 +61,33 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(headers: dict[str, str], block: bytes) -> bytes:
+Fields = list[tuple[str, str]]
+
+
+def record(headers: Fields, block: bytes) -> bytes:
     """A WARC/1.0 record; Content-Length is added."""
-    lines = [f"{k}: {v}" for k, v in [*headers.items(), ("Content-Length", str(len(block)))]]
+    lines = [f"{k}: {v}" for k, v in [*headers, ("Content-Length", str(len(block)))]]
     return b"WARC/1.0\r\n" + "\r\n".join(lines).encode() + 2 * CRLF + block + 2 * CRLF
 
 
-def parse_fields(lines: list[bytes]) -> dict[str, str]:
-    """Header fields; names as they are, the first of repeated ones, continued lines joined."""
-    out: dict[str, str] = {}
-    name = None
+def parse_fields(lines: list[bytes]) -> Fields:
+    """Header fields in order; names as they are, continued lines joined. Lines that are neither are passed by."""
+    out: Fields = []
     for line in lines:
-        if line[:1] in (b" ", b"\t") and name:
-            out[name] += " " + line.strip().decode("utf-8", "replace")
+        if line[:1] in (b" ", b"\t") and out:
+            out[-1] = out[-1][0], out[-1][1] + " " + line.strip().decode("utf-8", "replace")
         elif b":" in line:
             name, _, value = line.decode("utf-8", "replace").partition(":")
-            name = name.strip()
-            if name in out:
-                name = None
-            else:
-                out[name] = value.strip()
+            out.append((name.strip(), value.strip()))
     return out
 
 
-def field(fields: dict[str, str], name: str) -> str | None:
-    return next((v for k, v in fields.items() if k.lower() == name.lower()), None)
+def field(fields: Fields, name: str) -> str | None:
+    """The first value of a field."""
+    return next((v for k, v in fields if k.lower() == name.lower()), None)
 
 
-def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
+def parse_record(data: bytes) -> tuple[Fields, bytes]:
     """Headers and block of one record."""
     if not data.startswith(b"WARC/"):
         raise ValueError("no WARC version line")
@@ -88,25 +99,48 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[: int(length)]
 
 
-def split_records(data: bytes) -> Iterator[bytes]:
-    """Records of a WARC file's bytes, gzip members or plain."""
-    if data[:2] == b"\x1f\x8b":
-        while data:
-            member = zlib.decompressobj(31)
-            plain = member.decompress(data)
-            data = member.unused_data
-            yield from split_records(plain)
-        return
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(2 * CRLF, at)
-        length = field(parse_fields(data[at:end].split(CRLF)[1:]), "Content-Length") if end >= 0 else None
+class _Plain(io.RawIOBase):
+    """The plain bytes of a stream of gzip members, or of a stream that isn't compressed."""
+
+    def __init__(self, source: BinaryIO) -> None:
+        self.source, self.left, self.member = source, source.read(1 << 16), None
+        self.packed = self.left[:2] == b"\x1f\x8b"
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while True:
+            data, self.left = self.left or self.source.read(1 << 16), b""
+            if not self.packed or not data:
+                out, self.left = data[: len(buffer)], data[len(buffer) :]
+            else:
+                if self.member is None:
+                    data = data.lstrip(b"\0")  # padding between members
+                    self.member = zlib.decompressobj(31)
+                out = self.member.decompress(data, len(buffer))
+                self.left = self.member.unconsumed_tail
+                if self.member.eof:
+                    self.left, self.member = self.member.unused_data, None
+            if out or not data:
+                buffer[: len(out)] = out
+                return len(out)
+
+
+def read_records(source: BinaryIO) -> Iterator[bytes]:
+    """Records of a WARC file, gzip members or plain, one at a time. What follows a record that has no length is given as one."""
+    stream = io.BufferedReader(_Plain(source), 1 << 20)
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            continue
+        head = [line]
+        while (line := stream.readline()) not in (b"", b"\r\n", b"\n"):
+            head.append(line)
+        length = field(parse_fields([x.rstrip(b"\r\n") for x in head[1:]]), "Content-Length")
         if length is None or not length.isdigit():
-            yield data[at:]
+            yield b"".join(head) + line + stream.read()
             return
-        stop = end + 4 + int(length)
-        yield data[at : stop + 4]
-        at = stop
+        yield b"".join(x.rstrip(b"\r\n") + CRLF for x in head) + CRLF + stream.read(int(length)) + 2 * CRLF
 
 
 def page_text(markup: str) -> str:
@@ -115,42 +149,107 @@ def page_text(markup: str) -> str:
     return LINES.sub("\n", BLANKS.sub(" ", text)).strip(" \n")
 
 
-def split_http(block: bytes) -> tuple[str | None, dict[str, str], bytes]:
+def split_http(block: bytes) -> tuple[str | None, Fields, bytes]:
     """Status line, fields and payload."""
     if not block.startswith(b"HTTP/"):
-        return None, {}, block
+        return None, [], block
     head, end, payload = block.partition(2 * CRLF)
     if not end:
-        return None, {}, block
+        return None, [], block
     lines = head.split(CRLF)
     return lines[0].decode("utf-8", "replace"), parse_fields(lines[1:]), payload
 
 
-def derive(data: bytes) -> tuple[bytes, bytes] | None:
-    """Metadata and conversion record of a response record; None for records of other types."""
+def _chunks(data: bytes) -> bytes:
+    """The body of a chunked transfer; ValueError if it isn't one."""
+    out, at = [], 0
+    while True:
+        line, end, _ = data[at : at + 4096].partition(CRLF)
+        size = line.split(b";")[0].strip()
+        if not end or not re.fullmatch(rb"[0-9a-fA-F]{1,15}", size):
+            raise ValueError("the chunks of the payload can't be read")
+        n, at = int(size, 16), at + len(line) + 2
+        if not n:
+            return b"".join(out)
+        if at + n > len(data):
+            raise ValueError("the last chunk of the payload is cut short")
+        out.append(data[at : at + n])
+        at += n + 2
+
+
+def _unpack(data: bytes, coding: str) -> bytes:
+    if coding in ("gzip", "x-gzip"):
+        out = []
+        while data:
+            member = zlib.decompressobj(31)
+            out.append(member.decompress(data))
+            if not member.eof:
+                raise zlib.error("cut short")
+            data = member.unused_data
+        return b"".join(out)
+    if coding == "deflate":  # with a zlib header or, as some servers send it, without
+        return zlib.decompress(data) if len(data) > 1 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0 else zlib.decompress(data, -15)
+    if coding == "zstd":
+        return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+    raise ValueError(f"content encoding {coding} is not known")
+
+
+def decoded(http: Fields, payload: bytes) -> bytes:
+    """The payload without transfer and content encodings; ValueError where they can't be undone."""
+    codings = lambda name: [x.strip().lower() for k, v in http if k.lower() == name for x in v.split(",") if x.strip().lower() not in ("", "identity")]
+    transfer, content = codings("transfer-encoding"), codings("content-encoding")
+    if not payload:
+        return payload
+    try:
+        for coding in reversed(content + transfer):
+            payload = _chunks(payload) if coding == "chunked" else _unpack(payload, coding)
+    except (zlib.error, zstandard.ZstdError) as e:
+        raise ValueError(f"the payload can't be unpacked: {e}") from None
+    return payload
+
+
+#: Content types that are text, and those of them that are markup.
+TEXT = re.compile(r"^(text/.*|application/(xhtml\+xml|xml|json|javascript|.*\+xml|.*\+json))$")
+MARKUP = re.compile(r"^(text/html|text/xml|application/(xhtml\+xml|xml|.*\+xml))$")
+
+
+def derive(data: bytes) -> tuple[bytes, bytes | None, str | None] | None:
+    """Metadata and conversion record of a response record, and what was wrong if there is no conversion; None for records of other types."""
     headers, block = parse_record(data)
     if (field(headers, "WARC-Type") or "").lower() != "response":
         return None
     source = field(headers, "WARC-Record-ID") or "<urn:uuid:" + str(uuid.uuid5(uuid.NAMESPACE_URL, hashlib.sha256(data).hexdigest())) + ">"
     status, http, payload = split_http(block)
-    found = CHARSET.search((field(http, "Content-Type") or "").encode()) or CHARSET.search(payload[:1024])
+    kind = (field(http, "Content-Type") or "text/html").split(";")[0].strip().lower()
+    wrong, markup = None, ""
     try:
-        markup = payload.decode(found[1].decode() if found else "utf-8", "replace")
-    except LookupError:
-        markup = payload.decode("utf-8", "replace")
+        if not TEXT.match(kind):
+            raise ValueError(f"{kind} is not text")
+        body = decoded(http, payload)
+        found = CHARSET.search((field(http, "Content-Type") or "").encode()) or CHARSET.search(body[:1024])
+        try:
+            markup = body.decode(found[1].decode() if found else "utf-8", "replace")
+        except LookupError:
+            markup = body.decode("utf-8", "replace")
+    except ValueError as e:
+        wrong = str(e)
+    is_markup = bool(MARKUP.match(kind)) and not wrong
     payload_digest = field(headers, "WARC-Payload-Digest") or digest(payload)
-    title = TITLE.search(markup)
+    title = TITLE.search(markup) if is_markup else None
     about = {
         "source_headers": headers, "http_status": status, "http_headers": http, "payload_length": len(payload), "payload_digest": payload_digest,
-        "block_digest": field(headers, "WARC-Block-Digest") or digest(block), "title": page_text(title[1]) if title else None, "links": [html.unescape(next(x for x in m if x is not None)) for m in ([g or None for g in h] for h in HREF.findall(markup)) if any(m)],
+        "block_digest": field(headers, "WARC-Block-Digest") or digest(block), "title": page_text(title[1]) if title else None,
+        "links": [html.unescape(next(x for x in m if x)) for m in HREF.findall(markup) if any(m)] if is_markup else [], "error": wrong,
     }
-    blocks = {"metadata": ("application/json", json.dumps(about, ensure_ascii=False).encode()), "conversion": ("text/plain; charset=utf-8", page_text(markup).encode())}
-    shared = {k: v for k in ("WARC-Target-URI", "WARC-Date", "WARC-IP-Address") if (v := field(headers, k)) is not None}
-    out = []
-    for kind, (form, body) in blocks.items():
+    text = page_text(markup) if is_markup else markup.replace("\r\n", "\n").replace("\r", "\n")
+    shared = [(k, v) for k in ("WARC-Target-URI", "WARC-Date", "WARC-IP-Address") if (v := field(headers, k)) is not None]
+
+    def made(kind: str, form: str, body: bytes) -> bytes:
         own = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{source} {kind}"))
-        out.append(record({"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{own}>", "WARC-Refers-To": source, **shared, "WARC-Source-Payload-Digest": payload_digest, "WARC-Block-Digest": digest(body), "Content-Type": form}, body))
-    return out[0], out[1]
+        return record([("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{own}>"), ("WARC-Refers-To", source), *shared, ("WARC-Source-Payload-Digest", payload_digest), ("WARC-Block-Digest", digest(body)), ("Content-Type", form)], body)
+
+    conversion = None if wrong else made("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace"))
+    return made("metadata", "application/json", json.dumps(about, ensure_ascii=False).encode("utf-8", "replace")), conversion, wrong
 
 
 def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -162,29 +261,38 @@ def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z", id_col: str
             for key, url, body in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 payload = (body or "").encode()
                 block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
-                target = {} if url is None else {"WARC-Target-URI": re.sub(r"[\r\n]+", "", url)}
+                target = [] if url is None else [("WARC-Target-URI", re.sub(r"[\r\n]+", "", url))]
                 name = uuid.uuid5(uuid.NAMESPACE_URL, f"{key} {url}")
-                out.append(record({"WARC-Type": "response", "WARC-Record-ID": f"<urn:uuid:{name}>", "WARC-Date": date, **target, "WARC-Payload-Digest": digest(payload), "WARC-Block-Digest": digest(block), "Content-Type": "application/http; msgtype=response"}, block))
+                out.append(record([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Date", date), *target, ("WARC-Payload-Digest", digest(payload)), ("WARC-Block-Digest", digest(block)), ("Content-Type", "application/http; msgtype=response")], block))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["page_id", "warc"])
 
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "page_id long, warc binary")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files at a path any Spark reader can open -> path, record_no, warc. A file is read by one task, whole, so it must be under 2 GB."""
+    """Records of the WARC files at a path -> path, record_no, warc. A task reads a file as a stream and holds one record at a time.
+
+    Spark lists the files; their bytes come through pyarrow, so the path must be of a store that it knows (file, hdfs, s3, gs, abfs).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for n, one in enumerate(split_records(data)):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([one], pa.binary())], ["path", "record_no", "warc"])
+            for name in batch.column(0).to_pylist():
+                store, inner = pyarrow.fs.FileSystem.from_uri(name)
+                with store.open_input_stream(inner, compression=None) as source:
+                    for n, one in enumerate(read_records(source)):
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([one], pa.binary())], ["path", "record_no", "warc"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, record_no long, warc binary")
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"))
+    return files.repartition(max(1, files.count()), "path").mapInArrow(run, "path string, record_no long, warc binary")
 
 
-def compress(warc: bytes) -> bytes:
-    """A record as a gzip member, as WARC files hold them."""
-    return gzip.compress(warc, 6, mtime=0)
+def write_warc(records: DataFrame, path: str, warc_col: str = "warc") -> None:
+    """Records as gzipped WARC files of a new directory. They must be valid UTF-8, as the records made here are; others, and nulls, are an error or left out."""
+    text = F.col(warc_col).cast("string")
+    whole = F.when(F.is_valid_utf8(text) & F.endswith(text, F.lit("\r\n\r\n")), F.substring(text, F.lit(1), F.char_length(text) - 1)).otherwise(F.raise_error(F.lit("a record isn't UTF-8 or doesn't end in two line ends")))
+    # the writer's line end stands for the last one of each record
+    records.where(F.col(warc_col).isNotNull()).select(whole.alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
 DERIVED = "page_id long, kind string, record_id string, refers_to string, target_uri string, date string, source_payload_digest string, block_digest string, content_type string, content binary, warc binary, error string"
@@ -203,9 +311,14 @@ def derivatives(records: DataFrame, id_col: str = "page_id", warc_col: str = "wa
                 except ValueError as e:
                     rows.append((key, *[None] * 10, str(e)))
                     continue
-                for one in made or ():
-                    h, content = parse_record(one)
+                if made is None:
+                    continue
+                for one in filter(None, made[:2]):
+                    fields, content = parse_record(one)
+                    h = dict(fields)
                     rows.append((key, h["WARC-Type"], h["WARC-Record-ID"], h["WARC-Refers-To"], h.get("WARC-Target-URI"), h.get("WARC-Date"), h["WARC-Source-Payload-Digest"], h["WARC-Block-Digest"], h["Content-Type"], content, one, None))
+                if made[2]:
+                    rows.append((key, "conversion", None, h["WARC-Refers-To"], *[None] * 7, made[2]))
             kinds = [pa.int64(), *[pa.string()] * 8, pa.binary(), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
