@@ -11,8 +11,9 @@ repetition inside the text, and Viterbi decoding labels it content or
 boilerplate. A text is kept if it passes the base rules and at least half of
 its words are in content lines.
 
-The field is fitted on the driver to a bounded sample: the labelled documents
-first by hash of their id, FIT_DOCS at most, those of up to FIT_LINES lines.
+The field is fitted on the driver to a bounded sample: whole labelled documents
+in the order of a hash of their id, of any length, until there are FIT_DOCS of
+them or FIT_LINES lines (the last document may go beyond).
 Labels are by document, so a logistic model of lines is fitted to them first;
 in documents of low quality, the lines it takes for boilerplate are labelled so
 and the others content, in the others all lines are content. Without labels of
@@ -34,12 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linear import fit_logistic, minimise
-from .storage import release_memory
+from .storage import keep, release_memory
 from .text import SMALL, U, WordHashes, as_bytes, keep_rows, mix, slices, window_hashes, word_hashes
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
-FIT_DOCS, FIT_LINES = 3000, 256
+FIT_DOCS, FIT_LINES = 3000, 200_000
 FEATURES = ("first", "short", "log_words", "upper", "symbols", "digits", "marks", "ends_sentence", "earlier_line", "repeated", "long_words", "one_word", "bare")
 #: Weights for content without labels to fit: shouting, symbols and repetition count against it.
 FALLBACK = (0.0, -0.5, 0.0, -4.0, -12.0, -2.0, -4.0, 0.5, -3.0, -4.0, -1.0, -0.5, -6.0)
@@ -219,9 +220,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
             x = analyse(as_bytes(batch.column(1)), known)
             per = np.bincount(x.text, minlength=batch.num_rows)
             ends = np.cumsum(per)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.features[e - k : e].astype("<f4").tobytes() if k <= FIT_LINES else None for e, k in zip(ends.tolist(), per.tolist(), strict=True)], pa.binary())], ["doc_id", "quality", "features"])
-
-    rows = chosen.mapInArrow(run, "doc_id long, quality int, features binary").where("length(features) > 0").toPandas().sort_values(["doc_id", "features"]).drop_duplicates("doc_id")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(per, pa.int64()), pa.array([x.features[e - k : e].astype("<f4").tobytes() for e, k in zip(ends.tolist(), per.tolist(), strict=True)], pa.binary())], ["doc_id", "quality", "lines", "features"])
+
+    rows = keep(chosen.mapInArrow(run, "doc_id long, quality int, lines long, features binary").where("lines > 0"))
+    last, lines = None, 0
+    for r in rows.groupBy(F.xxhash64("doc_id").alias("h"), "doc_id").agg(F.max("lines").alias("lines")).orderBy("h", "doc_id").collect():  # at most FIT_DOCS rows
+        if lines >= FIT_LINES:
+            break
+        last, lines = (r["h"], r["doc_id"]), lines + r["lines"]
+    if last is None:
+        rows.unpersist()
+        return DEFAULT
+    taken = rows.where((F.xxhash64("doc_id") < last[0]) | (F.xxhash64("doc_id") == last[0]) & (F.col("doc_id") <= last[1]))
+    cached, rows = rows, taken.select("doc_id", "quality", "features").toPandas().sort_values(["doc_id", "features"]).drop_duplicates("doc_id")
+    cached.unpersist()
     if rows["quality"].gt(0).nunique() < 2:
         return DEFAULT
     parts = [np.frombuffer(x, "<f4").reshape(-1, len(FEATURES)).astype(float) for x in rows["features"]]
