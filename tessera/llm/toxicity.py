@@ -38,6 +38,8 @@ from .text import SMALL, as_bytes, keep_rows, slices
 HASH_BITS = 22
 SIZES = (3, 4, 5, 6)
 FIT_DOCS, KEPT_FEATURES, LEAST_DOCS = 6000, 1 << 15, 3
+#: Parts that the training sample is dealt into.
+FIT_PARTS = 16
 #: Steps of the histogram of evidence: this many for a factor of 2; LOWEST is that of no evidence.
 STEPS, LOWEST = 64, -(1 << 20)
 SMOOTHING, PENALTY = 0.5, 4.0
@@ -109,12 +111,13 @@ def _select(sample: DataFrame) -> pd.DataFrame:
         for part in np.array_split(held, max(1, len(held) // 50_000)):
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(counts[0][part], pa.int64()), pa.array(counts[1][part], pa.int64())], ["h", "clean", "toxic"])
 
-    totals = sample.groupBy().agg(F.sum("toxic").alias("nt"), F.sum(1 - F.col("toxic")).alias("nc"))
+    n_toxic, n = sample.agg(F.sum("toxic"), F.count("*")).first()
+    n_clean = n - n_toxic
     counted = sample.mapInArrow(run, "h int, clean long, toxic long").groupBy("h").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     a = SMOOTHING
-    ratio = F.log((F.col("toxic") + a) / (F.col("nt") + 2 * a)) - F.log((F.col("clean") + a) / (F.col("nc") + 2 * a))
-    gap = F.abs(F.col("toxic") / F.col("nt") - F.col("clean") / F.col("nc"))
-    kept = counted.where(F.col("clean") + F.col("toxic") >= LEAST_DOCS).crossJoin(F.broadcast(totals)).select("h", ratio.alias("ratio"), (F.abs(ratio) * gap).alias("evidence"))  # totals is one row
+    ratio = F.log((F.col("toxic") + a) / (n_toxic + 2 * a)) - F.log((F.col("clean") + a) / (n_clean + 2 * a))
+    gap = F.abs(F.col("toxic") / n_toxic - F.col("clean") / n_clean)
+    kept = counted.where(F.col("clean") + F.col("toxic") >= LEAST_DOCS).select("h", ratio.alias("ratio"), (F.abs(ratio) * gap).alias("evidence"))
     kept = keep(kept.withColumn("step", F.when(F.col("evidence") > 0, F.floor(F.log2("evidence") * STEPS)).otherwise(LOWEST).cast("int")))
     # a histogram of the evidence tells the step in which the last one is; so the driver gets what stays, not the best of every partition
     left, last = KEPT_FEATURES, LOWEST - 1
@@ -139,7 +142,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     half = FIT_DOCS // 2
     chosen = [labels.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half) for k in (0, 1)]
     chosen = chosen[0].unionAll(chosen[1]).withColumnRenamed("doc_id", "_id")  # at most FIT_DOCS rows: small enough to broadcast
-    sample = keep(docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic"))
+    sample = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+    sample = keep(sample.repartition(FIT_PARTS))  # else each part of docs, with a row of the sample or none, would make arrays for all hashes
+    if sample.select(F.count_distinct("toxic")).first()[0] < 2:
+        sample.unpersist()
+        return constant(share)
     best = _select(sample)
     model = Model(best["h"].to_numpy(np.int64), best["ratio"].to_numpy(), 0.0)
 
@@ -151,8 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.astype("<u2").tobytes() for x in np.split(cols, cuts)], pa.binary())], ["doc_id", "toxic", "features"])
 
     data = sample.mapInArrow(run, "doc_id long, toxic int, features binary").toPandas().sort_values(["doc_id", "features"])
-    if data.empty:
-        return constant(share)
+    sample.unpersist()
     lengths, y = data["features"].str.len().to_numpy(np.int64) // 2, data["toxic"].to_numpy(float)
     rows = SparseRows(np.frombuffer(b"".join(data["features"]), "<u2"), lengths, model.weights)
     del data
