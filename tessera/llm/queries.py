@@ -15,23 +15,28 @@ BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; labels of held-out documents aren't learnt from. Null and empty texts score as a text without n-grams."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors by cosine >= 0.95. Null, zero and non-finite vectors link with nothing."""
     return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by Jaccard >= 0.9 of 3-word shingles. Null and wordless texts link with nothing."""
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"), words=3, threshold=90)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, with begin and end ids, and what they decode to, as digests. A null text counts as empty."""
     out = sentencepiece_codec.decode(sentencepiece_codec.encode(table(spark, sf_dir, "documents"), PIECES), PIECES)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1, formatted and read back from the output. A null text counts as empty."""
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionAll(probe)
     out = chat.read_chats(chat.format_chats(turns))
@@ -44,6 +49,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens at most. A null text counts as empty: its end id alone."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTES, capacity=1024, end_id=2)
 
 
@@ -68,11 +74,13 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of all documents. Null and wordless texts fail and have no content share."""
     out = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of all documents, without begin and end ids. A null text counts as empty."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECES).withColumn("over_limit", F.col("n_tokens") > 4096)
 
 

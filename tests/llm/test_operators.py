@@ -1,15 +1,19 @@
 """Each operator against plain Python or the library it follows, and on nulls, empty and long texts, repeats, empty tables and extra columns."""
 
 import collections
-import hashlib
+import gzip
+import io
 import random
 import re
+import zlib
 
+import brute
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
+from test_queries import check_pieces
 
 from tessera.llm import chat, components, embedding_dedup, lattice, licenses, ngram_join, packing, quality, sentencepiece_codec, token_counts, toxicity, warc
 
@@ -41,41 +45,45 @@ def test_encode_decode_and_counts_equal_the_library(spark):
         assert (counts[i].n_tokens, counts[i].n_bytes) == (len(want) - 2, len((t or "").encode()))
 
 
-def test_packing_is_gapless_and_tight(spark):
-    from tokenizers import Tokenizer
-
+def test_token_counts_do_not_depend_on_chunks_blocks_or_the_store(monkeypatch):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    r = random.Random(9)
+    rows = [*(t or "" for t in ODD), *texts(60), "".join(r.choice("abcdefgh") for _ in range(3000)), "日本語" * 700, "ab" * 900]
+    want = [len(x) for x in sp.encode(rows)]
+    machine = token_counts.Transducer(token_counts.piece_model(PIECES))
+    for chunk, block, most in ((64, 1 << 20, 1 << 20), (33, 1000, 500), (64, 97, 1 << 20)):
+        monkeypatch.setattr(token_counts, "CHUNK", chunk)
+        monkeypatch.setattr(token_counts, "BLOCK", block)
+        monkeypatch.setattr(token_counts, "MOST_MOVES", most)
+        assert machine.counts(rows).tolist() == want
+        if most == 500:
+            assert machine.moves.size <= most + block
+
+
+def test_token_maps_compose_in_rounds_of_doubling():
+    r = np.random.default_rng(2)
+    n, states = 37, 5
+    to, count = r.integers(0, states, (n, states)), r.integers(0, 9, (n, states))
+    node = (np.arange(n)[:, None] << 32 | np.arange(states)).ravel()
+    is_last = np.zeros(n, bool)
+    is_last[[11, n - 1]] = True
+    total, final = token_counts.Transducer._compose(node, to.ravel(), count.ravel(), is_last)
+    for k, s in ((0, 2), (12, 4), (20, 0), (11, 1)):
+        at, state, sum_ = k, s, 0
+        while True:
+            sum_, last, state = sum_ + count[at, state], (at, state), to[at, state]
+            if is_last[at]:
+                break
+            at += 1
+        assert total[k * states + s] == sum_ and final[k * states + s] == last[0] * states + last[1]
+
+
+def test_packing(spark):
     rows = [*ODD, *texts(), *(" ".join(["word"] * k) for k in range(1, 300, 7))]
-    out = packing.pack_documents(frame(spark, rows), BYTES).collect()
-    tok = Tokenizer.from_file(BYTES)
-    total = collections.Counter()
-    for r in out:
-        total[r.doc_id] += r.length
-    for i, t in enumerate(rows):
-        assert total[i] == (2 if i == 3 else 1) * (len(tok.encode(t or "", add_special_tokens=False).ids) + 1)
-    sequences = collections.defaultdict(list)
-    for r in out:
-        sequences[r.sequence_id].append((r.offset, r.length))
-    for s in sequences.values():
-        at = 0
-        for offset, length in sorted(s):
-            assert offset == at
-            at += length
-        assert at <= 1024
-    assert len(sequences) <= sum(r.length for r in out) / 1024 * 1.02 + 1
-
-
-def brute_classes(rows, words, percent):
-    sets = []
-    for t in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets.append({tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set())
-    of = list(range(len(rows)))
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
-                x, y = of[i], of[j]
-                of = [min(x, y) if c in (x, y) else c for c in of]
-    return sets, of
+    docs = frame(spark, rows).where("doc_id is not null").dropDuplicates(["doc_id"])
+    check_pieces(packing.pack_documents(docs, BYTES).collect(), dict(enumerate(rows)))
+    twice = packing.pack_documents(docs.unionAll(docs.where("doc_id = 4")), BYTES)
+    assert twice.count() == packing.pack_documents(docs, BYTES).count() + 1
 
 
 @pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80), (1, 70)])
@@ -92,13 +100,24 @@ def test_ngram_join_equals_brute_force(spark, words, percent, monkeypatch):
             for _ in range(r.randint(0, max(1, len(base) // 25))):
                 own[r.randrange(len(own))] = f"e{r.random()}"
             rows.append(" ".join(own))
-    sets, of = brute_classes(rows, words, percent)
+    sets, of = brute.classes(rows, words, percent)
     out = {x.doc_id: x for x in ngram_join.ngram_jaccard_join(frame(spark, rows), words, percent).collect()}
     assert [out[i].n_shingles for i in range(len(rows))] == [len(s) for s in sets]
     assert [out[i].component_id for i in range(len(rows))] == of
     assert out[None].component_id is None
 
 
+def test_overlaps_by_bits_and_by_tokens(monkeypatch):
+    r = np.random.default_rng(4)
+    lists = [[np.unique(r.integers(-50, 50, r.integers(0, 60))) for _ in range(9)] for _ in range(2)]
+    for most in (32 << 20, 0):
+        monkeypatch.setattr(ngram_join, "BIT_ROWS", most)
+        both = ngram_join.Overlaps(*lists)
+        assert (both.bits is None) == (most == 0)
+        for i in range(9):
+            assert both(i, np.arange(9)).tolist() == [len(np.intersect1d(lists[0][i], y)) for y in lists[1]]
+
+
 def test_embedding_links_equal_brute_force(spark):
     r = np.random.default_rng(3)
     rows = [(None, None), (0, None), (1, []), (2, [0.0] * 16), (3, [1.0, None]), (4, [float("nan")] * 16)]
@@ -116,6 +135,41 @@ def test_embedding_links_equal_brute_force(spark):
     assert out[None].component_id is None and not out[None].kept
 
 
+@pytest.mark.parametrize("crowded", [0, 1024])
+def test_embedding_groups_larger_than_a_chunk(spark, monkeypatch, crowded):
+    monkeypatch.setattr(embedding_dedup, "CROWDED", crowded)
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 16)
+    r = np.random.default_rng(8)
+    base = r.normal(size=(3, 12))
+    vectors = np.concatenate([base[k] + r.normal(size=(n, 12)) * 0.16 for k, n in enumerate((90, 40, 5))])
+    rows = [(k, v.tolist(), 1, 2, b"x") for k, v in enumerate(vectors)]
+    out = {x.vec_id: x for x in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rep int, copies int, unit binary")).collect()}
+    x = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    of = brute.components(len(x), lambda i, j: near[i, j])
+    assert 2 < len(set(of)) < len(x) - 20
+    assert [(out[i].component_id, out[i].kept) for i in range(len(x))] == [(c, c == i) for i, c in enumerate(of)]
+    # links inside a component are all counted, however it was found
+    assert [out[i].n_links for i in range(len(x))] == near.sum(axis=1).tolist()
+
+
+def test_embedding_plans_keep_their_recall():
+    r = np.random.default_rng(1)
+    assert [embedding_dedup.plan(n)[0] for n in (0, 10**5, 10**7, 10**9, 10**11)] == sorted((embedding_dedup.plan(n)[0] for n in (0, 10**5, 10**7, 10**9, 10**11)), reverse=True)
+    x, e = (r.normal(size=(1500, 32)) for _ in range(2))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    e -= (e * x).sum(axis=1)[:, None] * x
+    y = 0.95 * x + (1 - 0.95**2) ** 0.5 * e / np.linalg.norm(e, axis=1)[:, None]
+    for width, tables, _ in embedding_dedup.PLANS[:3]:
+        met = np.zeros(len(x), bool)
+        for _ in range(tables):
+            p = r.normal(size=(32, 16)) / width
+            a, b = (np.rint(2 * lattice.cells(v @ p, embedding_dedup.PROBES)) for v in (x, y))
+            met |= (a[:, :1] == b).all(axis=2).any(axis=1) | (b[:, :1] == a).all(axis=2).any(axis=1)
+        assert met.mean() > 0.995
+
+
 def test_lattice_points_are_nearest():
     r = np.random.default_rng(0)
     x = r.normal(size=(300, 8)) * 2
@@ -142,21 +196,30 @@ def test_chat_reads_back(spark):
         assert "".join(out[c].loss_texts) == "".join(t for role, t in own if role == "assistant")
 
 
+def test_long_conversations_and_odd_rows(spark):
+    r = random.Random(7)
+    long = [(1, t, r.choice(["user", "assistant", "assistant"]), r.choice(["", "é", "word " * 40, "␛"])) for t in range(1500)] + [(2, t, "assistant", f"t{t}") for t in range(400)]
+    odd = [(None, 0, "assistant", "x"), (3, 0, None, "a"), (3, 0, None, "a"), (3, None, "user", None), (4, 1, "user", "b"), (4, 1, "assistant", "b")]
+    rows = [(*x, "clash", 1, ["c"]) for x in long + odd]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, rows int, parts array<string>")
+    out = {x.conv_id: x for x in chat.read_chats(chat.format_chats(turns)).collect()}
+    assert set(out) == {None, 1, 2, 3, 4}
+    for c, own in ((1, long[:1500]), (2, long[1500:])):
+        assert [tuple(x) for x in out[c].turns] == [x[2:] for x in own]
+        assert out[c].loss_texts == [t for _, _, role, t in own if role == "assistant"]
+        assert [out[c].formatted[s.start : s.start + s.length].replace("␛0", "␛") for s in out[c].loss_spans] == out[c].loss_texts
+    assert out[2].n_messages == 1 and out[None].loss_texts == ["x"]
+    assert [tuple(x) for x in out[3].turns] == [("user", ""), ("", "a"), ("", "a")]
+    assert [tuple(x) for x in out[4].turns] == [("assistant", "b"), ("user", "b")]
+
+
 def test_quality_counts_and_viterbi(spark):
     rows = [*ODD, *texts(80), "a b c d e f g h\nx\na b c d e f g h\nx\n"]
     out = {x.doc_id: x for x in quality.score_documents(frame(spark, rows).select("doc_id", "text"), quality.DEFAULT).collect()}
     for i, t in enumerate(rows):
-        t = t or ""
-        w, seen, dup = re.findall(r"[^\x20\x09-\x0D]+", t), set(), 0
-        for line in t.split("\n"):
-            if re.search(r"[^\x20\x09-\x0D]", line):
-                dup += line in seen
-                seen.add(line)
-        c = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
-        rep = {k + j for k in range(len(w) - 7) if c[tuple(w[k : k + 8])] > 1 for j in range(8)}
-        x = out[i]
-        assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(rep))
-        assert x.base_failed == (len(w) < 20 or 100 * len(rep) > 30 * len(w))
+        x, counts = out[i], brute.quality_counts(t)
+        assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == counts
+        assert x.base_failed == (counts[0] < 20 or 100 * counts[4] > 30 * counts[0])
     r = np.random.default_rng(1)
     field = quality.Field((1.0,), 0.1, ((0.5, -0.2), (-0.7, 0.9)))
     x = r.normal(size=(7, 1))
@@ -165,6 +228,33 @@ def test_quality_counts_and_viterbi(spark):
     assert value(got) == pytest.approx(max(value([m >> k & 1 for k in range(7)]) for m in range(128)))
 
 
+def test_fitted_field_has_the_least_loss():
+    r = np.random.default_rng(6)
+    x, chain = r.normal(size=(14, 3)), np.repeat([0, 1, 2], [5, 2, 7])
+    labels = r.integers(0, 2, 14)
+    field = quality.fit_field(x, labels, chain)
+
+    def loss(f):
+        own = [brute.chain_loss(f, x[chain == k], labels[chain == k], 0.0) for k in range(3)]
+        w = np.concatenate([f.weights, [f.intercept], np.ravel(f.transitions)])
+        return sum(own) + w @ w / 2
+
+    flat = np.concatenate([field.weights, [field.intercept], np.ravel(field.transitions)])
+    made = lambda v: quality.Field(tuple(v[:3]), float(v[3]), tuple(map(tuple, v[4:].reshape(2, 2))))
+    for k in range(len(flat)):
+        step = np.eye(len(flat))[k] * 1e-4
+        assert abs(loss(made(flat + step)) - loss(made(flat - step))) / 2e-4 < 2e-3
+
+
+def test_quality_learns_from_long_documents_within_its_budget(spark, monkeypatch):
+    good, bad = "The river runs under the old stone bridge tonight.\n" * 400, "*** 12 ###\n" * 400
+    docs = spark.createDataFrame([(1, good), (2, bad), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (9, 1)], "doc_id long, quality int")
+    assert quality.fit(docs, labels) != quality.DEFAULT
+    monkeypatch.setattr(quality, "FIT_LINES", 1)
+    assert quality.fit(docs, labels) == quality.DEFAULT  # one document fills the budget
+
+
 def test_toxicity_finds_held_out_words(spark):
     r = random.Random(4)
     clean = lambda: " ".join(r.choice(["river", "stone", "light", "paper", "green", "table"]) for _ in range(30))
@@ -178,6 +268,19 @@ def test_toxicity_finds_held_out_words(spark):
     assert {round(x.score, 1) for x in toxicity.toxicity(docs, elsewhere).collect()} == {0.3}
 
 
+def test_toxicity_scores_are_plain_sums(spark):
+    r = random.Random(4)
+    rows = ["".join(r.choice("abcdefgh ") for _ in range(80)) + (" MEAN" if i % 3 == 0 else "") for i in range(90)]
+    docs = frame(spark, [*rows, None, "", " \n", "ab", "mean " * 30_000])
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), labels)
+    for x in toxicity.score(docs.select("doc_id", "text"), model).join(docs.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d"))).collect():
+        if x.doc_id != 3:  # twice there
+            assert x.score == pytest.approx(brute.toxicity_score(x.text, model), abs=1e-9)
+    only = labels.where("toxic = 1")
+    assert {round(x.score, 6) for x in toxicity.toxicity(docs, only).collect()} == {1.0}
+
+
 def test_toxicity_keeps_the_features_of_most_evidence(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "KEPT_FEATURES", 100)
     r = random.Random(6)
@@ -197,19 +300,60 @@ def test_toxicity_keeps_the_features_of_most_evidence(spark, monkeypatch):
 
 def test_warc_derivatives_are_linked(spark):
     page = "<html><head><title>T &amp; t</title><script>no()</script></head><body><p>One</p><a href='/x?a=1&amp;b'>two</a><!-- c --></body></html>"
-    pages = spark.createDataFrame([(1, "http://a.example/", page), (2, None, None), (3, "u", "")], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(1, "http://a.example/", page, "k"), (2, None, None, "k"), (3, "u", "", "k"), (4, "v", "<p>word</p>" * 100_000, "k")], "page_id long, url string, html string, kind string")
     made = warc.responses(pages).cache()
-    source = {r.page_id: warc.parse_record(bytes(r.warc)) for r in made.collect()}
+    source = {r.page_id: warc.parse_record(bytes(r.warc))[0] for r in made.collect()}
     out = {(r.page_id, r.kind): r for r in warc.derivatives(made.unionAll(spark.createDataFrame([(9, None)], made.schema))).collect()}
-    assert len(out) == 7 and out[9, None].error
-    for k in (1, 2, 3):
+    assert len(out) == 9 and out[9, None].error
+    for k in (1, 2, 3, 4):
         for kind in ("metadata", "conversion"):
             r = out[k, kind]
-            assert r.refers_to == source[k][0]["WARC-Record-ID"] and r.source_payload_digest == source[k][0]["WARC-Payload-Digest"] and r.block_digest == warc.digest(bytes(r.content))
+            assert r.refers_to == warc.field(source[k], "WARC-Record-ID") and r.source_payload_digest == warc.field(source[k], "WARC-Payload-Digest") and r.block_digest == warc.digest(bytes(r.content))
     assert bytes(out[1, "conversion"].content).decode() == "T & t\nOne\ntwo"
+    assert bytes(out[4, "conversion"].content) == b"\n".join([b"word"] * 100_000)
     assert b'"/x?a=1&b"' in bytes(out[1, "metadata"].content)
-    both = bytes(out[1, "metadata"].warc) + bytes(out[1, "conversion"].warc)
-    assert [warc.parse_record(x)[0]["WARC-Type"] for x in warc.split_records(both)] == ["metadata", "conversion"]
+
+
+def response(fields, payload, more=()):
+    block = b"HTTP/1.1 200 OK\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in fields) + b"\r\n" + payload
+    return warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), *more], block)
+
+
+def test_warc_encodings_and_headers():
+    page = b"<title>T</title><p>Hi and</p>"
+    chunked = b"7\r\n" + page[:7] + b"\r\n%X;a=b\r\n" % (len(page) - 7) + page[7:] + b"\r\n0\r\n\r\n"
+    raw = zlib.compressobj(wbits=-15)
+    raw = raw.compress(page) + raw.flush()
+    plain = [([], page), ([("Transfer-Encoding", "chunked")], chunked), ([("Content-Encoding", "gzip")], gzip.compress(page)), ([("Content-Encoding", "deflate")], zlib.compress(page)), ([("Content-Encoding", "deflate")], raw)]
+    packed = gzip.compress(page)
+    plain.append(([("Content-Encoding", "gzip"), ("Transfer-Encoding", "chunked")], b"%x\r\n" % len(packed) + packed + b"\r\n0\r\n\r\n"))
+    for fields, payload in plain:
+        metadata, conversion, wrong = warc.derive(response(fields, payload))
+        assert warc.parse_record(conversion)[1] == b"T\nHi and" and wrong is None
+        assert warc.field(warc.parse_record(metadata)[0], "WARC-Source-Payload-Digest") == warc.digest(payload)
+    for fields, payload in (([("Content-Type", "image/png")], b"\x89PNG"), ([("Content-Encoding", "br")], page), ([("Content-Encoding", "gzip")], page), ([("Content-Encoding", "gzip")], packed[:-9]), ([("Transfer-Encoding", "chunked")], page)):
+        metadata, conversion, wrong = warc.derive(response(fields, payload))
+        assert metadata and conversion is None and wrong
+    assert warc.parse_record(warc.derive(response([("Content-Type", "text/plain")], b"a <b> &amp;\r\nc"))[1])[1] == b"a <b> &amp;\nc"
+    metadata = warc.derive(response([("Set-Cookie", "a"), ("Set-Cookie", "b")], page, [("WARC-Concurrent-To", "<1>"), ("WARC-Concurrent-To", "<2>")]))[0]
+    for pair in (b'["Set-Cookie", "a"], ["Set-Cookie", "b"]', b'["WARC-Concurrent-To", "<1>"], ["WARC-Concurrent-To", "<2>"]'):
+        assert pair in metadata
+
+
+def test_warc_files(spark, tmp_path):
+    records = [response([], b"<p>%d</p>" % k * k) for k in (1, 3000, 2)]
+    for data in (b"".join(records), b"".join(map(gzip.compress, records)), gzip.compress(b"".join(records))):
+        assert list(warc.read_records(io.BytesIO(data))) == records
+    assert list(warc.read_records(io.BytesIO(b""))) == [] and list(warc.read_records(io.BytesIO(records[0] + b"WARC/1.0\r\nx: y\r\n\r\nz")))[1].endswith(b"z")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "in" / "b.warc").write_bytes(records[1])
+    read = warc.read_warc(spark, str(tmp_path / "in"))
+    assert sorted((r.path.rpartition("/")[2], r.record_no, bytes(r.warc)) for r in read.collect()) == sorted([("a.warc.gz", k, x) for k, x in enumerate(records)] + [("b.warc", 0, records[1])])
+    made = warc.derivatives(read, id_col="record_no")
+    warc.write_warc(made, str(tmp_path / "out"))
+    back = warc.read_warc(spark, str(tmp_path / "out" / "*.gz"))
+    assert sorted(bytes(r.warc) for r in back.collect()) == sorted(bytes(r.warc) for r in made.collect()) and back.count() == 8
 
 
 def test_licenses_are_inherited_from_the_nearest_directory(spark):
@@ -299,6 +443,3 @@ def test_empty_tables(spark):
     ]
     assert [df.count() for df in made] == [0] * len(made)
 
-
-def test_ids_digest_form():
-    assert hashlib.sha256(np.array([1, 2], "<u4").tobytes()).hexdigest() == hashlib.sha256(b"\x01\0\0\0\x02\0\0\0").hexdigest()
