@@ -54,19 +54,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def unlinked(held: DataFrame, found: DataFrame, most_rows: int, most_weight: int) -> DataFrame:
+def unlinked(held: DataFrame, most_rows: int, most_weight: int) -> DataFrame:
     """What is left to compare in groups once links between some of their members are known.
 
-    held (key, rep, n): members of groups and their weights; found: connected_components() so far. ->
-    key, rep, n, comp, minor, minor_chunks, all_chunks of the groups that more than one component holds, a
-    written table. minor: outside the group's largest component. A chunk has about most_rows and most_weight.
+    held (key, rep, n, comp, ...): members of groups, their weights and components so far -> the same columns
+    and minor, minor_chunks, all_chunks, of the groups that more than one component holds, as a written table.
+    minor: outside the group's largest component. A chunk has about most_rows and most_weight.
     """
-    of = held.join(found, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    by_comp = of.groupBy("key", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("weight"))
+    by_comp = held.groupBy("key", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("weight"))
     by_key = by_comp.groupBy("key").agg(F.max(F.struct("rows", "weight", "comp")).alias("major"), F.sum("rows").alias("rows"), F.sum("weight").alias("weight"), F.count("*").alias("comps")).where("comps > 1")
     chunks = lambda rows, weight: F.ceil(F.greatest(rows / most_rows, weight / most_weight)).cast("int")
     by_key = by_key.select("key", F.col("major.comp").alias("major"), chunks(F.col("rows") - F.col("major.rows"), F.col("weight") - F.col("major.weight")).alias("minor_chunks"), chunks(F.col("rows"), F.col("weight")).alias("all_chunks"))
-    return materialise(of.join(by_key, "key").withColumn("minor", F.col("comp") != F.col("major")).drop("major"), "unlinked")
+    by_key = materialise(by_key, "open")  # as a table, so that Spark can split a large group's part of the join
+    return materialise(held.join(by_key, "key").withColumn("minor", F.col("comp") != F.col("major")).drop("major"), "unlinked")
 
 
 def dealt(rest: DataFrame) -> DataFrame:
@@ -80,6 +80,6 @@ def dealt(rest: DataFrame) -> DataFrame:
 
 
 def leaders(held: DataFrame, n: int) -> DataFrame:
-    """held (key, rep, ...) -> key, to: for each key the first n of its rows, as structs, in as many orders by hash of rep; the same rep comes first for many keys."""
+    """held (key, rep, ...) -> key, to: for each key the first n of its rows, as structs, in as many orders by hash of rep; the same rep comes first for many keys. A written table."""
     firsts = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), *held.columns)).alias(f"l{k}") for k in range(n)]
-    return held.groupBy("key").agg(*firsts).select("key", F.explode(F.array(*(f"l{k}" for k in range(n)))).alias("to"))
+    return materialise(held.groupBy("key").agg(*firsts).select("key", F.explode(F.array(*(f"l{k}" for k in range(n)))).alias("to")), "leaders")

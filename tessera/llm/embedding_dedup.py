@@ -169,6 +169,7 @@ def embedding_dedup(embeddings: DataFrame, threshold: float = 0.95, id_col: str
     vectors = keep(source.mapInArrow(_unit, "vec_id long, print binary, unit binary"))
     valid, others = vectors.where("print is not null and vec_id is not null"), vectors.where("print is null or vec_id is null")
     classes = valid.groupBy("print").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"))
+    classes = materialise(classes, "classes")  # as a table, so that Spark can split a large class's part of the joins
     members = materialise(valid.join(classes, "print").select("vec_id", "rep", "copies").unionAll(others.select("vec_id", F.lit(None).cast("long"), F.lit(None).cast("long"))), "members", small=True)
     firsts = valid.join(classes.withColumnRenamed("print", "p"), (F.col("print") == F.col("p")) & (F.col("vec_id") == F.col("rep"))).select("rep", "copies", "unit")
     reps = keep(firsts.dropDuplicates(["rep", "unit"]))
@@ -187,7 +188,8 @@ def embedding_dedup(embeddings: DataFrame, threshold: float = 0.95, id_col: str
         t.unpersist()
     left, right = reps.select(F.col("rep").alias("u"), F.col("unit").alias("x")), reps.select(F.col("rep").alias("v"), F.col("unit").alias("y"))
     found = connected_components(pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(_verify(threshold), "u long, v long"))
-    rest = unlinked(many, found, CHUNK, CHUNK)
+    held = many.join(found, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    rest = unlinked(held, CHUNK, CHUNK)
     if not rest.isEmpty():
         more = materialise(dealt(rest).join(reps.select("rep", "unit"), "rep").groupBy("key", "i", "j").applyInPandas(_cell_links(threshold), "u long, v long"), "more")
         if not more.isEmpty():

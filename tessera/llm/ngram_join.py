@@ -18,18 +18,21 @@ sets link when 100 * intersection >= threshold * union. A token is a shingle.
    upper end of a band takes part in the next band too, so that partners always
    share a band. The lowest bands index frequent tokens singly.
 3. Candidates: signatures held by a few sets give pairs, of which those with
-   SHARED signatures in common are verified. Each set with a *crowded* signature,
-   one held by many, is paired with that signature's LEADERS, the first of its
-   holders in as many orders by hash; the same sets lead most signatures of a
-   group of near copies, so a group gives about LEADERS pairs for each set.
-4. Verification is exact on the whole sets, then connected components.
-5. What is left: only links between components matter now. A crowded signature
+   SHARED signatures in common are verified. Signatures held by many are *crowded*.
+   Each set with some goes once, with its tokens, to the most crowded one it has,
+   its *home*. There, sets are compared in chunks, inside tasks; every chunk gets
+   the home's LEADERS too, the first of all its holders in as many orders by hash,
+   so that chunks and homes are linked through them. Links of spanning forests
+   come out. Verification is exact, on whole sets; links make components.
+4. What is left: only links between components matter now. A crowded signature
    whose holders are all in one component is done. Of the others, holders outside
-   the largest component (the *minor* ones) are compared to all holders, in chunks,
-   inside tasks, each pair at the least such signature it shares; this gives links
-   of spanning forests. Work grows with the minor holders times all holders, so
-   with the square only of sets that share a crowded signature without being
-   linked. No partner is capped and no pair of these is written out.
+   the largest component (the *minor* ones) must be compared to all holders, each
+   pair at the least such signature it shares, if it wasn't in a home's chunk. Tasks
+   first find, by the lists of signatures alone, which sets take part in such a
+   pair; only these get their tokens and are compared. Work grows with the minor
+   holders times all holders, so with the square only of sets that share a crowded
+   signature without being linked. No partner is capped and no pair of these is
+   written out.
 
 Sets that are equal are joined once, as a class. Results per input row:
 doc_id, n_shingles, component_id (the least doc_id reachable by links, itself
@@ -72,8 +75,8 @@ SINGLE_BANDS = 5
 SHARED = 12
 #: Signatures of more sets than this are crowded.
 CROWDED = 64
-#: Sets of each crowded signature that all its holders are paired with.
-LEADERS = 4
+#: Sets of each crowded signature that every chunk of its home gets.
+LEADERS = 8
 #: Sets and tokens that one chunk aims at.
 CHUNK_SETS, CHUNK_TOKENS = 512, 1 << 19
 #: Bytes of bit rows in a block; beyond, overlaps are counted token by token.
@@ -247,45 +250,73 @@ class Overlaps:
         return total[self.starts[1][some + 1]] - total[self.starts[1][some]]
 
 
-def _block_links(threshold: int):
-    """A task's links between the minor sets of one chunk and all sets of another, of the holders of one signature."""
-
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pdf["key"].iloc[0]
-        x, y = (pdf[pdf["minor_side"] == side].sort_values("rep") for side in (True, False))
-        a, b = x["rep"].to_numpy(), y["rep"].to_numpy()
-        na, nb = x["n"].to_numpy(), y["n"].to_numpy()
-        ca, cb, other_minor = x["comp"].to_numpy(), y["comp"].to_numpy(), y["minor"].to_numpy()
-        # pairs that share such a signature of lower number are compared there
-        lower = Overlaps(*([v[v < key] for v in side["crowded"]] for side in (x, y)))
-        shared = Overlaps(list(x["tokens"]), list(y["tokens"]))
-        u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+def _forest(u: list[np.ndarray], v: list[np.ndarray]) -> pd.DataFrame:
+    a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (u, v))
+    ids, node = np.unique(np.concatenate([a, b]), return_inverse=True)
+    on, least = forest(node[: len(a)], node[len(a) :], len(ids))
+    return pd.DataFrame({"u": ids[on], "v": ids[least]}, dtype="int64")
+
+
+def _links(x: pd.DataFrame, y: pd.DataFrame, threshold: int, among: np.ndarray | None = None) -> pd.DataFrame:
+    """Links of a forest between sets x and y, of ids that differ; among: components, if only links between two of them count."""
+    a, b, na, nb = x["rep"].to_numpy(), y["rep"].to_numpy(), x["n"].to_numpy(), y["n"].to_numpy()
+    shared, u, v = Overlaps(list(x["tokens"]), list(y["tokens"])), [], []
+    for i in range(len(x)):
+        open_ = (100 * np.minimum(na[i], nb) >= threshold * np.maximum(na[i], nb)) & (a[i] != b)
+        j = np.flatnonzero(open_ if among is None else open_ & (x["comp"].iat[i] != among))
+        if len(j):
+            both = shared(i, j)
+            j = j[100 * both >= threshold * (na[i] + nb[j] - both)]
+            u.append(np.full(len(j), a[i]))
+            v.append(b[j])
+    return _forest(u, v)
+
+
+def _home_links(threshold: int):
+    """A task's links inside one chunk of a home."""
+    return lambda pdf: _links(pdf, pdf, threshold)
+
+
+def _needed(threshold: int):
+    """The rows of a task (the minor sets of one chunk and all sets of another, of one signature's holders) that must be compared here."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, side = pdf["key"].iloc[0], pdf["minor_side"].to_numpy()
+        x, y = pdf[side], pdf[~side]
+        a, b, na, nb = x["rep"].to_numpy(), y["rep"].to_numpy(), x["n"].to_numpy(), y["n"].to_numpy()
+        ca, cb, ha, hb, other_minor = x["comp"].to_numpy(), y["comp"].to_numpy(), x["met"].to_numpy(), y["met"].to_numpy(), y["minor"].to_numpy()
+        # pairs that share a signature of lower number are compared there
+        lower = Overlaps(*([v[v < key] for v in part["crowded"]] for part in (x, y)))
+        need = [np.zeros(len(x), bool), np.zeros(len(y), bool)]
         for i in range(len(x)):
-            j = np.flatnonzero((ca[i] != cb) & ~(other_minor & (b < a[i])) & (100 * np.minimum(na[i], nb) >= threshold * np.maximum(na[i], nb)))
+            j = np.flatnonzero((ca[i] != cb) & (ha[i] != hb) & ~(other_minor & (b < a[i])) & (100 * np.minimum(na[i], nb) >= threshold * np.maximum(na[i], nb)))
             if lower.width and len(j):
                 j = j[lower(i, j) == 0]
-            if len(j):
-                both = shared(i, j)
-                j = j[100 * both >= threshold * (na[i] + nb[j] - both)]
-                u.append(np.full(len(j), a[i]))
-                v.append(b[j])
-        u, v = np.concatenate(u), np.concatenate(v)
-        ids, node = np.unique(np.concatenate([u, v]), return_inverse=True)
-        on, least = forest(node[: len(u)], node[len(u) :], len(ids))
-        return pd.DataFrame({"u": ids[on], "v": ids[least]}, dtype="int64")
+            need[0][i] = len(j) > 0
+            need[1][j] = True
+        return pd.concat([x[need[0]], y[need[1]]])[["key", "i", "j", "rep", "n", "comp", "minor_side"]]
+
+    return run
+
+
+def _left_links(threshold: int):
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf["minor_side"]], pdf[~pdf["minor_side"]]
+        return _links(x, y, threshold, y["comp"].to_numpy())
 
     return links
 
 
-def _candidates(docs: DataFrame, words: int, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs (doc_id, text) -> members (doc_id, n_shingles, rep), pairs (u, v) of classes to verify, many (key, rep, n): the holders of crowded signatures.
+def _candidates(docs: DataFrame, words: int, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """docs (doc_id, text) -> members (doc_id, n_shingles, rep), pairs (u, v) of classes to verify, the sets that hold crowded signatures
+    (rep, n, crowded, home, met: a number of their chunk of the home), and what goes to homes (met, rep, n).
 
-    All three are written, so that signatures and their shuffles can go before token arrays are made.
+    All are written, so that signatures and their shuffles can go before token arrays are made.
     """
     signed = keep(_signed(docs, words, threshold, _sketch(docs, words)))
     release_memory()
     with_set, without = signed.where("print is not null"), signed.where("print is null")  # these would all meet at one key of the join
-    classes = with_set.groupBy("print").agg(F.min("doc_id").alias("rep"))
+    classes = materialise(with_set.groupBy("print").agg(F.min("doc_id").alias("rep")), "classes")  # as a table, so that Spark can split a large class's part of the joins
     members = with_set.select("doc_id", "n_shingles", "print").join(classes, "print").select("doc_id", "n_shingles", "rep")
     members = materialise(members.unionAll(without.select("doc_id", "n_shingles", F.lit(None).cast("long"))), "members", small=True)
     reps = with_set.where("doc_id is not null").join(classes.withColumnRenamed("print", "p"), (F.col("print") == F.col("p")) & (F.col("doc_id") == F.col("rep")))
@@ -298,14 +329,21 @@ def _candidates(docs: DataFrame, words: int, threshold: int) -> tuple[DataFrame,
     a, b = few.select("sig", F.col("rep").alias("u"), F.col("n").alias("nu")), few.select("sig", F.col("rep").alias("v"), F.col("n").alias("nv"))
     met = a.join(b, (a["sig"] == b["sig"]) & (F.col("u") < F.col("v")) & (100 * F.least("nu", "nv") >= threshold * F.greatest("nu", "nv")))
     shared = F.least(F.lit(SHARED), F.ceil(F.min(F.least("nu", "nv")) * threshold / 100))
-    near = met.groupBy("u", "v").agg(F.count("*").alias("shared"), shared.alias("least")).where("shared >= least").select("u", "v")
-
-    many = materialise(live.where(F.col("sets") > CROWDED).select(F.col("sig").alias("key"), "rep", "n"), "crowded", small=True)
-    stars = many.join(leaders(many, LEADERS), "key").where((F.col("rep") != F.col("to.rep")) & (100 * F.least("n", "to.n") >= threshold * F.greatest("n", "to.n")))
-    pairs = materialise(near.unionAll(stars.select(F.least("rep", "to.rep"), F.greatest("rep", "to.rep"))).distinct(), "pairs")
+    pairs = materialise(met.groupBy("u", "v").agg(F.count("*").alias("shared"), shared.alias("least")).where("shared >= least").select("u", "v"), "pairs")
+
+    many = live.where(F.col("sets") > CROWDED).select(F.col("sig").alias("key"), "rep", "n", "sets")
+    holders = many.groupBy("rep").agg(F.first("n").alias("n"), F.collect_list("key").alias("crowded"), F.max(F.struct("sets", "key")).alias("home"))  # at most a prefix long
+    holders = holders.select("rep", "n", "crowded", F.col("home.key").alias("home"))
+    sizes_of_homes = holders.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / CHUNK_SETS, F.sum("n") / CHUNK_TOKENS)).cast("int").alias("chunks"))
+    sizes_of_homes = materialise(sizes_of_homes, "home_sizes")
+    met_at = lambda chunk: F.xxhash64("home", chunk).alias("met")
+    holders = materialise(holders.join(sizes_of_homes, "home").select("rep", "n", "crowded", "home", met_at(F.pmod(F.xxhash64("rep"), "chunks").cast("int"))), "crowded")
+    first = leaders(many.select("key", "rep", "n"), LEADERS).select(F.col("key").alias("home"), F.col("to.rep").alias("rep"), F.col("to.n").alias("n")).distinct()
+    first = first.join(sizes_of_homes, "home").select("home", "rep", "n", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).select(met_at(F.col("chunk")), "rep", "n")
+    homes = materialise(holders.select("met", "rep", "n").unionAll(first).distinct(), "homes")
     for t in (live, sizes, reps, signed):
         t.unpersist()
-    return members, pairs, many
+    return members, pairs, holders, homes
 
 
 def ngram_jaccard_join(docs: DataFrame, words: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,21 +351,23 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, threshold: int = 80, id_
     if not 70 <= threshold <= 100:
         raise ValueError("the threshold must be 70 to 100")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    members, pairs, many = _candidates(docs, words, threshold)
+    members, pairs, holders, homes = _candidates(docs, words, threshold)
     release(docs.sparkSession)
 
-    chosen = pairs.select(F.explode(F.array("u", "v")).alias("rep")).unionAll(many.select("rep")).distinct()
+    chosen = pairs.select(F.explode(F.array("u", "v")).alias("rep")).unionAll(holders.select("rep")).distinct()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     arrays = keep(_arrays(passing(docs.withColumnRenamed("doc_id", "rep"), "rep", chosen).join(chosen, "rep"), words).repartition(parts, "rep"))  # dealt once for all joins on rep
     left, right = arrays.select(F.col("rep").alias("u"), F.col("tokens").alias("tu")), arrays.select(F.col("rep").alias("v"), F.col("tokens").alias("tv"))
     both = F.size(F.array_intersect("tu", "tv"))
     verified = pairs.join(left, "u").join(right, "v").where(100 * both >= threshold * (F.size("tu") + F.size("tv") - both)).select("u", "v")
-    found = connected_components(verified)
+    at_home = homes.join(arrays, "rep").groupBy("met").applyInPandas(_home_links(threshold), "u long, v long")
+    found = connected_components(verified.unionAll(at_home))
 
-    rest = unlinked(many, found, CHUNK_SETS, CHUNK_TOKENS)
+    held = holders.join(found, F.col("rep") == F.col("id"), "left").select(F.explode("crowded").alias("key"), "rep", "n", F.coalesce("component", "rep").alias("comp"), "met", "crowded")
+    rest = unlinked(held, CHUNK_SETS, CHUNK_TOKENS)
     if not rest.isEmpty():
-        rest = rest.join(rest.groupBy("rep").agg(F.collect_list("key").alias("crowded")), "rep")  # at most a prefix long
-        more = materialise(dealt(rest).join(arrays, "rep").groupBy("key", "i", "j").applyInPandas(_block_links(threshold), "u long, v long"), "more")
+        needed = dealt(rest).groupBy("key", "i", "j").applyInPandas(_needed(threshold), "key long, i int, j int, rep long, n long, comp long, minor_side boolean")
+        more = materialise(needed.join(arrays, "rep").groupBy("key", "i", "j").applyInPandas(_left_links(threshold), "u long, v long"), "more")
         if not more.isEmpty():
             found = connected_components(found.toDF("u", "v").unionAll(more))
     release(docs.sparkSession, arrays)
