@@ -4,8 +4,8 @@ Texts and templates become sparse TF-IDF vectors over words. The document
 frequencies are those of all files, of every word: they are counted in Spark and
 stay there. The driver fetches those of template words, then those of the other
 words of open passages, where they can change the outcome: passages that reach
-the threshold if these words weigh the least that a word can, and that no other
-passage of the file beats whatever they weigh. In every file,
+the threshold if these words weigh the least that a word can, and that no passage
+over some of the same words beats whatever they weigh. In every file,
 windows of as many words as a template has slide over all words, so a statement
 is found inside longer lines; windows of lines that begin at a line with an anchor
 word are compared too, up to 128 words more than twice the template; licence files
@@ -17,8 +17,10 @@ has of it couldn't reach the threshold.
 Templates are statements, titles, notices and full texts. SPDX tags are read as
 such and count as cosine 1; each listed id of an expression is a candidate.
 
-A file's own license is that of the greatest cosine (ties: first in order of
-license id). The license of a directory is the best among its licence files
+A window counts if no window over some of the same words has a greater cosine
+(ties: first in order of license id), so a file under several licenses shows them
+all. A file's own license is that of the greatest cosine (ties: first in order of
+license id), and its licenses are those of all windows that count. The license of a directory is the best among its licence files
 (ties: first path). A file without a license of its own takes that of its nearest
 ancestor directory that has one, by joins on paths: each directory is resolved
 once, then joined to its files.
@@ -47,6 +49,8 @@ from .text import as_bytes, slices
 THRESHOLD = 0.75
 #: Words whose counts a task gathers before it passes them on.
 COUNTED = 200_000
+#: Copies of a directory's license in the join with the directories below it.
+SALTS = 32
 LICENCE_FILE = r"(?i)^(licen[cs]es?|copying|copyright|notice|unlicense)([._-].*)?$"
 WORD = re.compile(rb"[a-z0-9]+(?:[.+-][a-z0-9]+)*|[^\x00-\x7f]+")
 
@@ -145,11 +149,17 @@ class Matcher:
         found = self.windows(text, whole)
         return found.open_words() if found else set()
 
-    def scan(self, text: bytes, whole: bool) -> tuple[str, float, int] | None:
-        """License, cosine, and number of the line where it begins (0 for a whole file)."""
+    def scan_all(self, text: bytes, whole: bool) -> list[tuple[str, float, int]]:
+        """Each license found, its cosine, and the number of the line where it begins (0 for a whole file); the best first."""
         found = self.windows(text, whole)
-        some = [*self.tags(text), *filter(None, [found and found.best()])]
-        return min(some, key=lambda x: (-round(x[1], 9), x[0], x[2]), default=None)
+        best: dict[str, tuple[str, float, int]] = {}
+        for one in sorted([*self.tags(text), *(found.counted() if found else [])], key=lambda x: (-round(x[1], 9), x[0], x[2])):
+            best.setdefault(one[0], one)
+        return list(best.values())
+
+    def scan(self, text: bytes, whole: bool) -> tuple[str, float, int] | None:
+        """The best one."""
+        return next(iter(self.scan_all(text, whole)), None)
 
     def tags(self, text: bytes) -> list[tuple[str, float, int]]:
         """The licenses that SPDX tags name, each with cosine 1."""
@@ -238,9 +248,13 @@ class Windows:
                 self.add(k, np.full(len(ends), start), ends, norm, rest)
 
     def pruned(self) -> "Windows | None":
-        """Leaves out windows that another one beats whatever the other words weigh."""
+        """Leaves out windows that one over some of the same words beats whatever the other words weigh."""
         self.least, most, self.k, self.start, self.end = (np.concatenate(x) for x in zip(*self.found, strict=True))
-        ok = most >= self.least.max(initial=0.0) - 1e-9
+        spans = list(zip(self.start.tolist(), self.end.tolist(), strict=True))
+        at_least = np.zeros(self.n)  # the greatest lower bound of the windows over each word
+        for i in np.argsort(self.least, kind="stable").tolist():
+            at_least[spans[i][0] : spans[i][1]] = self.least[i]
+        ok = np.array([most[i] >= at_least[a:b].max() - 1e-9 for i, (a, b) in enumerate(spans)], bool)
         self.least, self.k, self.start, self.end = self.least[ok], self.k[ok], self.start[ok], self.end[ok]
         return self if ok.any() else None
 
@@ -250,11 +264,17 @@ class Windows:
         np.add.at(cover, self.end, -1)
         return {self.words[i] for i in np.flatnonzero((np.cumsum(cover)[:-1] > 0) & ~self.known)}
 
-    def best(self) -> tuple[str, float, int] | None:
-        line = np.searchsorted(self.ends, self.start, side="right")
-        _, name, at, i = min(zip((-np.round(self.least, 9)).tolist(), (self.m.names[k] for k in self.k), line.tolist(), range(len(line)), strict=True))
-        score = min(float(self.least[i]), 1.0)
-        return (name, score, at) if score >= self.m.threshold - 1e-12 else None
+    def counted(self) -> list[tuple[str, float, int]]:
+        """License, cosine and line of each window that reaches the threshold and that no better one overlaps."""
+        line, out = np.searchsorted(self.ends, self.start, side="right"), []
+        taken = np.zeros(self.n, bool)
+        names = [self.m.names[k] for k in self.k]
+        for i in sorted(range(len(names)), key=lambda i: (-round(self.least[i], 9), names[i], line[i])):
+            span = slice(self.start[i], self.end[i])
+            if self.least[i] >= self.m.threshold - 1e-12 and not taken[span].any():
+                out.append((names[i], min(float(self.least[i]), 1.0), int(line[i])))
+            taken[span] = True
+        return out
 
 
 def document_frequencies(files: DataFrame) -> DataFrame:
@@ -279,7 +299,7 @@ def document_frequencies(files: DataFrame) -> DataFrame:
 
 
 def scan_files(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """files (file_id, path, text) -> file_id, path, is_licence_file, own_license, score, line."""
+    """files (file_id, path, text) -> file_id, path, is_licence_file, own_license, score, line, licenses: those of all windows that count, the best first (null if none)."""
     spark = files.sparkSession
     name = F.coalesce(F.rlike(F.substring_index("path", "/", -1), F.lit(LICENCE_FILE)), F.lit(False))
     rows = files.select("file_id", "path", name.alias("is_licence_file"), "text")
@@ -301,11 +321,12 @@ def scan_files(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLAT
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = [matcher.scan(t, w) for t, w in zip(as_bytes(batch.column(3)), batch.column(2).to_pylist(), strict=True)]
-            own = [pa.array([f and f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *own], ["file_id", "path", "is_licence_file", "own_license", "score", "line"])
+            found = [matcher.scan_all(t, w) for t, w in zip(as_bytes(batch.column(3)), batch.column(2).to_pylist(), strict=True)]
+            own = [pa.array([f[0][k] if f else None for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.int32()))]
+            every = pa.array([[x[0] for x in f] or None for f in found], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *own, every], ["file_id", "path", "is_licence_file", "own_license", "score", "line", "licenses"])
 
-    return rows.mapInArrow(scan, "file_id long, path string, is_licence_file boolean, own_license string, score double, line int")
+    return rows.mapInArrow(scan, "file_id long, path string, is_licence_file boolean, own_license string, score double, line int, licenses array<string>")
 
 
 def directory(path) -> F.Column:
@@ -316,14 +337,17 @@ def directory(path) -> F.Column:
 def inherit(scanned: DataFrame) -> DataFrame:
     """Adds license (own, else of the nearest ancestor directory) and inherited_from (the licence file's path)."""
     scanned = scanned.withColumn("_dir", directory(F.col("path")))
-    best = F.struct(-F.col("score"), "path", "own_license")
+    best = F.struct(-F.round("score", 9), "path", "own_license")
     owners = scanned.where("is_licence_file and own_license is not null").groupBy(F.col("_dir").alias("owner")).agg(F.min(best).alias("best"))
     dirs = scanned.where("_dir is not null").select("_dir").distinct()
     parts = F.split("_dir", "/")
     up = dirs.select("_dir", F.explode(F.transform(F.sequence(F.lit(0), F.when(F.col("_dir") == "", 0).otherwise(F.size(parts))), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("owner")))).alias("at"))
-    nearest = up.select("_dir", "at.depth", "at.owner").join(owners, "owner").groupBy(F.col("_dir").alias("_d")).agg(F.max_by("best", "depth").alias("near"))
+    # every directory has the top ones as ancestors, so owners are joined in SALTS copies
+    salted = owners.select("owner", "best", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    up = up.select("_dir", "at.depth", "at.owner", F.pmod(F.xxhash64("_dir"), F.lit(SALTS)).cast("int").alias("salt"))
+    nearest = up.join(salted, ["owner", "salt"]).groupBy(F.col("_dir").alias("_d")).agg(F.max_by("best", "depth").alias("near"))
     return scanned.join(nearest, F.col("_dir") == F.col("_d"), "left").select(
-        "file_id", "path", "is_licence_file", "own_license", "score", "line",
+        "file_id", "path", "is_licence_file", "own_license", "score", "line", "licenses",
         F.coalesce("own_license", "near.own_license").alias("license"), F.when(F.col("own_license").isNull(), F.col("near.path")).alias("inherited_from"),
     )
 

@@ -387,6 +387,26 @@ def test_license_statements_inside_longer_lines():
     assert matcher.scan(b"he ran under the old bridge and released a bird", False) is None
 
 
+def test_files_under_several_licenses():
+    matcher = licenses.Matcher(licenses.TEMPLATES, {}, 1000, licenses.THRESHOLD)
+    names = lambda t, whole=False: [x[0] for x in matcher.scan_all(t.encode(), whole)]
+    apache, mit = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License."
+    assert names(f"{apache}\nsome words between them here\n{mit}") == ["Apache-2.0", "MIT"]
+    assert names("// SPDX-License-Identifier: MIT OR Apache-2.0") == ["Apache-2.0", "MIT"]
+    full = licenses.texts()
+    assert set(names(full["MIT"] + "\n\n" + full["BSD-3-Clause"])) == {"MIT", "BSD-3-Clause"}
+    assert names(full["GPL-3.0"]) == ["GPL-3.0"] or names(full["GPL-3.0"])[0] == "GPL-3.0"
+    assert names("word " * 50_000 + mit) == ["MIT"] and names("") == []
+
+
+def test_license_ties_repeats_and_clashing_columns(spark):
+    files = [(1, "a/LICENSE", "Released under the MIT License.", "x", 1), (2, "a/COPYING", "Released under the ISC License.", "x", 1), (3, "a/x", "no", "x", 1), (3, "a/x", None, "x", 1), (4, "a/x", "", "x", 1), (None, "b", "Released under the MIT License. " * 3000, "x", 1)]
+    out = licenses.license_scan(spark.createDataFrame(files, "doc_id long, path string, text string, owner string, score int")).collect()
+    assert len(out) == 6
+    assert all((r.license, r.inherited_from) == ("ISC", "a/COPYING") for r in out if r.path == "a/x")  # equal cosines: the first path
+    assert next(r for r in out if r.path == "b").licenses == ["MIT"]
+
+
 def test_license_windows_equal_plain_counts():
     r = random.Random(3)
     some = sorted({w for t in licenses.TEMPLATES["MIT"] + licenses.TEMPLATES["ISC"] for w in licenses.words(t.encode())})
