@@ -1,10 +1,28 @@
-"""Sources: Parquet tables of a directory."""
+"""Tables of a directory, and files of other formats."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Options that let a table come back as it was: header and quotes that CSV needs, and full timestamps.
+FORMATS: dict[str, dict[str, str]] = {
+    "parquet": {},
+    "orc": {},
+    "json": {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"},
+    "csv": {"header": "true", "escape": "\"", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "nullValue": "\\N", "emptyValue": ""},
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table `name` of the directory, through Spark's own reader (any store Spark can open)."""
+    """The table `name` of the directory, by Spark's Parquet reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def save(df: DataFrame, path: str, form: str = "parquet", by: tuple[str, ...] = (), mode: str = "errorifexists") -> None:
+    """Write in a format of FORMATS; by: columns that name folders, which readers then skip by."""
+    df.write.format(form).options(**FORMATS[form]).mode(mode).partitionBy(*by).save(path)
+
+
+def load(spark: SparkSession, path: str, form: str, like: DataFrame) -> DataFrame:
+    """Read what save() wrote, with the schema of `like`, so that no pass over the files infers one."""
+    return spark.read.format(form).options(**FORMATS[form]).schema(like.schema).load(path).select(*like.columns)

@@ -1 +1 @@
-
+"""Streams of events: windows, sessions, repeated and late rows, and state of one's own."""

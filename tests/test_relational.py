@@ -1,23 +1,38 @@
+import builtins
+
 import duckdb
 import pytest
 
-from tessera.plans import relational
+import __spark_entry__ as entry
+from tessera.plans.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(relational.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    df = relational.QUERIES[name](spark, DATA)
+    df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
-    want = con.execute(f"SELECT {', '.join(columns)} FROM ({relational.ORACLES[name]})").fetchall()
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall()
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in df.select(*columns).collect())
 
 
 def test_entry_imports():
-    import __spark_entry__ as e
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) == set(ORACLES)
+
+
+def test_entry_without_a_library(monkeypatch):
+    real = builtins.__import__
+
+    def missing(name, *args, **kwargs):
+        if name == "corpus_pipeline":
+            raise ModuleNotFoundError("No module named 'tiktoken'", name="tiktoken")
+        return real(name, *args, **kwargs)
 
-    assert set(e.oracle_sql()) <= set(e.queries())
+    monkeypatch.setattr(builtins, "__import__", missing)
+    with pytest.warns(UserWarning, match="tiktoken"):
+        assert set(entry.queries()) == set(QUERIES)
