@@ -76,18 +76,22 @@ def order_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT o_custkey, o_orderkey, row_number() OVER w AS rank, date_diff('day', lead(o_orderdate) OVER w, o_orderdate) AS days
   FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey)) WHERE rank <= 3""")
 def latest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three latest orders of each customer and the days since the one before: ranking and lead over one sort."""
+    """The three latest orders of each customer and the days since the one before. The first filter is a rank limit, which Spark
+    applies before the shuffle too, so a customer with many orders sends four rows from each task."""
     w = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc_nulls_last(), "o_orderkey")
+    few = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.row_number().over(w).alias("rank")).where("rank <= 4")
     days = F.datediff(F.to_date("o_orderdate"), F.to_date(F.lead("o_orderdate").over(w)))
-    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("rank"), days.alias("days")).where("rank <= 3")
+    return few.select("o_custkey", "o_orderkey", "rank", days.alias("days")).where("rank <= 3")
 
 
 @query("""SELECT event_id, user_id, (count(*) OVER w)::BIGINT AS n_before FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)""")
 def events_in_last_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A range frame over time."""
-    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-86_400_000_000, 0)
-    return table(spark, sf_dir, "events").select("event_id", "user_id", F.count("*").over(w).alias("n_before"))
+    """A range frame over time. Each event is in the window of its day, and of the next day for others to count, so that a busy user's history isn't one task's."""
+    day = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86_400)
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.explode(F.array(F.struct(day.alias("day"), F.lit(True).alias("own")), F.struct((day + 1).alias("day"), F.lit(False).alias("own")))).alias("in"))
+    w = Window.partitionBy("user_id", "in.day").orderBy("at").rangeBetween(-86_400_000_000, 0)
+    return rows.select("event_id", "user_id", F.count("*").over(w).alias("n_before"), "in.own").where("own").drop("own")
 
 
 @query("""SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n_events, count(DISTINCT user_id) AS n_users FROM events GROUP BY ALL""")
@@ -108,11 +112,16 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT e.event_id, p.event_id AS purchase_id FROM
 (SELECT * FROM events WHERE event_type = 'click') e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts >= p.ts""")
 def click_after_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As-of join: each click with the user's latest purchase, by one sort of both sides together."""
-    events = table(spark, sf_dir, "events").where("event_type in ('click', 'purchase')")
-    w = Window.partitionBy("user_id").orderBy("ts", F.col("event_type").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w)
-    return events.select("event_id", "event_type", last.alias("purchase_id")).where("event_type = 'click'").select("event_id", "purchase_id")
+    """As-of join: each click with the user's latest purchase, by a sort of both within the user's day; the last purchase of the days
+    before comes from one row for each day, so that a busy user's history isn't one task's."""
+    events = table(spark, sf_dir, "events").where("event_type in ('click', 'purchase')").select("event_id", "user_id", "ts", "event_type", F.to_date("ts").alias("day"))
+    w = Window.partitionBy("user_id", "day").orderBy("ts", F.col("event_type").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    purchase = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    days = events.groupBy("user_id", "day").agg(F.max_by(purchase, F.when(purchase.isNotNull(), F.struct("ts", "event_id"))).alias("last"))
+    earlier = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("user_id", "day", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    clicks = events.select("event_id", "user_id", "day", "event_type", F.last(purchase, ignorenulls=True).over(w).alias("today")).where("event_type = 'click'")
+    return clicks.join(days, ["user_id", "day"]).select("event_id", F.coalesce("today", "carried").alias("purchase_id"))
 
 
 @query("""SELECT a.event_id AS click_id, b.event_id AS purchase_id FROM events a JOIN events b ON a.user_id = b.user_id
