@@ -17,13 +17,15 @@ sets link when 100 * intersection >= threshold * union. A token is a shingle.
    class have at least m - 1 combinations. Classes are counted per size band (powers of two); a set near the
    upper end of a band takes part in the next band too, so that partners always
    share a band. The lowest bands index frequent tokens singly.
-3. Candidates: signatures held by a few sets give pairs, of which those with
-   SHARED signatures in common are verified. Signatures held by many are *crowded*.
-   Each set with some goes once, with its tokens, to the most crowded one it has,
-   its *home*. There, sets are compared in chunks, inside tasks; every chunk gets
-   the home's LEADERS too, the first of all its holders in as many orders by hash,
-   so that chunks and homes are linked through them. Links of spanning forests
-   come out. Verification is exact, on whole sets; links make components.
+3. Candidates: each set that has a signature held by more than FEW sets goes once,
+   with its tokens, to the most held one it has, its *home*. There, sets are
+   compared in chunks, inside tasks, and links of spanning forests come out, which
+   make components. Signatures held by more than CROWDED sets are *crowded*; every
+   chunk of such a home gets its LEADERS too, the first of all the signature's
+   holders in as many orders by hash, so that chunks and homes are linked through
+   them. Other signatures give pairs, of which those with SHARED signatures in
+   common whose sets aren't in one component yet are verified. Verification is
+   exact, on whole sets; links make components.
 4. What is left: only links between components matter now. A crowded signature
    whose holders are all in one component is done. Of the others, holders outside
    the largest component (the *minor* ones) must be compared to all holders, each
@@ -73,11 +75,12 @@ MARGIN = 32
 SINGLE_BANDS = 5
 #: Signatures that linked sets have in common at least.
 SHARED = 12
-#: Signatures of more sets than this are crowded.
-CROWDED = 64
+#: Signatures of more sets than this can be homes; signatures of more sets than this are crowded.
+FEW, CROWDED = 8, 64
 #: Sets of each crowded signature that every chunk of its home gets.
 LEADERS = 8
-#: Sets and tokens that one chunk aims at.
+#: Sets that a chunk of a home aims at; sets and tokens that any chunk aims at.
+HOME_SETS = 256
 CHUNK_SETS, CHUNK_TOKENS = 512, 1 << 19
 #: Bytes of bit rows in a block; beyond, overlaps are counted token by token.
 BIT_ROWS = 32 << 20
@@ -308,8 +311,8 @@ def _left_links(threshold: int):
 
 
 def _candidates(docs: DataFrame, words: int, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """docs (doc_id, text) -> members (doc_id, n_shingles, rep), pairs (u, v) of classes to verify, the sets that hold crowded signatures
-    (rep, n, crowded, home, met: a number of their chunk of the home), and what goes to homes (met, rep, n).
+    """docs (doc_id, text) -> members (doc_id, n_shingles, rep), pairs (u, v) of classes to verify, the sets that have a home
+    (rep, n, crowded: their crowded signatures, home, met: a number of their chunk of it), and what goes to homes (met, rep, n).
 
     All are written, so that signatures and their shuffles can go before token arrays are made.
     """
@@ -331,14 +334,14 @@ def _candidates(docs: DataFrame, words: int, threshold: int) -> tuple[DataFrame,
     shared = F.least(F.lit(SHARED), F.ceil(F.min(F.least("nu", "nv")) * threshold / 100))
     pairs = materialise(met.groupBy("u", "v").agg(F.count("*").alias("shared"), shared.alias("least")).where("shared >= least").select("u", "v"), "pairs")
 
-    many = live.where(F.col("sets") > CROWDED).select(F.col("sig").alias("key"), "rep", "n", "sets")
-    holders = many.groupBy("rep").agg(F.first("n").alias("n"), F.collect_list("key").alias("crowded"), F.max(F.struct("sets", "key")).alias("home"))  # at most a prefix long
-    holders = holders.select("rep", "n", "crowded", F.col("home.key").alias("home"))
-    sizes_of_homes = holders.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / CHUNK_SETS, F.sum("n") / CHUNK_TOKENS)).cast("int").alias("chunks"))
+    many = live.where(F.col("sets") > FEW).select(F.col("sig").alias("key"), "rep", "n", "sets")
+    crowded = F.collect_list(F.when(F.col("sets") > CROWDED, F.col("key"))).alias("crowded")  # at most a prefix long
+    holders = many.groupBy("rep").agg(F.first("n").alias("n"), crowded, F.max(F.struct("sets", "key")).alias("home")).select("rep", "n", "crowded", F.col("home.key").alias("home"))
+    sizes_of_homes = holders.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / HOME_SETS, F.sum("n") / CHUNK_TOKENS)).cast("int").alias("chunks"))
     sizes_of_homes = materialise(sizes_of_homes, "home_sizes")
     met_at = lambda chunk: F.xxhash64("home", chunk).alias("met")
-    holders = materialise(holders.join(sizes_of_homes, "home").select("rep", "n", "crowded", "home", met_at(F.pmod(F.xxhash64("rep"), "chunks").cast("int"))), "crowded")
-    first = leaders(many.select("key", "rep", "n"), LEADERS).select(F.col("key").alias("home"), F.col("to.rep").alias("rep"), F.col("to.n").alias("n")).distinct()
+    holders = materialise(holders.join(sizes_of_homes, "home").select("rep", "n", "crowded", "home", met_at(F.pmod(F.xxhash64("rep"), "chunks").cast("int"))), "holders")
+    first = leaders(many.where(F.col("sets") > CROWDED).select("key", "rep", "n"), LEADERS).select(F.col("key").alias("home"), F.col("to.rep").alias("rep"), F.col("to.n").alias("n")).distinct()
     first = first.join(sizes_of_homes, "home").select("home", "rep", "n", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).select(met_at(F.col("chunk")), "rep", "n")
     homes = materialise(holders.select("met", "rep", "n").unionAll(first).distinct(), "homes")
     for t in (live, sizes, reps, signed):
@@ -359,9 +362,11 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, threshold: int = 80, id_
     arrays = keep(_arrays(passing(docs.withColumnRenamed("doc_id", "rep"), "rep", chosen).join(chosen, "rep"), words).repartition(parts, "rep"))  # dealt once for all joins on rep
     left, right = arrays.select(F.col("rep").alias("u"), F.col("tokens").alias("tu")), arrays.select(F.col("rep").alias("v"), F.col("tokens").alias("tv"))
     both = F.size(F.array_intersect("tu", "tv"))
-    verified = pairs.join(left, "u").join(right, "v").where(100 * both >= threshold * (F.size("tu") + F.size("tv") - both)).select("u", "v")
-    at_home = homes.join(arrays, "rep").groupBy("met").applyInPandas(_home_links(threshold), "u long, v long")
-    found = connected_components(verified.unionAll(at_home))
+    found = connected_components(homes.join(arrays, "rep").groupBy("met").applyInPandas(_home_links(threshold), "u long, v long"))
+    of = lambda name: found.select(F.col("id").alias(f"id_{name}"), F.col("component").alias(f"in_{name}"))
+    apart = pairs.join(of("u"), F.col("u") == F.col("id_u"), "left").join(of("v"), F.col("v") == F.col("id_v"), "left").where(F.coalesce("in_u", "u") != F.coalesce("in_v", "v")).select("u", "v")
+    verified = apart.join(left, "u").join(right, "v").where(100 * both >= threshold * (F.size("tu") + F.size("tv") - both)).select("u", "v")
+    found = connected_components(found.toDF("u", "v").unionAll(verified))
 
     held = holders.join(found, F.col("rep") == F.col("id"), "left").select(F.explode("crowded").alias("key"), "rep", "n", F.coalesce("component", "rep").alias("comp"), "met", "crowded")
     rest = unlinked(held, CHUNK_SETS, CHUNK_TOKENS)

@@ -88,7 +88,9 @@ def test_packing(spark):
 
 @pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80), (1, 70)])
 def test_ngram_join_equals_brute_force(spark, words, percent, monkeypatch):
-    monkeypatch.setattr(ngram_join, "CROWDED", 8)  # so that small groups take the way of crowded signatures too
+    monkeypatch.setattr(ngram_join, "FEW", 4)  # so that small groups take the ways of homes and crowded signatures too
+    monkeypatch.setattr(ngram_join, "CROWDED", 8)
+    monkeypatch.setattr(ngram_join, "HOME_SETS", 4)
     monkeypatch.setattr(ngram_join, "CHUNK_SETS", 8)
     r = random.Random(1)
     common = [f"w{k}" for k in range(30)]
