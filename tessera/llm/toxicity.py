@@ -9,6 +9,11 @@ the largest evidence stay, weighted by r, and a penalised logistic regression is
 fitted on them. The score is its probability, with the intercept put right for
 the share of toxic labels among all labels.
 
+That few n-grams stay is part of the fit, not a saving: most others are in hardly
+more than one document of the sample and restate its label. On labels held out
+at sf0.1, the model finds 90 % of toxic documents with 2**13 n-grams, 81 % with 2**15,
+76 % with all that 3 documents hold and 68 % with all (precision 98 to 100 %).
+
 The training sample is bounded: FIT_DOCS / 2 labelled documents of either kind
 at most, by hash of their id. It is written once; the model has KEPT_FEATURES
 weights, so what goes to the driver and to executors is bounded too. With labels
@@ -37,7 +42,7 @@ from .text import SMALL, as_bytes, keep_rows, slices
 
 HASH_BITS = 22
 SIZES = (3, 4, 5, 6)
-FIT_DOCS, KEPT_FEATURES, LEAST_DOCS = 6000, 1 << 15, 3
+FIT_DOCS, KEPT_FEATURES, LEAST_DOCS = 6000, 1 << 13, 3
 #: Parts that the training sample is dealt into.
 FIT_PARTS = 16
 #: Steps of the histogram of evidence: this many for a factor of 2; LOWEST is that of no evidence.
