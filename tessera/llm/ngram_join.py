@@ -76,7 +76,7 @@ SINGLE_BANDS = 5
 #: Signatures that linked sets have in common at least.
 SHARED = 12
 #: Signatures of more sets than this can be homes; signatures of more sets than this are crowded.
-FEW, CROWDED = 8, 64
+FEW, CROWDED = 256, 256
 #: Sets of each crowded signature that every chunk of its home gets.
 LEADERS = 8
 #: Sets that a chunk of a home aims at; sets and tokens that any chunk aims at.
