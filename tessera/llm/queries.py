@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources import table
 
-from . import chat, embedding_dedup, licenses, ngram_join, packing, quality, sentencepiece_codec, token_counts, toxicity, warc
+from . import chat, embedding_dedup, lexical_search, licenses, line_dedup, ngram_join, packing, quality, sentencepiece_codec, token_counts, toxicity, warc, whitening
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -84,7 +84,27 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECES).withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of 40 code points and more that 5 documents and more hold, kept in the last of them. A null text is one empty line."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs, least_chars=40, least_docs=5))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All valid vectors along up to 8 components. deviation is null where it is beyond a long (from about a million vectors on)."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), k=8).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best of all documents for each item of benchmark. Null texts have no terms."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_embedding_dedup, op3_ngram_jaccard_join, op4_sentencepiece, op5_chat_format, op6_best_fit_packing, op7_warc_derivatives, op8_license_scan, op9_quality_rules, op10_token_counts)
-}
+    for f in (
+        op1_toxicity, op2_embedding_dedup, op3_ngram_jaccard_join, op4_sentencepiece, op5_chat_format, op6_best_fit_packing, op7_warc_derivatives,
+        op8_license_scan, op9_quality_rules, op10_token_counts, op11_line_dedup, op12_embedding_whitening, op13_ranked_search,
+    )
+}

@@ -1,6 +1,7 @@
 """Plain versions of what the operators compute."""
 
 import itertools
+import math
 import re
 import zlib
 
@@ -104,3 +105,43 @@ def best_fit_bound(lengths, capacity):
         else:
             rooms.append(capacity - n)
     return len(rooms)
+
+
+def kept_lines(rows, least_chars, least_docs):
+    """For rows (id, text): lines, lines dropped and the text that stays. A null id is a document below all others."""
+    key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
+    below = lambda i: (i is not None, i or 0)
+    holders = {}
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            holders.setdefault(key(line), set()).add(below(i))
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        stay = [x for x in lines if len(key(x)) < least_chars or len(holders[key(x)]) < least_docs or max(holders[key(x)]) == below(i)]
+        out.append((len(lines), len(lines) - len(stay), "\n".join(stay)))
+    return out
+
+
+def ranked(docs, items, k):
+    """The k best (score, id) of docs (id, text) for each of items (id, text)."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    own = [(i, words(t)) for i, t in docs if words(t)]
+    all_docs, all_terms = len(own), sum(len(w) for _, w in own)
+    df = {}
+    for _, w in own:
+        for t in set(w):
+            df[t] = df.get(t, 0) + 1
+    asked = {}
+    for i, t in items:
+        asked.setdefault(i, set()).update(words(t))
+    out = {}
+    for i, ts in asked.items():
+        found = []
+        for d, w in own:
+            m = 50 + 50 * len(w) * all_docs // all_terms
+            s = sum(math.floor(1000 * math.log((2 * all_docs + 2) / (2 * df[t] + 1))) * (1_000_000_000 * w.count(t) // (1000 * w.count(t) + 20 * m)) for t in ts if t in w)
+            if s:
+                found.append((-s, d is None, d or 0))
+        out[i] = [(-s, None if null else d) for s, null, d in sorted(found)[:k]]
+    return out

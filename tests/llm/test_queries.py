@@ -55,7 +55,7 @@ def made(tmp_path_factory):
     turns = [(c, t, r.choice(["user", "assistant", "assistant", "system"]), r.choice([None, "", "a</s>b", "<|im_end|>", prose(r, 5)])) for c in range(8) for t in range(r.randint(1, 7))]
     put("conversations", **{k: [x[i] for x in turns] for i, k in enumerate(("conv_id", "turn", "role", "text"))})
     put("pages", page_id=[1, 2, 3], url=["http://a.example/", None, "u"], html=["<html><title>T</title><body><p>One</p>two</body></html>", None, ""])
-    put("benchmark", item_id=[1], text=["x"])
+    put("benchmark", item_id=[1, 2, 3, 4, 4], text=["x", None, prose(r, 12), "grobian and lout", prose(r, 3)])
     return str(where), rows, vectors, turns
 
 
@@ -124,6 +124,39 @@ def test_op5(spark, made):
         assert out[c].formatted_chars > len(said)
 
 
+def test_op11(spark, made):
+    rows = made[1]
+    out = {x.doc_id: x for x in run(spark, made, "op11_line_dedup")}
+    for i, (lines, dropped, text) in enumerate(brute.kept_lines(list(enumerate(rows)), 40, 5)):
+        assert (out[i].n_lines, out[i].n_dropped, out[i].kept_sha256) == (lines, dropped, hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_op12(spark, made):
+    good = [(i, v) for i, v in enumerate(made[2]) if v and None not in v and np.isfinite(v).all()]
+    out = {(x.vec_id, x.component): x for x in run(spark, made, "op12_embedding_whitening")}
+    x = np.floor(1024 * np.array([v for _, v in good], np.float32).astype(float)).astype(np.int64) + 100000
+    n, s = len(x), x.sum(axis=0)
+    y = (n * x - s) / n
+    e, u = np.linalg.eigh(y.T @ y / n)
+    assert set(out) == {(i, c) for i, _ in good for c in range(1, 9)}
+    for c in range(1, 9):
+        want = y @ u[:, -c] / np.sqrt(e[-c])
+        have = np.array([out[i, c].whitened for i, _ in good])
+        assert np.allclose(have * np.sign(have @ want), want, atol=1e-6)
+        assert out[0, c].explained == pytest.approx(e[-c] / e.sum(), rel=1e-9)
+    assert [out[i, 1].deviation for i, _ in good] == ((n * x - s) ** 2).sum(axis=1).tolist()
+    assert {(x.n, x.identity_error < 1e-9) for x in out.values()} == {(n, True)}
+
+
+def test_op13(spark, made):
+    where, rows = made[:2]
+    items = [(x["item_id"], x["text"]) for x in pq.read_table(f"{where}/benchmark.parquet").to_pylist()]
+    out = defaultdict(list)
+    for x in sorted(run(spark, made, "op13_ranked_search"), key=lambda x: (x.item_id, x["rank"])):
+        out[x.item_id].append((x.score, x.doc_id))
+    assert out == {i: x for i, x in brute.ranked(list(enumerate(rows)), items, 50).items() if x} and len(out[3]) == 50
+
+
 def check_pieces(out, texts):
     """out: rows of a packing; texts: by doc_id."""
     from tokenizers import Tokenizer
