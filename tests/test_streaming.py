@@ -37,3 +37,39 @@ def test_own_state_goes_on_from_batch_to_batch(spark, tmp_path):
     stream = write(spark, tmp_path / "b", [rows_at(*kinds[k : k + 2]) for k in range(0, 9, 2)])
     made = stream.groupBy("user_id").applyInPandasWithState(streams.count_funnels, "user_id long, n_funnels long", "step long, done long", "update", "NoTimeout")
     assert [tuple(r) for r in streams.updated(made, "funnels", ["user_id"]).collect()] == [(1, 2)]
+
+
+def test_click_outcomes_by_timers(spark, tmp_path):
+    """Several batches, late rows, a stop and a start again; what is decided leaves the state."""
+    from tessera.streaming import outcomes
+
+    first = [
+        rows_at((1, 0, "click"), (2, 10, "click"), (3, 12, "purchase"), (4, 1, "view")),
+        rows_at((5, 5, "purchase"), (6, 44, "click"), (7, 45.5, "click")),  # a purchase that comes after a later one
+        rows_at((8, 75.5, "purchase"), (9, 74.01, "purchase")),
+    ]
+    second = [
+        rows_at((10, 20, "purchase"), (11, 90, "click")),  # too late for what is decided
+        rows_at((12, 3, "click"), (13, 200, "click")),  # a late click is left out
+        rows_at((14, 500, "purchase")),
+        rows_at((15, 900, "purchase")),
+    ]
+    where, out, progress = tmp_path / "rows", str(tmp_path / "out"), str(tmp_path / "progress")
+    where.mkdir()
+    state = []
+
+    def run(batches, at):
+        for k, rows in enumerate(batches, at):
+            spark.createDataFrame(rows, "event_id long, at timestamp, user_id long, event_type string").coalesce(1).write.parquet(str(where / f"{k}"))
+        stream = spark.readStream.schema("event_id long, at timestamp, user_id long, event_type string").option("maxFilesPerTrigger", 1).parquet(str(where / "*"))
+        with outcomes.state_store(spark):
+            q = outcomes.outcomes(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).outputMode("append").trigger(availableNow=True).start()
+            q.awaitTermination()
+        state.extend(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"])
+        return sorted((r.click_id, r.purchase_id) for r in spark.read.schema(outcomes.SCHEMA).parquet(out).collect())
+
+    before = spark.conf.get(outcomes.PROVIDER)
+    assert run(first, 0) == [(1, 5), (2, 3)]
+    assert run(second, 3) == [(1, 5), (2, 3), (6, None), (7, 9), (11, None), (13, None)]
+    assert spark.conf.get(outcomes.PROVIDER) == before
+    assert state[-1] < max(state)
