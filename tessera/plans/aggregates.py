@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.running import running
 from tessera.sources import table
 
 from .registry import money, query
@@ -44,20 +45,33 @@ def quantity_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 def approximate_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approximate distinct counts and quantiles, beside exact figures that tell whether they are within 5 % and 2 % of ranks."""
     orders = table(spark, sf_dir, "orders")
-    made = orders.groupBy("o_orderpriority").agg(F.count_distinct("o_custkey").alias("n_customers"), F.approx_count_distinct("o_custkey", 0.01).alias("about"), F.percentile_approx("o_totalprice", 0.5, 1000).alias("middle"), F.count("*").alias("n"))
-    below = orders.join(made, "o_orderpriority").groupBy("o_orderpriority").agg(F.count_if(F.col("o_totalprice") <= F.col("middle")).alias("below"))
+    # apart from the exact count: beside it, a sketch would be kept and shuffled for every distinct customer
+    made = orders.groupBy("o_orderpriority").agg(F.approx_count_distinct("o_custkey", 0.01).alias("about"), F.percentile_approx("o_totalprice", 0.5, 1000).alias("middle"), F.count("*").alias("n"))
+    exact = orders.groupBy("o_orderpriority").agg(F.count_distinct("o_custkey").alias("n_customers"))
+    below = orders.join(F.broadcast(made), "o_orderpriority").groupBy("o_orderpriority").agg(F.count_if(F.col("o_totalprice") <= F.col("middle")).alias("below"))  # five priorities
     near = lambda a, b, most: F.abs(a - b) <= most * b
-    return made.join(below, "o_orderpriority").select("o_orderpriority", "n_customers", near(F.col("about"), F.col("n_customers"), 0.05).alias("customers_near"), near(F.col("below"), F.col("n") / 2, 0.04).alias("median_near"))
+    return made.join(exact, "o_orderpriority").join(below, "o_orderpriority").select("o_orderpriority", "n_customers", near(F.col("about"), F.col("n_customers"), 0.05).alias("customers_near"), near(F.col("below"), F.col("n") / 2, 0.04).alias("median_near"))
 
 
 @query("""SELECT o_orderkey, rank() OVER w AS place, dense_rank() OVER w AS dense, ntile(4) OVER (PARTITION BY o_orderdate ORDER BY o_totalprice DESC, o_orderkey) AS quarter,
   round(percent_rank() OVER w, 9) AS share, round(cume_dist() OVER w, 9) AS reached FROM orders WINDOW w AS (PARTITION BY o_orderdate ORDER BY o_orderpriority)""")
 def ranks_of_the_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranking windows over the orders of a day."""
-    w = Window.partitionBy("o_orderdate").orderBy("o_orderpriority")
-    single = Window.partitionBy("o_orderdate").orderBy(F.col("o_totalprice").desc(), "o_orderkey")
-    ranks = F.rank().over(w).cast("long").alias("place"), F.dense_rank().over(w).cast("long").alias("dense"), F.ntile(4).over(single).cast("long").alias("quarter")
-    return table(spark, sf_dir, "orders").select("o_orderkey", *ranks, F.round(F.percent_rank().over(w), 9).alias("share"), F.round(F.cume_dist().over(w), 9).alias("reached"))
+    """Ranks among the orders of a day. Those by priority come from counts of (day, priority), made before the shuffle; quarters by price from
+    places in one running order of all days, less those of the days before: so no day is one task's."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority", "o_totalprice")
+    counts = orders.groupBy("o_orderdate", "o_orderpriority").agg(F.count("*").alias("n"))
+    of_day = Window.partitionBy("o_orderdate")
+    by_priority = of_day.orderBy("o_orderpriority")
+    reached = F.sum("n").over(by_priority.rowsBetween(Window.unboundedPreceding, 0))
+    ranks = counts.select("o_orderdate", "o_orderpriority", (reached - F.col("n") + 1).alias("place"), F.row_number().over(by_priority).cast("long").alias("dense"), reached.alias("reached_n"), F.sum("n").over(of_day).alias("of_day"))
+    placed = running(orders, ["o_orderdate", "-o_totalprice"], ["o_orderkey"], {}).select("o_orderkey", "o_orderdate", "o_orderpriority", "row_number")
+    days = counts.groupBy("o_orderdate").agg(F.sum("n").alias("n"))
+    before = running(days, ["o_orderdate"], [], {"up_to": "n"}).select(F.col("o_orderdate").alias("day"), (F.col("up_to") - F.col("n")).alias("before"))
+    both = placed.join(ranks, ["o_orderdate", "o_orderpriority"]).join(before, F.col("o_orderdate") == F.col("day"))
+    each, more, at = F.expr("of_day div 4"), F.col("of_day") % 4, F.col("row_number") - F.col("before")
+    quarter = F.when(at <= more * (each + 1), F.expr("(row_number - before - 1) div (of_day div 4 + 1) + 1")).otherwise(more + F.expr("(row_number - before - of_day % 4 * (of_day div 4 + 1) - 1) div greatest(of_day div 4, 1) + 1"))
+    share = F.when(F.col("of_day") > 1, (F.col("place") - 1) / (F.col("of_day") - 1)).otherwise(0.0)
+    return both.select("o_orderkey", "place", "dense", quarter.alias("quarter"), F.round(share, 9).alias("share"), F.round(F.col("reached_n") / F.col("of_day"), 9).alias("reached"))
 
 
 @query("""SELECT event_id, lag(event_type) OVER w AS before, first_value(event_id) OVER w AS first_of_day, last_value(event_id) OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_of_day,

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.sessions import sessions as sessionise
 from tessera.sources import table
 
 from .registry import money, query
@@ -87,9 +88,11 @@ def latest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, user_id, (count(*) OVER w)::BIGINT AS n_before FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)""")
 def events_in_last_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A range frame over time. Each event is in the window of its day, and of the next day for others to count, so that a busy user's history isn't one task's."""
+    """A range frame over time. Each event is in the window of its day, and of the next day for others to count, so that a busy user's history isn't one task's.
+    Events without a time count those without a time."""
     day = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86_400)
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.explode(F.array(F.struct(day.alias("day"), F.lit(True).alias("own")), F.struct((day + 1).alias("day"), F.lit(False).alias("own")))).alias("in"))
+    own = F.struct(day.alias("day"), F.lit(True).alias("own"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.explode(F.when(day.isNull(), F.array(own)).otherwise(F.array(own, F.struct((day + 1).alias("day"), F.lit(False).alias("own"))))).alias("in"))
     w = Window.partitionBy("user_id", "in.day").orderBy("at").rangeBetween(-86_400_000_000, 0)
     return rows.select("event_id", "user_id", F.count("*").over(w).alias("n_before"), "in.own").where("own").drop("own")
 
@@ -105,8 +108,8 @@ def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events))
 GROUP BY user_id, session""")
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Session windows: a user's events less than 30 minutes apart."""
-    return table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n_events")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("began"), "n_events")
+    """Sessions: a user's events less than 30 minutes apart, from bins that are summed up before the shuffle, so that a busy user isn't one task's."""
+    return sessionise(table(spark, sf_dir, "events"), ["user_id"], "ts", 1800).select("user_id", "began", F.col("n_rows").alias("n_events"))
 
 
 @query("""SELECT e.event_id, p.event_id AS purchase_id FROM

@@ -11,6 +11,11 @@ from tessera.sources import table
 from .registry import money, query
 
 
+def bins_of(rows: DataFrame, size: int) -> int:
+    """Bins of about `size` rows, 8 at least."""
+    return max(8, -(-rows.count() // size))
+
+
 @query(r"""SELECT p_partkey, regexp_extract(p_name, '([A-Za-z]+)', 1) AS word, regexp_replace(p_type, '[AEIOU]', '*', 'g') AS masked, split_part(p_brand, '#', 2) AS brand_no,
   lpad(p_partkey::VARCHAR, 8, '0') AS padded, reverse(p_brand) AS backwards, concat_ws('/', p_brand, p_type) AS path, strpos(p_type, 'A')::INT AS place, replace(trim(p_name), ' ', '_') AS joined FROM part""")
 def part_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,12 +55,16 @@ def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT c_nationkey, list_sort(list_distinct(list(c_mktsegment))) AS segments, len(list(c_custkey))::INT AS n_customers, list_aggregate(list_transform(list(c_custkey), lambda x: x * 2), 'sum')::BIGINT AS doubled,
   len(list_filter(list(c_custkey), lambda x: x % 3 = 0))::INT AS thirds, list_contains(list(c_mktsegment), 'BUILDING') AS builds FROM customer GROUP BY ALL""")
 def nation_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Higher-order functions on arrays of a nation's customers, sorted so that rows don't depend on how they were gathered."""
-    t = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.collect_list("c_custkey").alias("keys"), F.array_sort(F.collect_set("c_mktsegment")).alias("segments"))
-    return t.select(
+    """Higher-order functions on arrays of a nation's customers. Arrays are of bins of some thousands of customers, whose figures are added up, so that no nation is one row's."""
+    customers = table(spark, sf_dir, "customer")
+    bins = F.pmod(F.xxhash64("c_custkey"), F.lit(bins_of(customers, 8192)))
+    t = customers.groupBy("c_nationkey", bins.alias("bin")).agg(F.collect_list("c_custkey").alias("keys"), F.collect_set("c_mktsegment").alias("segments"))
+    t = t.select(
         "c_nationkey", "segments", F.size("keys").alias("n_customers"), F.aggregate(F.transform("keys", lambda x: x * 2), F.lit(0).cast("long"), lambda a, x: a + x).alias("doubled"),
         F.size(F.filter("keys", lambda x: x % 3 == 0)).alias("thirds"), F.array_contains("segments", "BUILDING").alias("builds"),
     )
+    segments = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array_sort("segments")))))  # sets of a few segments
+    return t.groupBy("c_nationkey").agg(segments.alias("segments"), F.sum("n_customers").cast("int").alias("n_customers"), F.sum("doubled").alias("doubled"), F.sum("thirds").cast("int").alias("thirds"), F.bool_or("builds").alias("builds"))
 
 
 @query("""SELECT p_partkey, p_brand || '-' || CASE WHEN p_size < 10 THEN 'S' WHEN p_size < 30 THEN 'M' ELSE 'L' END || p_size::VARCHAR AS code FROM part""")
@@ -75,7 +84,7 @@ def revenue_by_own_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shares_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grouped map in pandas; an order has few items, and orders are handed over many at a time."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    bins = items.withColumn("bin", F.pmod(F.xxhash64("l_orderkey"), F.lit(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))))
+    bins = items.withColumn("bin", F.pmod(F.xxhash64("l_orderkey"), F.lit(bins_of(items, 65_536))))  # of some ten thousand items, whatever the table
     return bins.groupBy("bin").applyInPandas(share_of_group, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, share double")
 
 

@@ -5,11 +5,15 @@ import itertools
 import random
 from decimal import Decimal
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401  it has all queries registered
 from tessera.operators import neighbours, overlaps, running, sessions
+from tessera.plans.registry import ORACLES, QUERIES
+from tessera.sources import load, save
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -177,3 +181,49 @@ def test_an_interval_is_few_rows_whatever_its_length(spark):
     levels = sorted(r.left_level for r in placed.collect())
     cells = overlaps._cells(placed, "left", levels, []).groupBy("left_row.id").count().collect()
     assert max(r["count"] for r in cells) <= 2 * len(levels)
+
+
+# formats and queries on odd rows
+
+
+ODD_TEXTS = [None, "", " ", " pad ", "a\nb", "x\ry", "\r\n", "\\N", "\\E", "\\", "\\\\", "\\n", "\\\\n", "\\1", "\1", "\0011", "\\\1", "\0", '"', '""', 'a"b,c', ",", "é日本👍", "\t", "'", "#", "\\\n\\", " ", "null", "NULL", "\\0\\\\1\1"]
+
+
+@pytest.mark.parametrize("form", ["csv", "json", "orc", "parquet"])
+def test_texts_come_back_as_written(spark, tmp_path, form):
+    texts = list(ODD_TEXTS)
+    texts += ["\\" * a + c + "\\" * b for a in range(4) for b in range(3) for c in ("n", "\n", "1", "\1", "E", "N", "0", "\0")]
+    df = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "id long, text string, `odd name` string").coalesce(1)
+    save(df, str(tmp_path / form), form)
+    got = {x.id: (x.text, x["odd name"]) for x in load(spark, str(tmp_path / form), form, df).collect()}
+    assert got == {i: (t, t) for i, t in enumerate(texts)}
+    alone = df.select("text")
+    save(alone, str(tmp_path / f"{form}-alone"), form)
+    assert sorted(map(repr, (x.text for x in load(spark, str(tmp_path / f"{form}-alone"), form, alone).collect()))) == sorted(map(repr, texts))
+
+
+def test_events_without_a_time_count_once(spark, tmp_path):
+    rows = [(1, None, 5), (2, None, 6), (3, None, 6), (4, minutes(0), 5), (5, minutes(1), 5), (6, minutes(1440), 5), (7, minutes(1441.5), None), (8, None, None)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(ORACLES["events_in_last_day"]).fetchall()
+    got = QUERIES["events_in_last_day"](spark, str(tmp_path)).select("event_id", "user_id", "n_before").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_ranks_of_a_hot_day(spark, tmp_path):
+    """All orders on one day, few prices: SQL's ranks, and no task that has most of them."""
+    rows = spark.range(6000).select(F.col("id").alias("o_orderkey"), F.lit(START).cast("timestamp_ntz").alias("o_orderdate"), (F.col("id") % 3).cast("string").alias("o_orderpriority"), (F.col("id") % 7).cast("double").alias("o_totalprice"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    df = QUERIES["ranks_of_the_day"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLES['ranks_of_the_day']})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
+def test_sketches_are_not_kept_for_every_customer(spark):
+    plan = plan_of(QUERIES["approximate_orders"](spark, "/root/testdata/sf0.001"))
+    for line in plan.split("\n"):
+        assert not ("approx_count_distinct" in line and "keys=[o_orderpriority" in line and "o_custkey" in line.split("functions=")[0])
