@@ -4,21 +4,22 @@ A text's features are the distinct character n-grams (3 to 6 code points of the
 lower-cased text, white space runs as one space, a space at either end), hashed
 to 2**HASH_BITS numbers, whatever its length. For each n-gram the log-count
 ratio of document shares, r = log((toxic + a) / (all toxic + 2a)) - log((clean +
-a) / (all clean + 2a)), is taken over the training sample; the KEPT_FEATURES of
-the largest evidence stay, weighted by r, and a penalised logistic regression is
-fitted on them. The score is its probability, with the intercept put right for
-the share of toxic labels among all labels.
+a) / (all clean + 2a)), is taken over the training sample; those of the largest
+evidence stay, weighted by r, and a penalised logistic regression is fitted on
+them. The score is its probability, with the intercept put right for the share
+of toxic labels among all labels.
 
-That few n-grams stay is part of the fit, not a saving: most others are in hardly
-more than one document of the sample and restate its label. On labels held out
-at sf0.1, the model finds 90 % of toxic documents with 2**13 n-grams, 81 % with 2**15,
-76 % with all that 3 documents hold and 68 % with all (precision 98 to 100 %).
+How many n-grams stay is one of FEATURES: the number with the least log loss over
+FOLDS folds of the training sample, by hash of the id, each scored by a model
+whose n-grams, ratios and weights come from the other folds (ties, and samples too
+small for folds: the least). That few stay is part of the fit, not a saving: most
+n-grams are in hardly more than one document of the sample and restate its label.
 
 The training sample is bounded: FIT_DOCS / 2 labelled documents of either kind
-at most, by hash of their id. It is written once; the model has KEPT_FEATURES
-weights, so what goes to the driver and to executors is bounded too. With labels
-of one kind or none, or of no document here, every score is the share of toxic
-labels (0 without labels).
+at most, by hash of their id. It is kept once; the model has max(FEATURES)
+weights at most, so what goes to the driver and to executors is bounded too. With
+labels of one kind or none, or of no document here, every score is the share of
+toxic labels (0 without labels).
 
 Null texts count as empty; an empty text scores as a text without any kept
 n-gram. Repeated rows are each scored. Of several labels of a document the
@@ -42,7 +43,8 @@ from .text import SMALL, as_bytes, keep_rows, slices
 
 HASH_BITS = 22
 SIZES = (3, 4, 5, 6)
-FIT_DOCS, KEPT_FEATURES, LEAST_DOCS = 6000, 1 << 13, 3
+FIT_DOCS, LEAST_DOCS = 6000, 3
+FEATURES, FOLDS = (1 << 9, 1 << 11, 1 << 13, 1 << 15), 3
 #: Parts that the training sample is dealt into.
 FIT_PARTS = 16
 #: Steps of the histogram of evidence: this many for a factor of 2; LOWEST is that of no evidence.
@@ -105,27 +107,34 @@ def _add_counts(counts: np.ndarray, texts: list[bytes], toxic: np.ndarray) -> No
         np.add.at(counts[k], found[kind == k] & ((1 << HASH_BITS) - 1), 1)
 
 
-def _select(sample: DataFrame) -> pd.DataFrame:
-    """Hash, clean and toxic document counts of the n-grams of most evidence."""
+def _counted(sample: DataFrame) -> DataFrame:
+    """h, fold, clean, toxic: document counts of each n-gram in each fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, 1 << HASH_BITS), np.int32)
+        counts = np.zeros((FOLDS, 2, 1 << HASH_BITS), np.int16)  # of FIT_DOCS documents at most
         for batch in slices(batches, "text", SMALL // len(SIZES)):
-            _add_counts(counts, as_bytes(batch.column(1)), np.array(batch.column(2).to_pylist(), np.int64))
-        held = np.flatnonzero(counts.any(axis=0))
-        for part in np.array_split(held, max(1, len(held) // 50_000)):
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(counts[0][part], pa.int64()), pa.array(counts[1][part], pa.int64())], ["h", "clean", "toxic"])
-
-    n_toxic, n = sample.agg(F.sum("toxic"), F.count("*")).first()
-    n_clean = n - n_toxic
-    counted = sample.mapInArrow(run, "h int, clean long, toxic long").groupBy("h").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+            texts, toxic, fold = as_bytes(batch.column(1)), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            for f in np.unique(fold).tolist():
+                some = np.flatnonzero(fold == f)
+                _add_counts(counts[f], [texts[i] for i in some], toxic[some])
+        for f in range(FOLDS):
+            held = np.flatnonzero(counts[f].any(axis=0))
+            for part in np.array_split(held, max(1, len(held) // 50_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(np.full(len(part), f), pa.int32()), pa.array(counts[f][0][part], pa.int64()), pa.array(counts[f][1][part], pa.int64())], ["h", "fold", "clean", "toxic"])
+
+    return sample.mapInArrow(run, "h int, fold int, clean long, toxic long").groupBy("h", "fold").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
+
+def _best(counted: DataFrame, n_clean: int, n_toxic: int, n: int) -> pd.DataFrame:
+    """Hash and log-count ratio of the n n-grams of most evidence, the most first. n_clean, n_toxic: documents counted."""
     a = SMOOTHING
     ratio = F.log((F.col("toxic") + a) / (n_toxic + 2 * a)) - F.log((F.col("clean") + a) / (n_clean + 2 * a))
     gap = F.abs(F.col("toxic") / n_toxic - F.col("clean") / n_clean)
+    counted = counted.groupBy("h").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     kept = counted.where(F.col("clean") + F.col("toxic") >= LEAST_DOCS).select("h", ratio.alias("ratio"), (F.abs(ratio) * gap).alias("evidence"))
     kept = keep(kept.withColumn("step", F.when(F.col("evidence") > 0, F.floor(F.log2("evidence") * STEPS)).otherwise(LOWEST).cast("int")))
     # a histogram of the evidence tells the step in which the last one is; so the driver gets what stays, not the best of every partition
-    left, last = KEPT_FEATURES, LOWEST - 1
+    left, last = n, LOWEST - 1
     for r in sorted(kept.groupBy("step").count().collect(), reverse=True):  # at most 64 * STEPS rows or so: evidence is 2**-50 to 2**4, or 0
         if r["count"] > left:
             last = r["step"]
@@ -137,6 +146,48 @@ def _select(sample: DataFrame) -> pd.DataFrame:
     return best
 
 
+def _matrix(sample: DataFrame, model: Model) -> pd.DataFrame:
+    """doc_id, toxic, fold, features (their columns, two bytes each) of the sample's rows, in a fixed order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = model.table()
+        for batch in slices(batches, "text", SMALL):
+            rows, cols = _present(as_bytes(batch.column(1)), table)
+            cuts = np.searchsorted(rows, np.arange(1, batch.num_rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([x.astype("<u2").tobytes() for x in np.split(cols, cuts)], pa.binary())], ["doc_id", "toxic", "fold", "features"])
+
+    return sample.mapInArrow(run, "doc_id long, toxic int, fold int, features binary").toPandas().sort_values(["doc_id", "features"])
+
+
+def _rows(data: pd.DataFrame, ratios: np.ndarray, n: int) -> SparseRows:
+    """Rows of _matrix() with their first n columns."""
+    flat, lengths = np.frombuffer(b"".join(data["features"]), "<u2"), data["features"].str.len().to_numpy(np.int64) // 2
+    some = flat < n
+    ends = np.append(0, np.cumsum(some))[np.append(0, np.cumsum(lengths))]
+    return SparseRows(flat[some], np.diff(ends), ratios[:n])
+
+
+def losses(sample: DataFrame, counted: DataFrame, n: dict[tuple[int, int], int]) -> dict[int, float]:
+    """Log loss of each of FEATURES over the folds. n: documents by (fold, toxic). Empty if no fold has both kinds outside it."""
+    out: dict[int, float] = {}
+    for f in range(FOLDS):
+        kinds = [sum(v for (fold, k), v in n.items() if k == kind and fold != f) for kind in (0, 1)]
+        if not all(kinds) or not any(fold == f for fold, _ in n):
+            continue
+        best = _best(counted.where(F.col("fold") != f), *kinds, max(FEATURES))
+        ratios = best["ratio"].to_numpy()
+        data = _matrix(sample, Model(best["h"].to_numpy(np.int64), ratios, 0.0))
+        own, rest = data[data["fold"] == f], data[data["fold"] != f]
+        for size in FEATURES:
+            learnt, tried = _rows(rest, ratios, size), _rows(own, ratios, size)
+            w, b = fit_logistic(learnt.forward, learnt.backward, rest["toxic"].to_numpy(float), len(ratios[:size]), PENALTY)
+            z = tried.forward(w) + b
+            out[size] = out.get(size, 0.0) + float((np.logaddexp(0, z) - own["toxic"].to_numpy(float) * z).sum())
+        del data, own, rest
+        release_memory()
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic (0 or 1), of training documents alone."""
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -147,25 +198,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     half = FIT_DOCS // 2
     chosen = [labels.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half) for k in (0, 1)]
     chosen = chosen[0].unionAll(chosen[1]).withColumnRenamed("doc_id", "_id")  # at most FIT_DOCS rows: small enough to broadcast
-    sample = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")
+    sample = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic", fold.alias("fold"))
     sample = keep(sample.repartition(FIT_PARTS))  # else each part of docs, with a row of the sample or none, would make arrays for all hashes
-    if sample.select(F.count_distinct("toxic")).first()[0] < 2:
+    n = {(r["fold"], r["toxic"]): r["count"] for r in sample.groupBy("fold", "toxic").count().collect()}
+    kinds = [sum(v for (_, k), v in n.items() if k == kind) for kind in (0, 1)]
+    if not all(kinds):
         sample.unpersist()
         return constant(share)
-    best = _select(sample)
+    counted = keep(_counted(sample))
+    tried = losses(sample, counted, n)
+    best = _best(counted, *kinds, min(FEATURES, key=lambda size: (tried.get(size, 0.0), size)))
+    counted.unpersist()
     model = Model(best["h"].to_numpy(np.int64), best["ratio"].to_numpy(), 0.0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = model.table()
-        for batch in slices(batches, "text", SMALL):
-            rows, cols = _present(as_bytes(batch.column(1)), table)
-            cuts = np.searchsorted(rows, np.arange(1, batch.num_rows))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.astype("<u2").tobytes() for x in np.split(cols, cuts)], pa.binary())], ["doc_id", "toxic", "features"])
-
-    data = sample.mapInArrow(run, "doc_id long, toxic int, features binary").toPandas().sort_values(["doc_id", "features"])
+    data = _matrix(sample, model)
     sample.unpersist()
-    lengths, y = data["features"].str.len().to_numpy(np.int64) // 2, data["toxic"].to_numpy(float)
-    rows = SparseRows(np.frombuffer(b"".join(data["features"]), "<u2"), lengths, model.weights)
+    rows, y = _rows(data, model.weights, len(model.weights)), data["toxic"].to_numpy(float)
     del data
     w, b = fit_logistic(rows.forward, rows.backward, y, len(model.weights), PENALTY)
     del rows

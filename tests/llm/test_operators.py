@@ -283,11 +283,34 @@ def test_toxicity_scores_are_plain_sums(spark):
     assert {round(x.score, 6) for x in toxicity.toxicity(docs, only).collect()} == {1.0}
 
 
-def test_toxicity_keeps_the_features_of_most_evidence(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "KEPT_FEATURES", 100)
+def test_toxicity_learns_nothing_from_held_out_labels(spark, monkeypatch):
+    """Neither the model nor the number of n-grams changes with them; the number has the least loss over folds."""
+    monkeypatch.setattr(toxicity, "FEATURES", (20, 200))
+    tried, whole = [], toxicity.losses
+    monkeypatch.setattr(toxicity, "losses", lambda *a: tried.append(whole(*a)) or tried[-1])
+    r = random.Random(9)
+    rows = [" ".join(r.choice(["kind", "mild", "calm", "good"] + (["mean", "vile"] if i % 3 == 0 else [])) + str(r.randint(0, 9)) for _ in range(6)) for i in range(240)]
+    docs = frame(spark, rows)
+    models = []
+    for flip in (0, 1):
+        labels = [(i, int(i % 3 == 0) ^ (flip & brute.held_out(i))) for i in range(240)]
+        own = spark.createDataFrame(labels, "doc_id long, toxic int").where(~toxicity.held_out(F.col("doc_id")))
+        models.append(toxicity.fit(docs.select("doc_id", "text"), own))
+    assert (models[0].features == models[1].features).all() and (models[0].weights == models[1].weights).all() and models[0].intercept == models[1].intercept
+    assert tried[0] == tried[1] and set(tried[0]) == {20, 200}
+    assert len(models[0].features) == min(tried[0], key=tried[0].get)
+
+
+def test_toxicity_of_samples_too_small_for_folds(spark):
+    docs = frame(spark, ["mean words here", "kind words here", "", None])
+    model = toxicity.fit(docs.select("doc_id", "text"), spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int"))
+    assert len(model.features) <= min(toxicity.FEATURES) and np.isfinite(model.intercept)
+
+
+def test_toxicity_keeps_the_features_of_most_evidence(spark):
     r = random.Random(6)
     rows = [("mean" if i % 4 == 0 else "kind") + " " + "".join(r.choice("abcdef ") for _ in range(60)) for i in range(200)]
-    sample = spark.createDataFrame([(i, t, int(i % 4 == 0)) for i, t in enumerate(rows)], "doc_id long, text string, toxic int")
+    sample = spark.createDataFrame([(i, t, int(i % 4 == 0), i % toxicity.FOLDS) for i, t in enumerate(rows)], "doc_id long, text string, toxic int, fold int")
     counts = collections.defaultdict(lambda: [0, 0])
     for i, t in enumerate(rows):
         for h in {int(x) for own, _ in toxicity.ngrams([t.encode()]) for x in own}:
@@ -297,7 +320,7 @@ def test_toxicity_keeps_the_features_of_most_evidence(spark, monkeypatch):
         if clean + toxic >= toxicity.LEAST_DOCS:
             evidence[h] = abs(np.log((toxic + 0.5) / 51) - np.log((clean + 0.5) / 151)) * abs(toxic / 50 - clean / 150)
     want = sorted(evidence, key=lambda h: (-round(evidence[h], 9), h))[:100]
-    assert set(toxicity._select(sample)["h"]) == set(want)
+    assert set(toxicity._best(toxicity._counted(sample), 150, 50, 100)["h"]) == set(want)
 
 
 def test_warc_derivatives_are_linked(spark):
