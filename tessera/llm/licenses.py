@@ -2,10 +2,13 @@
 
 Texts and templates become sparse TF-IDF vectors over words. The document
 frequencies are those of all files, of every word: they are counted in Spark and
-stay there. The driver fetches those of template words, then those of the other
-words of open passages, where they can change the outcome: passages that reach
-the threshold if these words weigh the least that a word can, and that no passage
-over some of the same words beats whatever they weigh. In every file,
+stay there. The driver fetches those of template words alone. In a first pass
+files are scanned with these; where the frequencies of other words of a passage
+can change the outcome (it reaches the threshold if these words weigh the least
+that a word can, and no passage over some of the same words beats it whatever
+they weigh), the file is left open. The words of open passages are joined to
+their counts, one row for each word of a text, and with its own words' counts
+each open file is scanned again; files with the same text share them. In every file,
 windows of as many words as a template has slide over all words, so a statement
 is found inside longer lines; windows of lines that begin at a line with an anchor
 word are compared too, up to 128 words more than twice the template; licence files
@@ -15,7 +18,9 @@ threshold. A template is passed by, without loss, where the words that the file
 has of it couldn't reach the threshold.
 
 Templates are statements, titles, notices and full texts. SPDX tags are read as
-such and count as cosine 1; each listed id of an expression is a candidate.
+such and count as cosine 1; each id of an expression is a candidate, but for
+exceptions. An id that isn't listed counts as written, if the tag ends its line (comment
+marks apart), so such a file doesn't inherit another license.
 
 A window counts if no window over some of the same words has a greater cosine
 (ties: first in order of license id), so a file under several licenses shows them
@@ -40,10 +45,11 @@ from importlib import resources
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import keep
+from .storage import keep, materialise
 from .text import as_bytes, slices
 
 THRESHOLD = 0.75
@@ -54,6 +60,8 @@ SALTS = 32
 LICENCE_FILE = r"(?i)^(licen[cs]es?|copying|copyright|notice|unlicense)([._-].*)?$"
 WORD = re.compile(rb"[a-z0-9]+(?:[.+-][a-z0-9]+)*|[^\x00-\x7f]+")
 
+#: What may follow a tag on its line.
+TAG_END = re.compile(rb"[ \t]*(?:\*+/|-->|\*\)|[\"'`;*#%)\]}>|])*[ \t]*(?:[\r\n]|\Z)")
 #: Tags with an expression of SPDX ids.
 TAG = re.compile(rb"spdx-license-identifier:[ \t]*((?:\([ \t]*)*[a-z0-9.+-]+(?:[ \t]*\))*(?:[ \t]+(?:and|or|with)[ \t]+(?:\([ \t]*)*[a-z0-9.+-]+(?:[ \t]*\))*)*)")
 
@@ -80,6 +88,8 @@ STATEMENTS: dict[str, tuple[str, ...]] = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
     "ISC": ("Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    "LGPL-2.0": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",),
+    "LGPL-2.1": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     "MIT": (
         "Released under the MIT License.",
@@ -108,13 +118,13 @@ class Matcher:
     def __init__(self, templates: dict[str, tuple[str, ...]], frequency: dict[bytes, int], files: int, threshold: float) -> None:
         rows = [(name, Counter(words(t.encode()))) for name in sorted(templates) for t in templates[name]]
         self.names = [name for name, _ in rows]
-        self.threshold = threshold
+        self.threshold, self.files = threshold, files
         #: Greatest idf of a word that occurs in a file; the least is 1.
         self.most = math.log((files + 1) / 2) + 1
         self.vocabulary = frozenset(w for _, row in rows for w in row)
         known = [*sorted(self.vocabulary), *sorted(frequency.keys() - self.vocabulary)]
         self.index = {w: i for i, w in enumerate(known)}
-        self.idf = np.array([math.log((files + 1) / (frequency.get(w, 0) + 1)) + 1 for w in known])
+        self.idf = np.array([self.weight(frequency.get(w, 0)) for w in known])
         self.lengths = [sum(row.values()) for _, row in rows]
         self.weights = np.zeros((len(rows), len(self.vocabulary)))
         self.anchors = np.zeros(self.weights.shape, bool)
@@ -128,14 +138,18 @@ class Matcher:
                     self.anchors[k, self.index[w]] = True
                     left -= (x / norm) ** 2
 
-    def windows(self, text: bytes, whole: bool) -> "Windows | None":
-        """The windows that may hold the best match; None if there is none."""
+    def weight(self, n: int) -> float:
+        """The idf of a word that n files have."""
+        return math.log((self.files + 1) / (n + 1)) + 1
+
+    def windows(self, text: bytes, whole: bool, more: dict[bytes, int] | None = None) -> "Windows | None":
+        """The windows that may hold the best match; None if there is none. more: frequencies of words of this text."""
         low = text.lower()
         held = [self.index[w] for w in self.vocabulary.intersection(words(low))]
         near = np.flatnonzero((self.weights[:, held] ** 2).sum(1) >= self.threshold**2 - 1e-9) if held else []
         if not len(near):
             return None
-        found = Windows(self, low)
+        found = Windows(self, low, more or {})
         for k in near:
             found.slide(k)
         found.grow_lines(near)
@@ -149,9 +163,12 @@ class Matcher:
         found = self.windows(text, whole)
         return found.open_words() if found else set()
 
-    def scan_all(self, text: bytes, whole: bool) -> list[tuple[str, float, int]]:
+    def scan_all(self, text: bytes, whole: bool, more: dict[bytes, int] | None = None) -> list[tuple[str, float, int]]:
         """Each license found, its cosine, and the number of the line where it begins (0 for a whole file); the best first."""
-        found = self.windows(text, whole)
+        return self.judged(text, self.windows(text, whole, more))
+
+    def judged(self, text: bytes, found: "Windows | None") -> list[tuple[str, float, int]]:
+        """scan_all() of a text whose windows are there."""
         best: dict[str, tuple[str, float, int]] = {}
         for one in sorted([*self.tags(text), *(found.counted() if found else [])], key=lambda x: (-round(x[1], 9), x[0], x[2])):
             best.setdefault(one[0], one)
@@ -166,8 +183,17 @@ class Matcher:
         low = text.lower()
         if b"spdx-license-identifier" not in low:
             return []
-        ids = {name.lower().encode(): name for name in self.names}
-        return [(ids[x], 1.0, low.count(b"\n", 0, m.start())) for m in TAG.finditer(low) for x in (re.sub(rb"-only$|-or-later$|\+$", b"", y) for y in re.findall(rb"[a-z0-9.+-]+", m[1])) if x in ids]
+        ids, out = {name.lower().encode(): name for name in self.names}, []
+        for m in TAG.finditer(low):
+            line, before = low.count(b"\n", 0, m.start()), b""
+            for x in re.finditer(rb"[a-z0-9.+-]+", m[1]):
+                listed = ids.get(re.sub(rb"-only$|-or-later$|\+$", b"", x[0]))
+                if listed:
+                    out.append((listed, 1.0, line))
+                elif before != b"with" and x[0] not in (b"and", b"or", b"with", b"none", b"noassertion") and TAG_END.match(low, m.end()):
+                    out.append((text[m.start(1) + x.start() : m.start(1) + x.end()].decode(), 1.0, line))
+                before = x[0]
+        return out
 
 
 class Windows:
@@ -178,22 +204,24 @@ class Windows:
     frequency weigh between 1 and Matcher.most.
     """
 
-    def __init__(self, matcher: Matcher, low: bytes) -> None:
+    def __init__(self, matcher: Matcher, low: bytes, more: dict[bytes, int] | None = None) -> None:
+        more = more or {}
         self.m = matcher
         lines = [words(x) for x in low.split(b"\n")]
         self.words = [w for row in lines for w in row]
         self.n = n = len(self.words)
         self.ends = np.cumsum([len(row) for row in lines])
-        local = dict(matcher.index)
-        self.ids = ids = np.fromiter((local.setdefault(w, len(local)) for w in self.words), np.int64, n)
-        self.known = ids < len(matcher.idf)
-        self.idf = np.where(self.known, matcher.idf[np.minimum(ids, len(matcher.idf) - 1)], 0)
+        base, get = len(matcher.idf), matcher.index.get
+        local: dict[bytes, int] = {}  # words of this text that the matcher doesn't know
+        self.ids = ids = np.fromiter((get(w) if w in matcher.index else base + local.setdefault(w, len(local)) for w in self.words), np.int64, n)
+        self.known = np.append(np.ones(base, bool), [w in more for w in local]).astype(bool)[ids]
+        self.idf = np.append(matcher.idf, [matcher.weight(more[w]) if w in more else 0.0 for w in local])[ids]
         self.in_template = ids < len(matcher.vocabulary)
         order = np.argsort(ids, kind="stable")
         self.keys = ids[order] * (n + 1) + order
         self.place = np.empty(n, np.int64)
         self.place[order] = np.arange(n)
-        self.first = np.empty(len(local), np.int64)
+        self.first = np.empty(base + len(local), np.int64)
         self.dots: dict[int, np.ndarray] = {}
         self.found: list[tuple[np.ndarray, ...]] = []
 
@@ -298,6 +326,9 @@ def document_frequencies(files: DataFrame) -> DataFrame:
     return files.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+FOUND = "file_id long, path string, is_licence_file boolean, own_license string, score double, line int, licenses array<string>"
+
+
 def scan_files(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """files (file_id, path, text) -> file_id, path, is_licence_file, own_license, score, line, licenses: those of all windows that count, the best first (null if none)."""
     spark = files.sparkSession
@@ -307,26 +338,40 @@ def scan_files(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLAT
     vocabulary = sorted({b"", *(w for row in templates.values() for t in row for w in words(t.encode()))})
     known = {bytes(r["word"]): r["n"] for r in counted.join(F.broadcast(spark.createDataFrame([(w,) for w in vocabulary], "word binary")), "word").collect()}
     n_files = known.pop(b"", 0)
-    first = Matcher(templates, known, n_files, threshold)
+    matcher = Matcher(templates, known, n_files, threshold)
+    names = ["file_id", "path", "is_licence_file", "own_license", "score", "line", "licenses"]
 
-    def open_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            found = {w for t, whole in zip(as_bytes(batch.column(1)), batch.column(0).to_pylist(), strict=True) for w in first.open_words(t, whole)}
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], ["word"])
+    def columns(found: list[list[tuple[str, float, int]]]) -> list[pa.Array]:
+        own = [pa.array([f[0][k] if f else None for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.int32()))]
+        return [*own, pa.array([[x[0] for x in f] or None for f in found], pa.list_(pa.string()))]
 
-    needed = rows.select("is_licence_file", "text").mapInArrow(open_words, "word binary").distinct()
-    known |= {bytes(r["word"]): r["n"] for r in needed.join(counted, "word").collect()}
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found, needs = [], []
+            for text, whole in zip(as_bytes(batch.column(3)), batch.column(2).to_pylist(), strict=True):
+                windows = matcher.windows(text, whole)
+                some = windows.open_words() if windows else set()
+                found.append([] if some else matcher.judged(text, windows))
+                needs.append(sorted(some) or None)
+            is_open = pa.array([x is not None for x in needs])
+            text = pc.if_else(is_open, batch.column(3), pa.scalar(None, batch.column(3).type))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns(found), text, pa.array(needs, pa.list_(pa.binary()))], [*names, "text", "words"])
+
+    judged = keep(rows.mapInArrow(judge, f"{FOUND}, text string, words array<binary>"))  # read three times; texts of open files alone
+    # files of one text and kind need the same words
+    opened = judged.where("words is not null").withColumn("key", F.sha2(F.concat(F.encode("text", "UTF-8"), F.col("is_licence_file").cast("string").cast("binary")), 256))
+    pairs = opened.select("key", "words").dropDuplicates(["key"]).select("key", F.explode("words").alias("word"))
+    needed = materialise(pairs.join(counted, "word").groupBy(F.col("key").alias("of")).agg(F.collect_list(F.struct("word", "n")).alias("counts")), "counts", small=True)
     counted.unpersist()
-    matcher = Matcher(templates, known, n_files, threshold)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = [matcher.scan_all(t, w) for t, w in zip(as_bytes(batch.column(3)), batch.column(2).to_pylist(), strict=True)]
-            own = [pa.array([f[0][k] if f else None for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.int32()))]
-            every = pa.array([[x[0] for x in f] or None for f in found], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *own, every], ["file_id", "path", "is_licence_file", "own_license", "score", "line", "licenses"])
+            more = [{x["word"]: x["n"] for x in row or ()} for row in batch.column(4).to_pylist()]
+            found = [matcher.scan_all(t, w, m) for t, w, m in zip(as_bytes(batch.column(3)), batch.column(2).to_pylist(), more, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns(found)], names)
 
-    return rows.mapInArrow(scan, "file_id long, path string, is_licence_file boolean, own_license string, score double, line int, licenses array<string>")
+    again = opened.join(needed, F.col("key") == F.col("of"), "left").select("file_id", "path", "is_licence_file", "text", "counts").mapInArrow(scan, FOUND)
+    return judged.where("words is null").select(*names).unionAll(again)
 
 
 def directory(path) -> F.Column:

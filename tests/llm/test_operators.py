@@ -388,6 +388,30 @@ def test_licenses_are_inherited_from_the_nearest_directory(spark):
     assert out[2].inherited_from == "a/LICENSE.txt" and out[4].inherited_from is None
 
 
+def test_tags_of_other_licenses_stop_inheritance(spark):
+    files = [(1, "d/LICENSE", "Released under the MIT License."), (2, "d/a.c", "// SPDX-License-Identifier: BSL-1.0\nint x;"), (3, "d/b.c", "int y;"), (4, "e/LICENSE", "SPDX-License-Identifier: LGPL-2.1-only"), (5, "e/x.c", "")]
+    out = {r.file_id: (r.license, r.inherited_from) for r in licenses.license_scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert out == {1: ("MIT", None), 2: ("BSL-1.0", None), 3: ("MIT", "d/LICENSE"), 4: ("LGPL-2.1", None), 5: ("LGPL-2.1", "e/LICENSE")}
+
+
+def test_open_files_get_their_words_counts(spark):
+    """Copies of an open text share them; results equal a scan with the counts of all words."""
+    r = random.Random(2)
+    filler = ["was", "from", "zebra", "about", "over"]
+    files = [(i, "x", " ".join(r.choice(filler) for _ in range(r.randint(0, 5)))) for i in range(150)]
+    near = "Licensed {} under the {} Apache License, {} Version 2.0"
+    files += [(200 + i, "LICENSE" if i % 3 == 0 else "y", near.format(*(r.choice(["", *filler]) for _ in range(3)))) for i in range(60)] + [(300 + i, "z", near.format("zebra", "was", "over")) for i in range(50)]
+    out = {x.file_id: x for x in licenses.scan_files(spark.createDataFrame(files, "file_id long, path string, text string")).collect()}
+    df = collections.Counter(w for _, _, t in files for w in set(licenses.words(t.encode())))
+    matcher = licenses.Matcher(licenses.TEMPLATES, df, len(files), licenses.THRESHOLD)
+    assert len(out) == len(files)
+    for i, path, t in files:
+        want = matcher.scan_all(t.encode(), path == "LICENSE")
+        assert (out[i].own_license, out[i].licenses) == ((want[0][0], [x[0] for x in want]) if want else (None, None))
+        assert not want or out[i].score == pytest.approx(want[0][1], abs=1e-12)
+    assert 10 < sum(x.own_license is not None for x in out.values()) < 120
+
+
 def test_license_words_weigh_by_their_frequency_in_all_files(spark):
     files = [(0, "a", "Licensed was under the Apache from License, Version 2.0")] + [(i, "b", f"it was from {i}") for i in range(1, 400)]
     files += [(400, "c", "Licensed under the Apache License, Version 2.0 zebra quagga")]
@@ -462,7 +486,7 @@ def test_license_texts_notices_and_tags():
         for t in (text, again, " ".join(text.split())):
             assert matcher.scan(t.encode(), False)[0] == name
     notice = "This program is free software{} you can redistribute it and/or modify\n# it under the terms of the GNU {} as published by\n# the Free Software Foundation{} either version {} of the License, or\n# (at your option) any later version."
-    kinds = {"GPL-2.0": (";", "General Public License", ";", 2), "GPL-3.0": (":", "General Public License", ",", 3), "LGPL-3.0": (":", "Lesser General Public License", ",", 3), "AGPL-3.0": (":", "Affero General Public License", ",", 3)}
+    kinds = {"GPL-2.0": (";", "General Public License", ";", 2), "LGPL-2.1": (";", "Lesser General Public License", ";", "2.1"), "GPL-3.0": (":", "General Public License", ",", 3), "LGPL-3.0": (":", "Lesser General Public License", ",", 3), "AGPL-3.0": (":", "Affero General Public License", ",", 3)}
     for name, parts in kinds.items():
         assert matcher.scan(notice.format(*parts).encode(), False)[0] == name
     for name in licenses.TEMPLATES:
@@ -470,7 +494,11 @@ def test_license_texts_notices_and_tags():
     tags = {"GPL-2.0-only": "GPL-2.0", "LGPL-3.0-or-later": "LGPL-3.0", "GPL-3.0+": "GPL-3.0", "(MIT OR Zlib)": "MIT", "GPL-2.0 WITH Classpath-exception-2.0": "GPL-2.0"}
     for tag, name in tags.items():
         assert matcher.scan(f"/* SPDX-License-Identifier: {tag} */".encode(), False)[0] == name
-    assert matcher.scan(b"the SPDX-License-Identifier: Zlib", False) is None
+    assert matcher.scan(b"x\n/* the SPDX-License-Identifier: Zlib */\n", False) == ("Zlib", 1.0, 1)
+    assert [x[0] for x in matcher.scan_all(b"# SPDX-License-Identifier: BSL-1.0 AND (MIT OR LicenseRef-Own) \r\n", False)] == ["BSL-1.0", "LicenseRef-Own", "MIT"]
+    assert [x[0] for x in matcher.scan_all(b"<!-- SPDX-License-Identifier: EPL-2.0 WITH Some-exception -->", False)] == ["EPL-2.0"]
+    for none in (b"SPDX-License-Identifier: is how a tag begins", b"SPDX-License-Identifier: NONE", b"SPDX-License-Identifier:", b"spdx-license-identifier: NOASSERTION\n"):
+        assert matcher.scan(none, False) is None
     bsd = full["BSD-3-Clause"].replace("the copyright holder nor the names of its", "the University nor the names of its").replace("COPYRIGHT HOLDERS", "REGENTS")
     assert matcher.scan(bsd.encode(), True)[0] == "BSD-3-Clause"
     share = full["CC-BY-SA-4.0"]
