@@ -1,4 +1,4 @@
-"""A bit set of fixed size that passes all rows with given ids, and few others while the ids are few."""
+"""A bit set that passes all rows with given ids, and few others. It has about eight bits an id, from 2**LEAST_BITS to 2**MOST_BITS (8 MB packed); beyond 8 million ids more rows pass, never fewer."""
 
 from __future__ import annotations
 
@@ -10,14 +10,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS, CHUNK_BITS = 23, 18
+LEAST_BITS, MOST_BITS, CHUNK_BITS = 23, 26, 18
 
 
-def id_filter(ids: DataFrame, column: str) -> DataFrame:
-    """One row for each chunk of the set: chunk, bits (as binary of bytes 0 or 1 packed). At most 2**BITS bits whatever the input; when they fill up, more rows pass, never fewer. Tasks' sets are united by 256, then those by 256 again, so 16 million tasks leave 256 rows of a chunk."""
+def size_for(n: int) -> int:
+    """Bits of the number of a bit, for n ids."""
+    return min(MOST_BITS, max(LEAST_BITS, (8 * n - 1).bit_length()))
+
+
+def id_filter(ids: DataFrame, column: str, size: int) -> DataFrame:
+    """One row for each chunk of the set of 2**size bits: chunk, bits (as binary of bytes 0 or 1 packed). Tasks' sets are united by 256, then those by 256 again, so 16 million tasks leave 256 rows of a chunk."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << BITS, bool)
+        held = np.zeros(1 << size, bool)
         for batch in batches:
             held[batch.column(0).to_numpy()] = True
         parts = held.reshape(-1, 1 << CHUNK_BITS)
@@ -28,33 +33,34 @@ def id_filter(ids: DataFrame, column: str) -> DataFrame:
         total = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in pdf["bits"]])
         return pdf.iloc[:1].assign(salt=pdf["salt"].iloc[0] // 256, bits=[zlib.compress(total.tobytes(), 1)]).astype({"salt": "int32"})
 
-    parts = ids.select(place(F.col(column))).mapInArrow(collect, "chunk int, bits binary").select("chunk", (F.spark_partition_id() / 256).cast("int").alias("salt"), "bits")
+    parts = ids.select(place(F.col(column), size)).mapInArrow(collect, "chunk int, bits binary").select("chunk", (F.spark_partition_id() / 256).cast("int").alias("salt"), "bits")
     for _ in range(2):
         parts = parts.groupBy("chunk", "salt").applyInPandas(unite, "chunk int, salt int, bits binary")
     return parts
 
 
-def place(c: Column) -> Column:
+def place(c: Column, size: int) -> Column:
     """Of a long: its bits folded by exclusive or, which numpy can repeat."""
     folded = c.cast("long")
     for shift in (46, 23):
         folded = folded.bitwiseXOR(F.shiftrightunsigned(folded, shift))
-    return folded.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+    return folded.bitwiseAND(F.lit((1 << size) - 1)).cast("int")
 
 
-def places(x: np.ndarray) -> np.ndarray:
+def places(x: np.ndarray, size: int) -> np.ndarray:
     folded = x.astype(np.int64).view(np.uint64)
     for shift in (46, 23):
         folded = folded ^ (folded >> np.uint64(shift))
-    return (folded & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    return (folded & np.uint64((1 << size) - 1)).astype(np.int64)
 
 
-def bit_set(ids: DataFrame, column: str) -> bytes:
-    """The whole set, of fixed size, on the driver."""
-    bits = np.zeros((1 << (BITS - CHUNK_BITS), 1 << (CHUNK_BITS - 3)), np.uint8)
-    for row in id_filter(ids, column).select("chunk", "bits").collect():
+def bit_set(ids: DataFrame, column: str) -> tuple[int, bytes]:
+    """The size and the whole set, on the driver. ids is read twice."""
+    size = size_for(ids.count())
+    bits = np.zeros((1 << (size - CHUNK_BITS), 1 << (CHUNK_BITS - 3)), np.uint8)
+    for row in id_filter(ids, column, size).select("chunk", "bits").collect():
         bits[row.chunk] |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
-    return bits.tobytes()
+    return size, bits.tobytes()
 
 
 def holds(bits: bytes, places: np.ndarray) -> np.ndarray:
@@ -63,7 +69,8 @@ def holds(bits: bytes, places: np.ndarray) -> np.ndarray:
 
 def passing(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """rows that may have an id of `ids` (in its column rep); keeps work from rows that can't before they are shuffled."""
-    shared = rows.sparkSession.sparkContext.broadcast(bit_set(ids, "rep"))
+    size, bits = bit_set(ids, "rep")
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,4 +78,4 @@ def passing(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
             hit = holds(shared.value, batch.column(len(names)).to_numpy())
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], names).filter(pa.array(hit))
 
-    return rows.where(F.col(column).isNotNull()).withColumn("_place", place(F.col(column))).mapInArrow(run, rows.schema)
+    return rows.where(F.col(column).isNotNull()).withColumn("_place", place(F.col(column), size)).mapInArrow(run, rows.schema)

@@ -4,7 +4,7 @@ A document's set holds the hashes (64 bits) of its distinct word shingles. Two
 sets link when 100 * intersection >= threshold * union. A token is a shingle.
 
 1. Frequencies: every text adds its words and its shingles to two count sketches
-   of fixed size. Cells of shingles well above the mean mark *frequent* tokens;
+   of four cells a document. Cells of shingles well above the mean mark *frequent* tokens;
    others are ranked by the frequency that their words alone let expect. Marks
    and ranks depend on the token alone, so a wrong one costs time, never a link.
 2. Prefixes: the total order is rare tokens by rank and hash, then frequent
@@ -42,9 +42,11 @@ included). Null and wordless texts have no shingles and link with nothing. Rows
 with a null id link with nothing and have a null component. Rows that repeat an
 id are one node. Other columns, of any name, are ignored.
 
-The two sketches and the bit sets have a fixed size, whatever the input: with
-terabytes, cells of rare tokens all hold much the same noise, and only tokens
-well above it are told apart, which are the ones that make crowded signatures.
+The sketches and the bit sets grow with the input, so that cells hold as much
+noise at any size, up to 2**24 cells (four million documents) and 2**26 bits. They are
+sent to tasks, so they have to end somewhere: beyond, cells of rare tokens hold more
+noise, only tokens well above it are told apart, which are the ones that make
+crowded signatures, and filters pass more. That costs time, never a link.
 """
 
 from __future__ import annotations
@@ -65,7 +67,8 @@ from .id_filter import bit_set, holds, passing, places
 from .storage import keep, materialise, release, release_memory
 from .text import SMALL, U, WordHashes, as_bytes, list_array, mix, slices, window_hashes, window_sums, word_hashes
 
-SKETCH_BITS = 20
+#: Sketches have four cells a document, from 2**LEAST_SKETCH to 2**MOST_SKETCH.
+LEAST_SKETCH, MOST_SKETCH = 20, 24
 CHUNK_BITS = 16
 #: A token is 64 bits: a frequent mark, RANK_BITS of rank, then a hash.
 RANK_BITS = 7
@@ -95,8 +98,13 @@ class Frequencies:
     total: int
 
 
-def _cell(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> U(64 - SKETCH_BITS)).astype(np.int64)
+def sketch_size(n_docs: int) -> int:
+    """Bits of the number of a cell."""
+    return min(MOST_SKETCH, max(LEAST_SKETCH, (4 * n_docs - 1).bit_length()))
+
+
+def _cell(hashes: np.ndarray, size: int) -> np.ndarray:
+    return (hashes >> U(64 - size)).astype(np.int64)
 
 
 def shingle_sets(batches: Iterator[pa.RecordBatch], words: int, known: Frequencies | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
@@ -104,26 +112,28 @@ def shingle_sets(batches: Iterator[pa.RecordBatch], words: int, known: Frequenci
     table = WordHashes()
     if known:
         marks, logs = np.unpackbits(np.frombuffer(known.marks, np.uint8)), np.frombuffer(known.logs, np.uint8)
+        size = len(logs).bit_length() - 1
     for batch in slices(batches, "text", SMALL):
         flat, counts = word_hashes([t.lower() for t in as_bytes(batch.column(batch.schema.get_field_index("text")))], table)
         hashes, n = window_hashes(flat, counts, words, short=True)
         if known:
             # log2 of the count expected of independent words, from 2**-48 to 2**36
-            expected = window_sums(logs[_cell(flat)].astype(np.int32), counts, words) / 8 - (words - 1) * np.log2(known.total + 1)
+            expected = window_sums(logs[_cell(flat, size)].astype(np.int32), counts, words) / 8 - (words - 1) * np.log2(known.total + 1)
             rank = np.clip((expected + 48) * 1.5, 0, (1 << RANK_BITS) - 1).astype(U)
-            hashes = marks[_cell(hashes)].astype(U) << U(63) | rank << U(63 - RANK_BITS) | hashes >> U(1 + RANK_BITS)
+            hashes = marks[_cell(hashes, size)].astype(U) << U(63) | rank << U(63 - RANK_BITS) | hashes >> U(1 + RANK_BITS)
         yield batch, flat, hashes, n
 
 
 def _sketch(docs: DataFrame, words: int) -> Frequencies:
-    """Counts of all words and shingles, each in 2**SKETCH_BITS cells. Partial sketches are added up in a tree of groups of 256."""
-    n_chunks, per = 2 << (SKETCH_BITS - CHUNK_BITS), 1 << CHUNK_BITS
+    """Counts of all words and shingles, each in cells of their own. Partial sketches are added up in a tree of groups of 256."""
+    size = sketch_size(docs.count())
+    n_chunks, per = 2 << (size - CHUNK_BITS), 1 << CHUNK_BITS
 
     def count(batches):
-        total = np.zeros((2, 1 << SKETCH_BITS), np.int64)
+        total = np.zeros((2, 1 << size), np.int64)
         for _, flat, hashes, _ in shingle_sets(batches, words):
             for row, h in zip(total, (flat, hashes), strict=True):
-                row += np.bincount(_cell(h), minlength=len(row))
+                row += np.bincount(_cell(h, size), minlength=len(row))
         parts = total.reshape(n_chunks, per)
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(n_chunks), pa.int32()), "counts": pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())})
 
@@ -179,7 +189,7 @@ def prefix_signatures(tokens: np.ndarray, frequent: np.ndarray, threshold: int)
 
 
 def _signed(docs: DataFrame, words: int, threshold: int, known: Frequencies) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(known)  # of the sketches' fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # 18 MB at most
 
     def sign(batches):
         for batch, _, tokens, n in shingle_sets(batches, words, shared.value):
@@ -194,15 +204,15 @@ def _signed(docs: DataFrame, words: int, threshold: int, known: Frequencies) ->
     return docs.mapInArrow(sign, "doc_id long, n_shingles long, print binary, sigs array<long>")
 
 
-def _likely(reps: DataFrame, bits: bytes) -> DataFrame:
+def _likely(reps: DataFrame, size: int, bits: bytes) -> DataFrame:
     """reps (rep, n, sigs) with the signatures that may be in the set."""
-    shared = reps.sparkSession.sparkContext.broadcast(bits)  # of the set's fixed size
+    shared = reps.sparkSession.sparkContext.broadcast(bits)  # of 8 MB at most
 
     def run(batches):
         for batch in batches:
             lists = batch.column(2)
             flat, lengths = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-            hit = holds(shared.value, places(flat))
+            hit = holds(shared.value, places(flat, size))
             n = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[hit], minlength=len(lengths))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_array(flat[hit], n, pa.int64())], ["rep", "n", "sigs"])
 
@@ -325,7 +335,7 @@ def _candidates(docs: DataFrame, words: int, threshold: int) -> tuple[DataFrame,
     reps = with_set.where("doc_id is not null").join(classes.withColumnRenamed("print", "p"), (F.col("print") == F.col("p")) & (F.col("doc_id") == F.col("rep")))
     reps = keep(reps.select("rep", F.col("n_shingles").alias("n"), "sigs"))
     sizes = keep(reps.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("sets")).where("sets > 1"))
-    held = _likely(reps, bit_set(sizes, "sig")).select("rep", "n", F.explode("sigs").alias("sig"))
+    held = _likely(reps, *bit_set(sizes, "sig")).select("rep", "n", F.explode("sigs").alias("sig"))
     live = keep(held.join(sizes, "sig"))
 
     few = live.where(F.col("sets") <= CROWDED).select("sig", "rep", "n")
@@ -358,6 +368,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, threshold: int = 80, id_
     release(docs.sparkSession)
 
     chosen = pairs.select(F.explode(F.array("u", "v")).alias("rep")).unionAll(holders.select("rep")).distinct()
+    chosen = keep(chosen)  # read three times
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     arrays = keep(_arrays(passing(docs.withColumnRenamed("doc_id", "rep"), "rep", chosen).join(chosen, "rep"), words).repartition(parts, "rep"))  # dealt once for all joins on rep
     left, right = arrays.select(F.col("rep").alias("u"), F.col("tokens").alias("tu")), arrays.select(F.col("rep").alias("v"), F.col("tokens").alias("tv"))
@@ -375,7 +386,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, threshold: int = 80, id_
         more = materialise(needed.join(arrays, "rep").groupBy("key", "i", "j").applyInPandas(_left_links(threshold), "u long, v long"), "more")
         if not more.isEmpty():
             found = connected_components(found.toDF("u", "v").unionAll(more))
-    release(docs.sparkSession, arrays)
+    release(docs.sparkSession, arrays, chosen)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")
     linked = members.where("rep is not null").join(found, F.col("rep") == F.col("id"), "left").select("doc_id", "n_shingles", component)
     return linked.unionAll(members.where("rep is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

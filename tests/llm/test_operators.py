@@ -506,6 +506,27 @@ def test_license_texts_notices_and_tags():
         assert matcher.scan(share.replace("Attribution-ShareAlike", kind).encode(), True)[0] == name
 
 
+def test_sketches_and_bit_sets_grow_with_the_input(spark, monkeypatch):
+    from tessera.llm import id_filter
+
+    assert [ngram_join.sketch_size(n) for n in (0, 1, 1 << 18, (1 << 18) + 1, 1 << 40)] == [20, 20, 20, 21, 24]
+    assert [id_filter.size_for(n) for n in (0, 1, 1 << 20, (1 << 20) + 1, 1 << 40)] == [23, 23, 23, 24, 26]
+    r = random.Random(8)
+    ids = [r.randint(-(2**63), 2**63 - 1) for _ in range(500)]
+    for size in (18, 23, 26):
+        monkeypatch.setattr(id_filter, "size_for", lambda n, size=size: size)
+        rows = spark.createDataFrame([(i, 1) for i in [*ids, *range(500)]], "rep long, place int")
+        got = {x.rep for x in id_filter.passing(rows, "rep", spark.createDataFrame([(i,) for i in ids], "rep long")).collect()}
+        assert set(ids) <= got and len(got) < 600
+    texts = [" ".join(r.choice("abcdefghij") * r.randint(1, 2) for _ in range(40)) for _ in range(60)]
+    texts += [t + " end" for t in texts[:30]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute.classes(texts, 3, 80)[1]
+    monkeypatch.setattr(ngram_join, "sketch_size", lambda n: 22)
+    out = {x.doc_id: x.component_id for x in ngram_join.ngram_jaccard_join(docs, 3, 80).collect()}
+    assert [out[i] for i in range(len(texts))] == want
+
+
 def test_empty_tables(spark):
     docs = frame(spark, []).limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
