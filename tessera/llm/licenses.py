@@ -45,7 +45,6 @@ from importlib import resources
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -353,8 +352,7 @@ def scan_files(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLAT
                 some = windows.open_words() if windows else set()
                 found.append([] if some else matcher.judged(text, windows))
                 needs.append(sorted(some) or None)
-            is_open = pa.array([x is not None for x in needs])
-            text = pc.if_else(is_open, batch.column(3), pa.scalar(None, batch.column(3).type))
+            text = batch.column(3).take(pa.array([i if x else None for i, x in enumerate(needs)], pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns(found), text, pa.array(needs, pa.list_(pa.binary()))], [*names, "text", "words"])
 
     judged = keep(rows.mapInArrow(judge, f"{FOUND}, text string, words array<binary>"))  # read three times; texts of open files alone
