@@ -59,12 +59,19 @@ def plan(n: int) -> tuple[float, int]:
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints, units = [], []
-        for x in batch.column(1).to_pylist():
-            v = np.array([np.nan if c is None else c for c in x or ()], np.float64)
-            norm = np.linalg.norm(v / m) * m if len(v) and np.isfinite(v).all() and (m := np.abs(v).max()) > 0 else 0.0
-            units.append((v / norm).astype("<f8").tobytes() if np.isfinite(norm) and norm > 0 else None)
-            prints.append(xxhash.xxh3_128_digest(units[-1]) if units[-1] else None)
+        sizes = batch.column(1).value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        flat = batch.column(1).flatten().fill_null(np.nan).to_numpy()
+        units: list[bytes | None] = [None] * len(sizes)
+        of = np.repeat(sizes, sizes)
+        for d in np.unique(sizes[sizes > 0]).tolist():
+            rows, x = np.flatnonzero(sizes == d), flat[of == d].reshape(-1, d)
+            most = np.abs(x).max(axis=1)  # nan where one is
+            good = np.isfinite(most) & (most > 0)
+            x = x[good] / most[good, None]  # so that squares neither overflow nor vanish
+            x = (x / np.linalg.norm(x, axis=1)[:, None]).astype("<f8")
+            for i, v in zip(rows[good].tolist(), x, strict=True):
+                units[i] = v.tobytes()
+        prints = [None if u is None else xxhash.xxh3_128_digest(u) for u in units]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(units, pa.binary())], ["vec_id", "print", "unit"])
 
 
@@ -164,7 +171,9 @@ def _blocks(df: DataFrame, size: str, by: str) -> DataFrame:
 
 
 def embedding_dedup(embeddings: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """embeddings -> vec_id, n_links, component_id, kept; see the module's text. PLANS hold for thresholds of 0.95 or more; below, recall falls."""
+    """embeddings -> vec_id, n_links, component_id, kept; see the module's text. PLANS hold for thresholds of 0.95 or more; others are an error, as recall would fall."""
+    if not 0.95 <= threshold <= 1:
+        raise ValueError("the threshold must be 0.95 to 1")
     source = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     vectors = keep(source.mapInArrow(_unit, "vec_id long, print binary, unit binary"))
     valid, others = vectors.where("print is not null and vec_id is not null"), vectors.where("print is null or vec_id is null")

@@ -159,17 +159,26 @@ def test_embedding_groups_larger_than_a_chunk(spark, monkeypatch, crowded):
 def test_embedding_plans_keep_their_recall():
     r = np.random.default_rng(1)
     assert [embedding_dedup.plan(n)[0] for n in (0, 10**5, 10**7, 10**9, 10**11)] == sorted((embedding_dedup.plan(n)[0] for n in (0, 10**5, 10**7, 10**9, 10**11)), reverse=True)
-    x, e = (r.normal(size=(1500, 32)) for _ in range(2))
+    with pytest.raises(ValueError, match="0.95"):
+        embedding_dedup.embedding_dedup(None, threshold=0.9)
+
+
+@pytest.mark.parametrize(("d", "n"), [(32, 1500), (64, 1000), (384, 400)])
+def test_embedding_plans_find_pairs_at_the_threshold(d, n):
+    r = np.random.default_rng(d)
+    x, e = (r.normal(size=(n, d)) for _ in range(2))
     x /= np.linalg.norm(x, axis=1)[:, None]
     e -= (e * x).sum(axis=1)[:, None] * x
     y = 0.95 * x + (1 - 0.95**2) ** 0.5 * e / np.linalg.norm(e, axis=1)[:, None]
-    for width, tables, _ in embedding_dedup.PLANS[:3]:
-        met = np.zeros(len(x), bool)
-        for _ in range(tables):
-            p = r.normal(size=(32, 16)) / width
-            a, b = (np.rint(2 * lattice.cells(v @ p, embedding_dedup.PROBES)) for v in (x, y))
-            met |= (a[:, :1] == b).all(axis=2).any(axis=1) | (b[:, :1] == a).all(axis=2).any(axis=1)
-        assert met.mean() > 0.995
+    for width, tables, _ in embedding_dedup.PLANS:
+        left = np.arange(n)
+        for _ in range(tables):  # only those not met yet are looked at
+            p = r.normal(size=(d, 16)) / width
+            a, b = (np.rint(2 * lattice.cells(v[left] @ p, embedding_dedup.PROBES)) for v in (x, y))
+            left = left[~((a[:, :1] == b).all(axis=2).any(axis=1) | (b[:, :1] == a).all(axis=2).any(axis=1))]
+            if not len(left):
+                break
+        assert len(left) < 0.01 * n
 
 
 def test_lattice_points_are_nearest():
