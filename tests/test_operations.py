@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  it has all queries registered
-from tessera.operators import neighbours, overlaps, running, sessions
+from tessera.operators import neighbours, overlaps, running, sessions, sketches
 from tessera.plans.registry import ORACLES, QUERIES
 from tessera.sources import load, save
 
@@ -227,3 +227,29 @@ def test_sketches_are_not_kept_for_every_customer(spark):
     plan = plan_of(QUERIES["approximate_orders"](spark, "/root/testdata/sf0.001"))
     for line in plan.split("\n"):
         assert not ("approx_count_distinct" in line and "keys=[o_orderpriority" in line and "o_custkey" in line.split("functions=")[0])
+
+
+# sketches
+
+
+def test_stored_sketches_keep_their_bounds(spark, tmp_path):
+    """Merged from hours, and from merged halves: the stated errors hold."""
+    n, distinct = 300_000, 60_000
+    at = F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * 200_000)  # 17 hours of one day
+    rows = spark.range(n).select(at.alias("ts"), F.pmod(F.xxhash64("id"), F.lit(distinct)).alias("user"), ((F.col("id") * 7919) % n).cast("double").alias("value"))
+    save(sketches.hourly(rows, "ts", [], "user", "value"), str(tmp_path / "hours"))
+    hours = spark.read.parquet(str(tmp_path / "hours"))
+    ranks = (0.01, 0.25, 0.5, 0.9, 0.999)
+    day = sketches.merged(hours, [F.to_date("hour").alias("day")], ranks).first()
+    exact = rows.agg(F.count_distinct("user")).first()[0]
+    assert hours.count() == 17 and day.n_rows == n
+    assert abs(day.n_distinct / exact - 1) < 4 * 1.04 / 2 ** (sketches.LG_K / 2)
+    assert all(abs(q / n - r) < 4 * 1.7 / sketches.KLL_K**0.9 for q, r in zip(day.quantiles, ranks, strict=True))
+    assert "count(distinct" not in plan_of(sketches.merged(hours, [F.to_date("hour").alias("day")]))
+
+
+def test_sketches_of_nulls_and_of_nothing(spark):
+    rows = spark.createDataFrame([(minutes(0), "a", None, None), (minutes(1), "a", None, None), (None, "a", 1, 1.0), (minutes(70), None, 5, 2.0), (minutes(71), None, 5, None)], "ts timestamp_ntz, k string, user long, value double")
+    out = {x.k: x for x in sketches.merged(sketches.hourly(rows, "ts", ["k"], "user", "value"), [F.col("k")], (0.5,)).collect()}
+    assert {k: (x.n_rows, x.n_distinct, x.quantiles) for k, x in out.items()} == {"a": (2, 0, [None]), None: (2, 1, [2.0])}
+    assert sketches.merged(sketches.hourly(rows.limit(0), "ts", ["k"], "user", "value"), [F.col("k")]).collect() == []
