@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.scratch import folder
-from tessera.sources import load, save, table
+from tessera.sources import archives, load, save, table
 
 from .registry import query
 
@@ -40,3 +40,14 @@ def orders_by_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "folders")
     save(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus"), path, by=("o_orderstatus",))
     return spark.read.parquet(path).where("o_orderstatus in ('F', 'P')").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n_orders"))
+
+
+@query("SELECT doc_id, source, octet_length(encode(text)) AS size, sha256(text) AS digest FROM documents WHERE text IS NOT NULL")
+def documents_as_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as members of tar archives, named source/doc_id, written and read back."""
+    archives.register(spark)
+    path = folder(spark, "archives")
+    texts = table(spark, sf_dir, "documents").where("text is not null").select(F.concat_ws("/", "source", "doc_id").alias("name"), F.col("text").alias("data"))
+    texts.write.format("archives").mode("append").save(path)
+    back = spark.read.format("archives").schema("name string, data binary, size long").load(path)
+    return back.select(F.regexp_extract("name", r"\d+$", 0).cast("long").alias("doc_id"), F.nullif(F.regexp_replace("name", r"/?\d+$", ""), F.lit("")).alias("source"), "size", F.sha2("data", 256).alias("digest"))
