@@ -55,6 +55,8 @@ def page_rank(links: DataFrame, source: str, target: str, weight: str | None = N
     path = scratch.folder(spark, "ranks")
     n = _stored(start.select("id", "gives", "parts", F.lit(1.0).alias("y"), F.lit(0.0).alias("change")), f"{path}/0").count()
     if not n:
+        dealt.unpersist()
+        edges.unpersist()
         return start.select("id", F.lit(None).cast("double").alias("rank"))
     ranks, error, done = spark.read.parquet(f"{path}/0"), math.inf, 0
     while error > tolerance:
