@@ -253,3 +253,18 @@ def test_sketches_of_nulls_and_of_nothing(spark):
     out = {x.k: x for x in sketches.merged(sketches.hourly(rows, "ts", ["k"], "user", "value"), [F.col("k")], (0.5,)).collect()}
     assert {k: (x.n_rows, x.n_distinct, x.quantiles) for k, x in out.items()} == {"a": (2, 0, [None]), None: (2, 1, [2.0])}
     assert sketches.merged(sketches.hourly(rows.limit(0), "ts", ["k"], "user", "value"), [F.col("k")]).collect() == []
+
+
+def test_days_from_sketches_are_exact_beyond_the_sketches(spark, tmp_path):
+    """More users and numbers a day than the sketches keep, equal numbers, nulls, odd numbers, and rows without a time."""
+    n = 60_000
+    at = F.when(F.col("id") % 1000 != 7, F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * 3_000_000)).cast("timestamp_ntz")  # two days
+    number = F.expr("case when id % 10 = 3 then null when id % 10 < 3 then 0.25 when id % 999 = 0 then double('NaN') when id % 998 = 0 then double('Infinity') else pmod(xxhash64(id), 1000003) / 1000003 end")
+    rows = spark.range(n).select(F.col("id").alias("event_id"), at.alias("ts"), F.expr("if(id % 11 = 0, null, pmod(xxhash64(id, 1), 20000))").alias("user_id"), number.alias("value"))
+    few = spark.createDataFrame([(n, minutes(10**4), None, None), (n + 1, minutes(2 * 10**4), 1, 1.5)], "event_id long, ts timestamp_ntz, user_id long, value double")
+    rows.unionAll(few).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    df = QUERIES["days_from_stored_sketches"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLES['days_from_stored_sketches']})").fetchall()
+    assert len(want) == 6 and sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
