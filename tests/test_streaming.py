@@ -73,3 +73,31 @@ def test_click_outcomes_by_timers(spark, tmp_path):
     assert run(second, 3) == [(1, 5), (2, 3), (6, None), (7, 9), (11, None), (13, None)]
     assert spark.conf.get(outcomes.PROVIDER) == before
     assert state[-1] < max(state)
+
+
+def test_click_outcomes_of_many_users_are_few_rows_of_state(spark, tmp_path):
+    """SQL's rows with users that are null and times that differ by microseconds; state grows with time, not with users."""
+    import random
+
+    import duckdb
+
+    from tessera.plans.registry import ORACLES, QUERIES
+    from tessera.streaming import outcomes
+
+    r = random.Random(3)
+    at = lambda: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=r.choice([r.randint(0, 150), 150 * r.random()]), microseconds=r.randint(0, 3))
+    rows = [(i, at(), r.choice([None, 7, 7, r.randint(0, 3000), r.randint(0, 3000)]), r.choice(["click", "purchase", "view"])) for i in range(6000)]
+    rows += [(6000, datetime.datetime(2024, 1, 1, 4), 7, "view"), (6001, datetime.datetime(2024, 1, 1, 2, 20), 7, "click"), (6002, None, 7, "click")]
+    rows += [(6003, datetime.datetime(2024, 1, 1, 0, 20, 0, 700), -9, "click"), (6004, datetime.datetime(2024, 1, 1, 0, 20, 0, 600), -9, "purchase"), (6005, datetime.datetime(2024, 1, 1, 0, 50, 0, 701), -9, "purchase")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(ORACLES["stream_click_outcomes"]).fetchall()
+    got = [tuple(x) for x in QUERIES["stream_click_outcomes"](spark, str(tmp_path)).select("user_id", "click_id", "purchase_id").collect()]
+    assert len(want) > 1000 and sorted(got, key=repr) == sorted(want, key=repr) and (-9, 6003, None) in got
+
+    with outcomes.state_store(spark):
+        q = outcomes.outcomes(streams.events(spark, str(tmp_path))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    most = max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"])
+    assert 0 < most < 6 * 4 * outcomes.SHARDS  # hours of clicks and purchases, and a few timers in two tables, whatever the number of users
