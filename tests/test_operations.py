@@ -61,6 +61,19 @@ def test_neighbours_of_few_and_of_repeated_rows(spark):
     assert got == [(1, 1, 2, 0.0), (2, 1, 1, 0.0), (2, 2, 1, 0.0)]
 
 
+def test_neighbours_send_no_vector_to_every_block(spark, monkeypatch):
+    """Several slices of the base, near ties beyond single precision; vectors aren't copied for each block of the other side."""
+    monkeypatch.setattr(neighbours, "SLICE", 3000)
+    r = np.random.default_rng(1)
+    rows = [(i, r.normal(size=8).astype(np.float32).tolist()) for i in range(200)]
+    rows += [(500 + i, [1.0, 1e-4 * i, *[0.0] * 6]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [tuple(x) for x in df.collect()]
+    out = neighbours.top_neighbours(df, df, 6, chunk=16)
+    assert sorted((x.id, x["rank"], x.neighbour, round(x.cosine, 9)) for x in out.collect()) == [(i, k, j, round(c, 9)) for i, k, j, c in plain_neighbours(rows, rows, 6)]
+    assert "explode" not in plan_of(out)
+
+
 # running totals
 
 
