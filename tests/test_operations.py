@@ -196,6 +196,16 @@ def test_an_interval_is_few_rows_whatever_its_length(spark):
     assert max(r["count"] for r in cells) <= 2 * len(levels)
 
 
+def test_instants_are_sent_once_for_each_length_of_cells(spark):
+    """Many instants and lengths on the left, minutes on the right: hardly more rows are sent than there are."""
+    left = [(i, None, minutes(i % 700), minutes(i % 700 + (0 if i % 20 else 1.7 ** (i % 14)))) for i in range(1500)]
+    right = [(i, None, minutes(7 * i), minutes(7 * i + 1 + i % 40)) for i in range(100)]
+    make = lambda rows: spark.createDataFrame(rows, "id long, key long, f timestamp_ntz, t timestamp_ntz")
+    a, b = overlaps._dealt(make(left), make(right), ("f", "t"), ("f", "t"), (), ())
+    assert a.count() < 1.5 * 1500 and b.count() < 9 * 100
+    assert len(check_overlaps(spark, left, right, False)) > 1000
+
+
 # formats and queries on odd rows
 
 
