@@ -152,9 +152,9 @@ def top_neighbours(queries: DataFrame, base: DataFrame, k: int, id_col: str = "v
     n_left = max(1, math.ceil(left.count() / chunk))
     n_right = max(1, math.ceil((right.agg(F.sum(F.col("d") * (4 if dict(right.dtypes)["v"] == "array<float>" else 8))).first()[0] or 0) / SLICE))
     # Read by many tasks, as Python's own bytes; a lost part is made again, and Spark frees all when nothing refers to it.
-    packed = lambda rows: rows.mapInPandas(_pack(chunk), BLOCK).rdd.map(_plain).persist(StorageLevel.DISK_ONLY)
-    parts = packed(left.repartition(n_left, "id").dropDuplicates(["id", "print"]))
-    slices = packed(right.repartition(n_right, "id"))
+    packed = lambda rows, n: rows.mapInPandas(_pack(chunk), BLOCK).rdd.map(_plain).coalesce(n).persist(StorageLevel.DISK_ONLY)
+    parts = packed(left.repartition(n_left, "id").dropDuplicates(["id", "print"]), n_left)
+    slices = packed(right.repartition(n_right, "id"), n_right)
     met = parts.cartesian(slices).mapPartitions(_compare(k))
     met = queries.sparkSession.createDataFrame(met, "ids binary, prints binary, others binary, cosines binary").mapInPandas(_unpacked, "id long, print long, neighbour long, cosine double")
     first = Window.partitionBy("id", "print").orderBy(F.desc("cosine"), F.asc("neighbour"))
