@@ -40,14 +40,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) -> (id, component): the least id of each node's component, for nodes with an edge other than the least ones.
 
     A hub's edges are never gathered: each round takes a minimum per node and
-    joins it back. Each round is a written table, deleted when the next one is
-    there. Self links and nulls are dropped.
+    joins it back. Each half of a round is a written table, deleted when the next one
+    is there. Self links and nulls are dropped.
     """
     e = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = None
     while True:
-        before, e = e, materialise(_small_star(_large_star(e)), "stars")
-        drop(before)
+        large = materialise(_large_star(e), "stars")  # read three times; else its plan would be written out for each
+        drop(e)
+        e = materialise(_small_star(large), "stars")
+        drop(large)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -64,7 +64,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components, dealt, forest, leaders, unlinked
 from .id_filter import bit_set, holds, passing, places
-from .storage import keep, materialise, release, release_memory
+from .storage import drop, keep, materialise, release, release_memory
 from .text import SMALL, U, WordHashes, as_bytes, list_array, mix, slices, window_hashes, window_sums, word_hashes
 
 #: Sketches have four cells a document, from 2**LEAST_SKETCH to 2**MOST_SKETCH.
@@ -333,10 +333,13 @@ def _candidates(docs: DataFrame, words: int, threshold: int) -> tuple[DataFrame,
     members = with_set.select("doc_id", "n_shingles", "print").join(classes, "print").select("doc_id", "n_shingles", "rep")
     members = materialise(members.unionAll(without.select("doc_id", "n_shingles", F.lit(None).cast("long"))), "members", small=True)
     reps = with_set.where("doc_id is not null").join(classes.withColumnRenamed("print", "p"), (F.col("print") == F.col("p")) & (F.col("doc_id") == F.col("rep")))
-    reps = keep(reps.select("rep", F.col("n_shingles").alias("n"), "sigs"))
-    sizes = keep(reps.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("sets")).where("sets > 1"))
+    reps = materialise(reps.select("rep", F.col("n_shingles").alias("n"), "sigs"), "reps")
+    signed.unpersist()
+    sizes = materialise(reps.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("sets")).where("sets > 1"), "sizes")
     held = _likely(reps, *bit_set(sizes, "sig")).select("rep", "n", F.explode("sigs").alias("sig"))
-    live = keep(held.join(sizes, "sig"))
+    live = materialise(held.join(sizes, "sig"), "live")
+    for t in (sizes, reps):
+        drop(t)
 
     few = live.where(F.col("sets") <= CROWDED).select("sig", "rep", "n")
     a, b = few.select("sig", F.col("rep").alias("u"), F.col("n").alias("nu")), few.select("sig", F.col("rep").alias("v"), F.col("n").alias("nv"))
@@ -354,8 +357,7 @@ def _candidates(docs: DataFrame, words: int, threshold: int) -> tuple[DataFrame,
     first = leaders(many.where(F.col("sets") > CROWDED).select("key", "rep", "n"), LEADERS).select(F.col("key").alias("home"), F.col("to.rep").alias("rep"), F.col("to.n").alias("n")).distinct()
     first = first.join(sizes_of_homes, "home").select("home", "rep", "n", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).select(met_at(F.col("chunk")), "rep", "n")
     homes = materialise(holders.select("met", "rep", "n").unionAll(first).distinct(), "homes")
-    for t in (live, sizes, reps, signed):
-        t.unpersist()
+    drop(live)
     return members, pairs, holders, homes
 
 
@@ -368,7 +370,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, threshold: int = 80, id_
     release(docs.sparkSession)
 
     chosen = pairs.select(F.explode(F.array("u", "v")).alias("rep")).unionAll(holders.select("rep")).distinct()
-    chosen = keep(chosen)  # read three times
+    chosen = materialise(chosen, "chosen", small=True)  # read three times
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     arrays = keep(_arrays(passing(docs.withColumnRenamed("doc_id", "rep"), "rep", chosen).join(chosen, "rep"), words).repartition(parts, "rep"))  # dealt once for all joins on rep
     left, right = arrays.select(F.col("rep").alias("u"), F.col("tokens").alias("tu")), arrays.select(F.col("rep").alias("v"), F.col("tokens").alias("tv"))
@@ -386,7 +388,8 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, threshold: int = 80, id_
         more = materialise(needed.join(arrays, "rep").groupBy("key", "i", "j").applyInPandas(_left_links(threshold), "u long, v long"), "more")
         if not more.isEmpty():
             found = connected_components(found.toDF("u", "v").unionAll(more))
-    release(docs.sparkSession, arrays, chosen)
+    release(docs.sparkSession, arrays)
+    drop(chosen)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")
     linked = members.where("rep is not null").join(found, F.col("rep") == F.col("id"), "left").select("doc_id", "n_shingles", component)
     return linked.unionAll(members.where("rep is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

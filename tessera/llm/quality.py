@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linear import fit_logistic, minimise
-from .storage import keep, release_memory
+from .storage import drop, materialise, release_memory
 from .text import SMALL, U, WordHashes, as_bytes, keep_rows, mix, slices, window_hashes, word_hashes
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -222,18 +222,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
             ends = np.cumsum(per)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(per, pa.int64()), pa.array([x.features[e - k : e].astype("<f4").tobytes() for e, k in zip(ends.tolist(), per.tolist(), strict=True)], pa.binary())], ["doc_id", "quality", "lines", "features"])
 
-    rows = keep(chosen.mapInArrow(run, "doc_id long, quality int, lines long, features binary").where("lines > 0"))
+    rows = materialise(chosen.mapInArrow(run, "doc_id long, quality int, lines long, features binary").where("lines > 0"), "lines")
     last, lines = None, 0
     for r in rows.groupBy(F.xxhash64("doc_id").alias("h"), "doc_id").agg(F.max("lines").alias("lines")).orderBy("h", "doc_id").collect():  # at most FIT_DOCS rows
         if lines >= FIT_LINES:
             break
         last, lines = (r["h"], r["doc_id"]), lines + r["lines"]
     if last is None:
-        rows.unpersist()
+        drop(rows)
         return DEFAULT
     taken = rows.where((F.xxhash64("doc_id") < last[0]) | (F.xxhash64("doc_id") == last[0]) & (F.col("doc_id") <= last[1]))
-    cached, rows = rows, taken.select("doc_id", "quality", "features").toPandas().sort_values(["doc_id", "features"]).drop_duplicates("doc_id")
-    cached.unpersist()
+    written, rows = rows, taken.select("doc_id", "quality", "features").toPandas().sort_values(["doc_id", "features"]).drop_duplicates("doc_id")
+    drop(written)
     if rows["quality"].gt(0).nunique() < 2:
         return DEFAULT
     parts = [np.frombuffer(x, "<f4").reshape(-1, len(FEATURES)).astype(float) for x in rows["features"]]

@@ -3,7 +3,9 @@
 `keep` holds a table that several steps read, on executors' disks as Spark's own
 cache: a lost executor's part is computed again from its inputs, and
 `spark.catalog.clearCache()` frees it. `materialise` writes a table to the folder
-that all executors share and so cuts lineage, for loops and between stages.
+that all executors share and so cuts lineage, for loops, between stages and in
+chains of such tables: the plan of a query holds those of the kept tables that it
+reads, theirs too, and the driver stores it again at each of its changes.
 """
 
 from __future__ import annotations

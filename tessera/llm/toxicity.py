@@ -16,7 +16,7 @@ small for folds: the least). That few stay is part of the fit, not a saving: mos
 n-grams are in hardly more than one document of the sample and restate its label.
 
 The training sample is bounded: FIT_DOCS / 2 labelled documents of either kind
-at most, by hash of their id. It is kept once; the model has max(FEATURES)
+at most, by hash of their id. It is written once; the model has max(FEATURES)
 weights at most, so what goes to the driver and to executors is bounded too. With
 labels of one kind or none, or of no document here, every score is the share of
 toxic labels (0 without labels).
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linear import SparseRows, fit_logistic, sigmoid
-from .storage import keep, release_memory
+from .storage import drop, materialise, release_memory
 from .text import SMALL, as_bytes, keep_rows, slices
 
 HASH_BITS = 22
@@ -132,7 +132,7 @@ def _best(counted: DataFrame, n_clean: int, n_toxic: int, n: int) -> pd.DataFram
     gap = F.abs(F.col("toxic") / n_toxic - F.col("clean") / n_clean)
     counted = counted.groupBy("h").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     kept = counted.where(F.col("clean") + F.col("toxic") >= LEAST_DOCS).select("h", ratio.alias("ratio"), (F.abs(ratio) * gap).alias("evidence"))
-    kept = keep(kept.withColumn("step", F.when(F.col("evidence") > 0, F.floor(F.log2("evidence") * STEPS)).otherwise(LOWEST).cast("int")))
+    kept = materialise(kept.withColumn("step", F.when(F.col("evidence") > 0, F.floor(F.log2("evidence") * STEPS)).otherwise(LOWEST).cast("int")), "evidence")
     # a histogram of the evidence tells the step in which the last one is; so the driver gets what stays, not the best of every partition
     left, last = n, LOWEST - 1
     for r in sorted(kept.groupBy("step").count().collect(), reverse=True):  # at most 64 * STEPS rows or so: evidence is 2**-50 to 2**4, or 0
@@ -142,7 +142,7 @@ def _best(counted: DataFrame, n_clean: int, n_toxic: int, n: int) -> pd.DataFram
         left -= r["count"]
     best = kept.where(F.col("step") > last).select("h", "ratio", "evidence").unionAll(kept.where(F.col("step") == last).select("h", "ratio", "evidence").orderBy(F.col("evidence").desc(), "h").limit(left))
     best = best.toPandas().sort_values(["evidence", "h"], ascending=[False, True])
-    kept.unpersist()
+    drop(kept)
     return best
 
 
@@ -161,10 +161,8 @@ def _matrix(sample: DataFrame, model: Model) -> pd.DataFrame:
 
 def _rows(data: pd.DataFrame, ratios: np.ndarray, n: int) -> SparseRows:
     """Rows of _matrix() with their first n columns."""
-    flat, lengths = np.frombuffer(b"".join(data["features"]), "<u2"), data["features"].str.len().to_numpy(np.int64) // 2
-    some = flat < n
-    ends = np.append(0, np.cumsum(some))[np.append(0, np.cumsum(lengths))]
-    return SparseRows(flat[some], np.diff(ends), ratios[:n])
+    cols = [(own := np.frombuffer(x, "<u2"))[own < n] for x in data["features"]]  # row by row, as running counts of all entries would take eight bytes each
+    return SparseRows(np.concatenate([np.empty(0, "<u2"), *cols]), np.array([len(x) for x in cols], np.int64), ratios[:n])
 
 
 def losses(sample: DataFrame, counted: DataFrame, n: dict[tuple[int, int], int]) -> dict[int, float]:
@@ -200,19 +198,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = chosen[0].unionAll(chosen[1]).withColumnRenamed("doc_id", "_id")  # at most FIT_DOCS rows: small enough to broadcast
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")
     sample = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic", fold.alias("fold"))
-    sample = keep(sample.repartition(FIT_PARTS))  # else each part of docs, with a row of the sample or none, would make arrays for all hashes
+    sample = materialise(sample.repartition(FIT_PARTS), "sample")  # else each part of docs, with a row of the sample or none, would make arrays for all hashes
     n = {(r["fold"], r["toxic"]): r["count"] for r in sample.groupBy("fold", "toxic").count().collect()}
     kinds = [sum(v for (_, k), v in n.items() if k == kind) for kind in (0, 1)]
     if not all(kinds):
-        sample.unpersist()
+        drop(sample)
         return constant(share)
-    counted = keep(_counted(sample))
+    counted = materialise(_counted(sample), "counted")
     tried = losses(sample, counted, n)
     best = _best(counted, *kinds, min(FEATURES, key=lambda size: (tried.get(size, 0.0), size)))
-    counted.unpersist()
+    drop(counted)
     model = Model(best["h"].to_numpy(np.int64), best["ratio"].to_numpy(), 0.0)
     data = _matrix(sample, model)
-    sample.unpersist()
+    drop(sample)
     rows, y = _rows(data, model.weights, len(model.weights)), data["toxic"].to_numpy(float)
     del data
     w, b = fit_logistic(rows.forward, rows.backward, y, len(model.weights), PENALTY)

@@ -282,3 +282,15 @@ def test_pipeline_on_nulls_repeats_and_empty_tables(spark, made, tmp_path):
 def test_queries_read_only_what_they_state():
     assert re.match(r"op\d+_", next(iter(queries.QUERIES))) and len(queries.QUERIES) == 13
     assert all(f.__doc__ for f in queries.QUERIES.values())
+
+
+def test_pipeline_plans_stay_small(spark, made):
+    """The driver stores every query's plan with its metrics; chains of kept tables would put plans into plans."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    corpus_pipeline.run(spark, made[0]).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran = store.executionsList(before, 1000)
+    plans = [ran.apply(i).physicalPlanDescription() for i in range(ran.size())]
+    assert len(plans) > 30 and max(map(len, plans)) < 40_000
+    assert max(p.count("InMemoryRelation") for p in plans) <= 8
