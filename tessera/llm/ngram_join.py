@@ -333,13 +333,13 @@ def _candidates(docs: DataFrame, words: int, threshold: int) -> tuple[DataFrame,
     members = with_set.select("doc_id", "n_shingles", "print").join(classes, "print").select("doc_id", "n_shingles", "rep")
     members = materialise(members.unionAll(without.select("doc_id", "n_shingles", F.lit(None).cast("long"))), "members", small=True)
     reps = with_set.where("doc_id is not null").join(classes.withColumnRenamed("print", "p"), (F.col("print") == F.col("p")) & (F.col("doc_id") == F.col("rep")))
-    reps = materialise(reps.select("rep", F.col("n_shingles").alias("n"), "sigs"), "reps")
-    signed.unpersist()
+    reps = keep(reps.select("rep", F.col("n_shingles").alias("n"), "sigs"))
     sizes = materialise(reps.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("sets")).where("sets > 1"), "sizes")
     held = _likely(reps, *bit_set(sizes, "sig")).select("rep", "n", F.explode("sigs").alias("sig"))
     live = materialise(held.join(sizes, "sig"), "live")
-    for t in (sizes, reps):
-        drop(t)
+    drop(sizes)
+    for t in (reps, signed):
+        t.unpersist()
 
     few = live.where(F.col("sets") <= CROWDED).select("sig", "rep", "n")
     a, b = few.select("sig", F.col("rep").alias("u"), F.col("n").alias("nu")), few.select("sig", F.col("rep").alias("v"), F.col("n").alias("nv"))
