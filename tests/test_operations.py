@@ -3,6 +3,7 @@
 import datetime
 import itertools
 import random
+import time
 from decimal import Decimal
 
 import duckdb
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__  # noqa: F401  it has all queries registered
 from tessera.operators import neighbours, overlaps, running, sessions, sketches
 from tessera.plans.registry import ORACLES, QUERIES
+from tessera.scratch import CLEANUP
 from tessera.sources import load, save
 
 START = datetime.datetime(2024, 1, 1)
@@ -206,6 +208,35 @@ def test_instants_are_sent_once_for_each_length_of_cells(spark):
     assert len(check_overlaps(spark, left, right, False)) > 1000
 
 
+def test_begins_are_no_rows_of_their_own_where_both_sides_have_one_length(spark):
+    left = [(i, None, minutes(i % 700), minutes(i % 700 + (0 if i % 4 else 40))) for i in range(600)]
+    right = [(i, None, minutes(7 * i), minutes(7 * i + 1 + i % 40)) for i in range(100)]
+    make = lambda rows: spark.createDataFrame(rows, "id long, key long, f timestamp_ntz, t timestamp_ntz")
+    a, b = overlaps._dealt(make(left), make(right), ("f", "t"), ("f", "t"), (), ())
+    cell = lambda at: at.replace(tzinfo=datetime.UTC).timestamp() * 1_000_000 // 2**29  # noqa: E731  an eighth of 2^32 microseconds, the longest intervals' level
+    assert (a.count(), b.count()) == tuple(sum(cell(t) - cell(f) + 1 for *_, f, t in rows) for rows in (left, right))
+    assert len(check_overlaps(spark, left, right, False)) > 1000
+
+
+def shuffled_bytes(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return sum(f.length() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles()) if f.getName().startswith("shuffle_"))
+
+
+def test_shuffles_of_sessions_go_before_they_are_joined(spark, tmp_path):
+    """The files of a stored result's own shuffles would stay beside it and the join's until the driver collects its garbage."""
+    spark.range(200_000).select(F.col("id").alias("event_id"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id * 10)").alias("ts"), (F.col("id") * 7919 % 5000).alias("user_id"), F.when(F.col("id") % 500 == 0, "error").otherwise("view").alias("event_type")).write.parquet(str(tmp_path / "events.parquet"))
+    setting = spark.conf.get(CLEANUP, None)
+    before = shuffled_bytes(spark)
+    made = QUERIES["sessions_during_errors"](spark, str(tmp_path))
+    until = time.time() + 20
+    while shuffled_bytes(spark) - before > 100_000 and time.time() < until:
+        time.sleep(0.2)
+    assert shuffled_bytes(spark) - before <= 100_000
+    assert spark.conf.get(CLEANUP, None) == setting
+    assert made.count() > 1000
+
+
 # formats and queries on odd rows
 
 
